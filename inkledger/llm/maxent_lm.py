@@ -199,10 +199,13 @@ class Model:
         self.starts = np.searchsorted(classes, np.arange(z.head_classes)) if len(classes) else np.zeros(0, int)
 
     def pair_rows(self, near: int) -> np.ndarray:
-        return (near * 0x9E3779B1 + np.arange(self.size.far) * 0x85EBCA6B >> 7) % self.size.pair_rows
+        """Hashed rows of both buckets; each near bucket has a range of its own, so a task's sums stay small."""
+        k = self.size.pair_rows // self.size.near
+        return near * k + (np.arange(self.size.far) * 0x85EBCA6B + near * 0x9E3779B1 >> 7) % k
 
     def slots(self, near: int) -> np.ndarray:
-        return (near * 0xC2B2AE35 + np.arange(len(self.classes)) * 0x27D4EB2F >> 5) % self.size.word_slots
+        k = self.size.word_slots // self.size.near
+        return near * k + (np.arange(len(self.classes)) * 0x27D4EB2F + near * 0xC2B2AE35 >> 5) % k
 
     def class_log(self, near: int) -> np.ndarray:
         """log P(class | near, each far), of shape (far, class)."""
@@ -221,26 +224,31 @@ class Model:
         x = x - np.repeat(np.maximum.reduceat(x, first), np.diff([*first, n]))
         return x - np.repeat(np.log(np.add.reduceat(np.exp(x), first)), np.diff([*first, n]))
 
-    def sums(self, rows) -> tuple[dict, dict]:
-        """Observed and expected counts of each weight over rows of packed counts."""
+    def own(self, near: int) -> dict[str, slice]:
+        """The weights that only one near bucket has."""
+        p, q = self.size.pair_rows // self.size.near, self.size.word_slots // self.size.near
+        return {"near": slice(near, near + 1), "pair": slice(near * p, near * p + p), "slot": slice(near * q, near * q + q)}
+
+    def sums(self, rows, observed: bool) -> Iterator[tuple[str, int, bytes]]:
+        """Expected (or observed) counts of the weights over rows of packed counts: (name, near or -1, float32 bytes)."""
         z, n = self.size, len(self.classes)
-        seen, want = ({k: np.zeros_like(v) for k, v in self.w.items()} for _ in range(2))
+        to = {k: np.zeros_like(v) for k, v in self.w.items()}
         for near, by_class, by_word in rows:
-            got = np.frombuffer(by_class, np.float32).reshape(z.far, z.classes).astype(float)
-            own = np.frombuffer(by_word, np.float32)[:n].astype(float)
-            model = np.exp(self.class_log(near)) * got.sum(1, keepdims=True)
-            word = np.exp(self.word_log(near))
-            if n:
-                total = np.bincount(self.classes, own, z.head_classes)
-                word = word * total[self.classes]
-            for to, a, b in ((seen, got, own), (want, model, word)):
-                to["bias"] += a.sum(0)
-                to["near"][near] += a.sum(0)
-                to["far"] += a
-                np.add.at(to["pair"], self.pair_rows(near), a)
-                to["word"][:n] += b
-                np.add.at(to["slot"], self.slots(near), b)
-        return seen, want
+            a = np.frombuffer(by_class, np.float32).reshape(z.far, z.classes).astype(float)
+            b = np.frombuffer(by_word, np.float32)[:n].astype(float)
+            if not observed:
+                a = np.exp(self.class_log(near)) * a.sum(1, keepdims=True)
+                b = np.exp(self.word_log(near)) * np.bincount(self.classes, b, z.head_classes)[self.classes] if n else b
+            to["bias"] += a.sum(0)
+            to["near"][near] += a.sum(0)
+            to["far"] += a
+            np.add.at(to["pair"], self.pair_rows(near), a)
+            to["word"][:n] += b
+            np.add.at(to["slot"], self.slots(near), b)
+            for k, at in self.own(near).items():
+                yield k, near, to[k][at].astype(np.float32).tobytes()
+        for k in ("bias", "far", "word"):
+            yield k, -1, to[k].astype(np.float32).tobytes()
 
     def update(self, seen: dict, want: dict) -> None:
         """One gradient step, scaled by counts; the four (two) active features share it."""
@@ -253,25 +261,25 @@ def train_model(packed: DataFrame, size: ModelSize, classes: np.ndarray) -> Mode
     """Distributed updates: the tasks hold blocks of counts, the driver only weights and their sums, all of fixed size."""
     model, sc = Model(size, classes), packed.sparkSession.sparkContext
 
-    for _ in range(size.updates):
+    def summed(observed: bool) -> dict[str, np.ndarray]:
         weights = sc.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
-            m = weights.value
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("near", "by_class", "by_word")), strict=True)]
             if rows:
-                seen, want = m.sums(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([seen[k].astype(np.float32).tobytes() for k in seen]), pa.array([want[k].astype(np.float32).tobytes() for k in seen])], ["k", "seen", "want"])
-
-        parts = packed.mapInArrow(run, "k string, seen binary, want binary").toArrow().to_pylist()  # train_tasks x fixed size
-        if not parts:
-            break
-        seen, want = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
-        for p in parts:
-            for to, name in ((seen, "seen"), (want, "want")):
-                to[p["k"]] += np.frombuffer(p[name], np.float32).reshape(to[p["k"]].shape)
-        model.update(seen, want)
+                k, near, counts = zip(*weights.value.sums(rows, observed), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(near, pa.int32()), pa.array(counts)], ["k", "near", "counts"])
+
+        total = {k: np.zeros_like(v) for k, v in model.w.items()}
+        for p in packed.mapInArrow(run, "k string, near int, counts binary").toArrow().to_pylist():  # fixed size
+            to = total[p["k"]] if p["near"] < 0 else total[p["k"]][model.own(p["near"])[p["k"]]]
+            to += np.frombuffer(p["counts"], np.float32).reshape(to.shape)
         weights.unpersist()
+        return total
+
+    seen = summed(True)
+    for _ in range(size.updates):
+        model.update(seen, summed(False))
     return model
 
 
