@@ -1 +1 @@
-"""Placeholder."""
+"""Operators from DataFrame to DataFrame."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Named queries over the tables, each with its SQL."""

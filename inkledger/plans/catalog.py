@@ -1,15 +1,427 @@
-"""All queries of the library and their SQL."""
+"""All queries of the library over the driver's tables. Their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def copy_pairs_by_subject(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import sources as S
+from .. import streaming
+from ..functions import lexicons as L
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import flags, pages, report, scoring, similarity, style
+from .oracle import SQL
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
+#: Text similarity from which a peer counts as a match; vector similarity from which a pair is listed.
+MATCH, HAND = 0.25, 0.30
+TEACHER = "NATION_0"
 
-def oracle_sql() -> dict:
-    return {}
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in SQL.items() if k in QUERIES}
+
+
+def subs(spark: SparkSession, d: str) -> DataFrame:
+    return S.submissions(spark, d)
+
+
+def hands(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions' vectors: the embedding of the same number."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.col("source").alias("school"))
+    vectors = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return docs.join(vectors, "id")
+
+
+def evidence(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.evidence(similarity.copy_pairs(subs(spark, d), MATCH), similarity.vector_pairs(hands(spark, d), HAND))
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    s = subs(spark, d)
+    return scoring.integrity_score(style.ai_probability(s), style.stylometry(s), similarity.copy_batch(s, evidence(spark, d)))
+
+
+# Text
+
+
+@query
+def clean_text(spark, d):
+    return subs(spark, d).select("id", "text", F.length("text").alias("n_chars"))
+
+
+@query
+def clean_text_keep_paras(spark, d):
+    return S.table(spark, d, "pages").select(F.col("page_id").alias("id"), X.clean_text_keep_paragraphs(F.col("html")).alias("text"))
+
+
+@query
+def text_stats(spark, d):
+    return style.text_stats(subs(spark, d))
+
+
+@query
+def sentence_stats(spark, d):
+    return style.sentence_stats(subs(spark, d))
+
+
+@query
+def mattr(spark, d):
+    return style.mattr(subs(spark, d))
+
+
+@query
+def ai_markers(spark, d):
+    return style.markers(subs(spark, d))
+
+
+@query
+def punctuation(spark, d):
+    return style.punctuation(subs(spark, d))
+
+
+@query
+def paragraphs(spark, d):
+    """Conversation turns as texts whose line ends are doubled, so that there are paragraphs."""
+    rows = S.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), X.clean_text_keep_paragraphs(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))).alias("text"))
+    return style.paragraphs(rows)
+
+
+@query
+def char_entropy(spark, d):
+    return style.char_entropy(subs(spark, d))
+
+
+@query
+def burstiness(spark, d):
+    return style.burstiness(subs(spark, d))
+
+
+@query
+def top_words(spark, d):
+    return style.top_words(subs(spark, d)).select("id", "rank", "word", "count", "first")
+
+
+@query
+def ai_phrase_hits(spark, d):
+    return style.phrase_hits(subs(spark, d))
+
+
+# Detectors
+
+
+@query
+def stylometry(spark, d):
+    return style.stylometry(subs(spark, d))
+
+
+@query
+def style_score(spark, d):
+    return style.stylometry(subs(spark, d)).select("id", "style_score")
+
+
+@query
+def ai_probability(spark, d):
+    return style.ai_probability(subs(spark, d))
+
+
+@query
+def ai_probability_alt(spark, d):
+    return style.ai_probability_alt(subs(spark, d))
+
+
+@query
+def style_similarity(spark, d):
+    """Style likeness of the pairs whose texts match."""
+    s = subs(spark, d)
+    f = style.stylometry(s)
+    rows = similarity.copy_pairs(s, 0.40).join(f.alias("a"), F.col("id_a") == F.col("a.id")).join(f.alias("b"), F.col("id_b") == F.col("b.id"))
+    return rows.select("id_a", "id_b", style.style_distance("a", "b").alias("style_similarity"))
+
+
+# Similarity
+
+
+@query
+def copy_pairs(spark, d):
+    return similarity.copy_pairs(subs(spark, d)).select("id_a", "id_b", "common", "text_sim")
+
+
+@query
+def copy_pairs_by_subject(spark, d):
+    """A batch is one subject here, whatever the school."""
+    return similarity.copy_pairs(subs(spark, d).withColumn("school", F.lit("all"))).select("id_a", "id_b", "common", "text_sim")
+
+
+@query
+def ngram_jaccard(spark, d):
+    return similarity.ngram_pairs(subs(spark, d), 3, 0.10).select("id_a", "id_b", "common", "sim")
+
+
+@query
+def ngram_matrix(spark, d):
+    """Both orientations of the mean two- and three-gram similarity."""
+    return similarity.both_ways(similarity.ngram_mean(subs(spark, d)), "bi", "tri", "sim")
+
+
+@query
+def tf_cosine(spark, d):
+    s = subs(spark, d)
+    return similarity.tf_cosine(s, similarity.copy_pairs(s, 0.40))
+
+
+@query
+def gated_similarity(spark, d):
+    return similarity.gated_similarity(subs(spark, d))
+
+
+@query
+def topk_matches(spark, d):
+    """The five best matches of each submission by gated text (0.65) and vector (0.35) similarity over 0.25."""
+    g = similarity.gated_similarity(subs(spark, d)).select("id_a", "id_b", F.col("similarity").alias("text_sim"))
+    rows = similarity.both_ways(similarity.evidence(g, similarity.vector_pairs(hands(spark, d), HAND)), "text_sim", "hw_sim")
+    rows = rows.withColumn("combined", X.half_up(similarity.combined(F.col("text_sim"), F.col("hw_sim"), 0.65), 3)).where((F.col("combined") > 0.25) | (F.col("hw_sim") > 0.88))
+    from pyspark.sql.window import Window
+
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("combined"), "peer"))
+    return rows.select("id", "peer", "text_sim", "hw_sim", "combined", rank.alias("rank")).where("rank <= 5")
+
+
+@query
+def exact_dup_md5(spark, d):
+    """Exact copies by digest: one row for each digest that repeats."""
+    rows = S.table(spark, d, "documents").groupBy(F.md5("text").alias("md5")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    return rows.where("copies > 1")
+
+
+@query
+def fingerprint_cosine(spark, d):
+    """Each vector against the mean vector of its label."""
+    rows = S.table(spark, d, "embeddings")
+    mean = pages.centroids(rows, "label", "embedding")
+    return rows.join(F.broadcast(mean), "label").select("vec_id", X.half_up(V.cosine(F.col("embedding"), F.col("centroid")) + 1.0, 4).alias("cosine_plus_1"))
+
+
+@query
+def hw_pairs(spark, d):
+    return similarity.vector_pairs(hands(spark, d), HAND)
+
+
+@query
+def vector_centroid(spark, d):
+    rows = pages.centroids(S.table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x"))
+    return rows.select("label", "pos", F.floor(F.col("x") * 1000000 + 0.5).alias("micro"))
+
+
+@query
+def page_feature_avg(spark, d):
+    """Items of an order as pages of a submission."""
+    rows = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity")).cast("long").alias("quantity"), F.round(F.col("l_discount") * 100).cast("long").alias("discount"))
+    return pages.page_means(rows, "id", "quantity", "discount")
+
+
+@query
+def log_norm(spark, d):
+    """The two log-scaled fingerprint features over part sizes and prices."""
+    return S.table(spark, d, "part").select("p_partkey", X.half_up(V.log_norm(F.col("p_size"), 15.0), 6).alias("loops"), X.half_up(V.log_norm(F.col("p_retailprice"), 6000.0), 6).alias("area"))
+
+
+# Copies and flags
+
+
+@query
+def copy_batch(spark, d):
+    return similarity.copy_batch(subs(spark, d), evidence(spark, d))
+
+
+@query
+def best_peer(spark, d):
+    return flags.best_peer(evidence(spark, d))
+
+
+@query
+def base_flags(spark, d):
+    return flags.base_flags(scored(spark, d)).select("id", F.array_join("flags", "; ").alias("flags"))
+
+
+@query
+def copy_flags(spark, d):
+    return flags.pair_flags(evidence(spark, d), scored(spark, d)).select("id", "peer", "rule", "text_sim", "hw_sim", "flag")
+
+
+def all_flags(spark, d):
+    s = scored(spark, d)
+    return flags.final_flags(flags.base_flags(s), flags.pair_flags(evidence(spark, d), s))
+
+
+@query
+def final_flags(spark, d):
+    return all_flags(spark, d).select("id", F.array_join("flags", "; ").alias("flags"))
+
+
+@query
+def flag_summary(spark, d):
+    return flags.flag_summary(all_flags(spark, d))
+
+
+def peers(spark, d):
+    """Submissions with a student each (every third number is the same student) and a surrogate consistency."""
+    return style.ai_probability(subs(spark, d)).select("id", F.floor(F.col("id") / 3).alias("student"), "ai_probability", ((F.col("id") % 10) / 10.0).alias("hw_consistency"))
+
+
+@query
+def peer_flags(spark, d):
+    return flags.peer_flags(peers(spark, d), evidence(spark, d), L.PEER)
+
+
+@query
+def peer_flags_alt(spark, d):
+    return flags.peer_flags(peers(spark, d), evidence(spark, d), L.PEER_ALT, directed=True)
+
+
+# Scores
+
+
+@query
+def integrity_score(spark, d):
+    return scored(spark, d)
+
+
+@query
+def originality_alt(spark, d):
+    return scored(spark, d).select("id", X.half_up(scoring.originality_alt(F.col("ai_probability"), F.col("copy_similarity")), 3).alias("originality"), scoring.score_label(F.col("score")).alias("label"))
+
+
+@query
+def feedback(spark, d):
+    return scoring.feedback(scored(spark, d)).select("id", "feedback")
+
+
+@query
+def ui_bands(spark, d):
+    return scoring.ui_bands(scored(spark, d))
+
+
+# Relational surface
+
+
+@query
+def lookup_by_key(spark, d):
+    return report.lookup(S.assignments(spark, d), 7).select("id", "student_name", "subject", "status")
+
+
+@query
+def teacher_assignments(spark, d):
+    return report.teacher_assignments(S.assignments(spark, d), TEACHER, subject="BUILDING", status="scored").select("id", "student_name", "grade", "score", "submitted_at")
+
+
+@query
+def tenant_filter(spark, d):
+    return report.filtered(S.assignments(spark, d), TEACHER).groupBy("school", "status").agg(F.count("*").alias("n"))
+
+
+def ids(spark, d):
+    return S.table(spark, d, "orders").where(F.col("o_orderkey") % 1000 == 7).select(F.col("o_orderkey").alias("id"))
+
+
+@query
+def batch_semi(spark, d):
+    return report.batch(S.assignments(spark, d), ids(spark, d).unionAll(ids(spark, d))).select("id", "subject", "status")
+
+
+@query
+def history_peers(spark, d):
+    return report.history_peers(S.assignments(spark, d), ids(spark, d)).select("id", "subject", "school", "submitted_at")
+
+
+@query
+def dashboard_stats(spark, d):
+    return report.dashboard_stats(report.filtered(S.assignments(spark, d), TEACHER), F.coalesce(F.col("score") < 5, F.lit(False)))
+
+
+@query
+def score_histogram(spark, d):
+    return report.score_histogram(S.assignments(spark, d))
+
+
+@query
+def ranked_report(spark, d):
+    return report.ranked_report(S.assignments(spark, d), subject="BUILDING")
+
+
+@query
+def student_stats(spark, d):
+    return report.student_stats(S.assignments(spark, d))
+
+
+@query
+def quality_checks(spark, d):
+    return report.quality_checks(S.assignments(spark, d))
+
+
+@query
+def json_flags(spark, d):
+    """Flags stored as JSON text and read back; bad JSON is an empty list."""
+    rows = S.table(spark, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("p"), F.from_json(F.when(F.col("event_id") % 5 == 0, "not json").otherwise(F.to_json(F.array("event_type"))), "array<string>").alias("f"))
+    return rows.select("event_id", F.coalesce(F.size("p"), F.lit(0)).alias("keys"), F.array_join(F.coalesce("f", F.array().cast("array<string>")), ",").alias("flags"))
+
+
+@query
+def page_merge(spark, d):
+    """Turns of a conversation as pages of a submission."""
+    rows = S.table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("page"), "text", ((F.col("turn") % 4) / 4.0).alias("confidence"))
+    return pages.merge_pages(rows)
+
+
+@query
+def latest_state(spark, d):
+    """Current state of each user from appended events."""
+    return S.latest(S.table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+# Page profiles: ink rows and stroke boxes made from events and items
+
+
+@query
+def line_runs(spark, d):
+    rows = S.table(spark, d, "events").select((F.col("user_id") % 50).alias("page"), F.floor(F.col("event_id") / 64).alias("y"), F.col("event_type"))
+    profile = rows.groupBy("page", "y").agg(F.count_if(F.col("event_type") == "click").alias("ink"))
+    return pages.line_runs(profile, F.lit(25.0), least_height=1)
+
+
+@query
+def stroke_gaps(spark, d):
+    boxes = S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("x"), F.col("l_quantity").cast("long").alias("w"))
+    return pages.stroke_gaps(boxes)
+
+
+# Streaming, as batches
+
+
+@query
+def event_windows(spark, d):
+    return streaming.window_counts(S.table(spark, d, "events"))
+
+
+@query
+def event_sessions(spark, d):
+    return streaming.sessions(S.table(spark, d, "events"))
+
+
+@query
+def event_types(spark, d):
+    return streaming.type_stats(S.table(spark, d, "events"))

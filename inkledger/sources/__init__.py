@@ -1 +1,62 @@
-"""Placeholder."""
+"""Tables, files and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.text import clean_text
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as submissions: id, subject, school, cleaned text and its lower-case form."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.col("source").alias("school"), F.coalesce(clean_text(F.col("text")), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as assignments in their lifecycle, joined to their students (customers) and schools (nations)."""
+    orders, customers, nations = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    status = F.when(F.col("o_orderstatus") == "O", "submitted").when(F.col("o_orderstatus") == "P", "reviewing").when(F.col("o_orderstatus") == "F", "scored")
+    score = F.when(F.col("o_orderstatus") == "F", F.floor(F.col("o_totalprice") % 101) / F.lit(10.0))
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey).join(nations, customers.c_nationkey == nations.n_nationkey)
+    return joined.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("student_id"), F.col("c_name").alias("student_name"), F.col("c_mktsegment").alias("subject"), F.col("o_orderpriority").alias("grade"), F.col("n_name").alias("school"),
+        status.alias("status"), score.alias("score"), F.col("o_orderdate").alias("submitted_at"),
+    )
+
+
+def pdf_files(spark: SparkSession, path: str) -> DataFrame:
+    """Uploaded PDFs of at most 20 MB with their MD5, as binary rows."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    return files.where(F.col("length") <= 20 * 1024 * 1024).select("path", "modificationTime", "length", "content", F.md5("content").alias("md5"))
+
+
+def fingerprints_json(rows: DataFrame, column: str) -> DataFrame:
+    """Fingerprint vectors from JSON text; bad JSON gives null."""
+    return rows.withColumn(column, F.from_json(column, "array<double>"))
+
+
+def latest(events: DataFrame, key: str, at: str, *tie: str) -> DataFrame:
+    """Current state of rows kept as appended events: the newest of each key (updates and resubmissions append)."""
+    order = Window.partitionBy(key).orderBy(F.desc(at), *[F.desc(t) for t in tie])
+    return events.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Rows to append whose key is not taken yet (unique e-mail, unique id)."""
+    return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A ranked report as CSV with a header; the ranks order the rows of its files."""
+    report.sortWithinPartitions("rank").write.mode("overwrite").option("header", True).csv(path)
+
+
+def as_json(rows: DataFrame, *columns: str) -> Column:
+    return F.to_json(F.struct(*(columns or rows.columns)))
