@@ -144,12 +144,16 @@ def top_inner_products(vectors: DataFrame, queries: Column, key: str = "vec_id",
     facts = {r["size"]: r for r in rows.groupBy("size").agg(F.max(norm).alias("norm"), F.count("*").alias("n"), F.count_if("ask").alias("q")).collect()}  # a row for each vector size
     if not facts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    per = lambda what, by: F.create_map(*[F.lit(x) for s, r in facts.items() for x in (s, -(-max(1, r[what]) // by))])[F.col("size")]
+    per = lambda what, by: F.create_map(*[F.lit(x) for s, r in facts.items() for x in (s, -(-max(1, r[what]) // by))]).cast("map<int,long>")[F.col("size")]
     hashed = F.xxhash64(F.col("id").cast("string"))
     blocks = rows.groupBy("size", F.pmod(hashed, per("n", z.rows_per_block)).alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("values"))
     groups = rows.where("ask").groupBy("size", F.pmod(hashed, per("q", z.queries_per_group)).alias("part")).agg(F.collect_list("id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_values"))
-    # A stated query set against all rows, in blocks of bounded size.
-    meets = blocks.join(groups, "size")
+    # A stated query set against all rows, in blocks of bounded size: each pair of a block and a group is a key of its own.
+    keys, tasks = ["size", "block", "part"], int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto = lambda what, by: F.sequence(F.lit(0).cast("long"), per(what, by) - 1)
+    left = blocks.withColumn("part", F.explode(upto("q", z.queries_per_group))).repartition(tasks, *keys)
+    right = groups.withColumn("block", F.explode(upto("n", z.rows_per_block))).repartition(tasks, *keys)
+    meets = left.join(right, keys)
     norms = {s: float(r["norm"] or 0.0) for s, r in facts.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
