@@ -292,5 +292,5 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-copies for filtering: five words, 128 bits; two texts of similarity 0.8 differ in about 15 % of the bits.
-NEAR_COPIES = Settings(shingle=5, words=2, radius=24, exact=False, tables=48, bits=18)
+#: Near-copies for filtering: five words, 128 bits; two texts of similarity 0.8 differ in about 20 bits, give or take 4.
+NEAR_COPIES = Settings(shingle=5, words=2, radius=25, exact=False, tables=64, bits=17)
