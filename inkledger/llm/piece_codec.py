@@ -169,6 +169,7 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+
 def piece_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: str = "segments") -> DataFrame:
     """Encode with an end id and decode each whole text; digests of both, and whether the library agrees.
 
