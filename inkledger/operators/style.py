@@ -57,7 +57,7 @@ def char_entropy(subs: DataFrame) -> DataFrame:
     chars = subs.where(F.length("text") >= 50).select("id", F.explode(F.split("low", "")).alias("c")).where(F.col("c") != "")
     n = chars.groupBy("id", "c").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     h = F.log2("total") - F.col("s") / F.col("total")
-    return subs.select("id").join(n, "id", "left").select("id", F.coalesce(X.half_up(F.least(h / 5.0, F.lit(1.0)), 3), F.lit(0.5)).alias("entropy"))
+    return subs.select("id").join(n, "id", "left").select("id", F.when(F.col("total").isNull(), F.lit(0.5)).otherwise(X.half_up(F.least(h / 5.0, F.lit(1.0)), 3)).alias("entropy"))
 
 
 def _word_chunks(subs: DataFrame, chunk: int) -> DataFrame:
@@ -79,7 +79,7 @@ def burstiness(subs: DataFrame, chunk: int = 20) -> DataFrame:
     k = F.ceil(F.col("n") / chunk).cast("double")
     # Exact: the sum over the words of k * squares - count * count, over k * k and the number of words.
     mean = top.groupBy("id").agg((F.sum(k * F.col("squares") - F.col("count") * F.col("count")) / F.max(k * k) / F.count("*")).alias("v"))
-    return subs.select("id").join(mean, "id", "left").select("id", F.coalesce(X.half_up(F.least(F.col("v") / 2.0, F.lit(1.0)), 3), F.lit(0.5)).alias("burstiness"))
+    return subs.select("id").join(mean, "id", "left").select("id", F.when(F.col("v").isNull(), F.lit(0.5)).otherwise(X.half_up(F.least(F.col("v") / 2.0, F.lit(1.0)), 3)).alias("burstiness"))
 
 
 def phrase_hits(subs: DataFrame) -> DataFrame:

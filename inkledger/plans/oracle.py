@@ -55,14 +55,14 @@ STYLE = f"""style AS (
 STYLES = ", ".join([SUBS, RICH, SENT, MARK, PUNCT, STYLE])
 HITS = f"""hits AS (SELECT id, ({' + '.join(f'regexp_matches(low, {q(p)})::INTEGER' for p in L.AI_PATTERNS)})::INTEGER AS ai_hits, ({' + '.join(f'regexp_matches(low, {q(p)})::INTEGER' for p in L.STUDENT_PATTERNS)})::INTEGER AS human_hits FROM subs)"""
 ENTROPY = f"""ent AS (
-  SELECT subs.id, coalesce({r('least((log2(total) - s / total) / 5.0::DOUBLE, 1.0::DOUBLE)', 3)}, 0.5) AS entropy FROM subs LEFT JOIN (
+  SELECT subs.id, CASE WHEN total IS NULL THEN 0.5::DOUBLE ELSE {r('least((log2(total) - s / total) / 5.0::DOUBLE, 1.0::DOUBLE)', 3)} END AS entropy FROM subs LEFT JOIN (
     SELECT id, sum(n)::DOUBLE AS total, sum(n * log2(n::DOUBLE)) AS s FROM (SELECT id, c, count(*) AS n FROM (SELECT id, unnest(string_split(low, '')) AS c FROM subs WHERE length(text) >= 50) WHERE c <> '' GROUP BY ALL) GROUP BY id) USING (id))"""
 TOP = r"""chunks AS (
   SELECT id, n, word, sum(c)::BIGINT AS count, sum(c * c)::BIGINT AS squares, min(first)::INTEGER AS first FROM (
     SELECT id, n, word, floor(pos / 20) AS chunk, count(*) AS c, min(pos) AS first FROM (SELECT id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT id, regexp_extract_all(low, '\b[a-z]+\b') AS w FROM subs)) GROUP BY ALL) GROUP BY ALL
 ), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY count DESC, first)::INTEGER AS rank FROM chunks) WHERE rank <= 10)"""
 BURST = f"""burst AS (
-  SELECT subs.id, coalesce({r('least(v / 2.0::DOUBLE, 1.0::DOUBLE)', 3)}, 0.5) AS burstiness FROM subs LEFT JOIN (
+  SELECT subs.id, CASE WHEN v IS NULL THEN 0.5::DOUBLE ELSE {r('least(v / 2.0::DOUBLE, 1.0::DOUBLE)', 3)} END AS burstiness FROM subs LEFT JOIN (
     SELECT id, sum(ceil(n / 20.0::DOUBLE) * squares - count * count) / max(ceil(n / 20.0::DOUBLE) * ceil(n / 20.0::DOUBLE)) / count(*) AS v FROM top
     WHERE n >= 20 AND ceil(n / 20.0::DOUBLE) >= 2 AND NOT list_contains({arr(L.BURST_STOPWORDS)}, word) GROUP BY id) USING (id))"""
 AI = f"""aip AS (

@@ -15,16 +15,21 @@ def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream forgets what is later than so long; a batch needs no watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their value by tumbling window and type; a stream gets a watermark, a batch gives the same rows."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = watermarked(events, late)
     out = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "cents")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of each user: runs of events less than the gap apart."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = watermarked(events, late)
     out = rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
