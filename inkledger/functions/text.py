@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,11 +73,23 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def lexical_richness(content: Column, window: int = 50) -> Column:
-    """Type-token ratio, from ``window`` words on as a moving average; 3 digits, 0 without words."""
+    """Type-token ratio, from ``window`` words on as a moving average; 3 digits, 0 without words.
+
+    A word at place j is new in the frames that start after its last place and hold j; summed over the words sorted by
+    (word, place) this is the sum of distinct words over all frames, without looking at any frame.
+    """
     n = F.size(content)
-    moving = F.aggregate(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))), F.lit(0).cast("long"), lambda a, i: a + F.size(F.array_distinct(F.slice(content, i, F.lit(window)))))
-    ratio = F.when(n < window, F.size(F.array_distinct(content)) / n).otherwise(moving / (F.lit(float(window)) * (n - (window - 1))))
-    return F.when(n == 0, F.lit(0.0)).otherwise(half_up(ratio, 3))
+    places = F.array_sort(F.transform(content, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    start = F.struct(F.lit(0).cast("long").alias("frames"), F.lit(0).alias("words"), F.lit(None).cast("long").alias("w"), F.lit(-1).alias("i"))
+
+    def step(state: Column, x: Column) -> Column:
+        again = state["w"] == x["w"]
+        last = F.when(again, state["i"]).otherwise(-1)
+        frames = F.least(x["i"], n - window) - F.greatest(F.lit(0), x["i"] - (window - 1), last + 1) + 1
+        return F.struct((state["frames"] + F.greatest(F.lit(0), frames)).alias("frames"), (state["words"] + F.when(again, 0).otherwise(1)).alias("words"), x["w"].alias("w"), x["i"].alias("i"))
+
+    sums = F.aggregate(places, start, step, lambda s: F.when(n < window, s["words"] / n).otherwise(s["frames"] / (F.lit(float(window)) * (n - (window - 1)))))
+    return F.when(n == 0, F.lit(0.0)).otherwise(half_up(sums, 3))
 
 
 def total(values: Column, of=lambda x: x) -> Column:
@@ -95,11 +109,18 @@ def markers_found(lowered: Column, markers: list[str]) -> Column:
     return F.filter(words_in(markers), lambda m: F.contains(lowered, m))
 
 
+def needed_literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a pattern holds."""
+    plain = re.sub(r"\((?:[^()]*)\)\??", "\0", pattern)  # groups
+    plain = re.sub(r"\[[^\]]*\]\??|\\[a-zA-Z][+*?]?|.\?", "\0", plain)  # classes, escapes, optional characters
+    return max(plain.split("\0"), key=len)
+
+
 def pattern_hits(lowered: Column, patterns: list[str]) -> Column:
-    """How many patterns match at least once."""
+    """How many patterns match at least once; a substring test spares most regular expressions."""
     out = F.lit(0)
     for p in patterns:
-        out = out + lowered.rlike(p).cast("int")
+        out = out + F.when(F.contains(lowered, F.lit(needed_literal(p))) & lowered.rlike(p), 1).otherwise(0)
     return out
 
 

@@ -17,7 +17,8 @@ def similar_sets(rows: DataFrame, least: float, digits: int = 4) -> DataFrame:
     ``rows`` has id, the block columns and ``items`` (array of strings, repeats ignored). Rows of equal sets form one
     class and only classes are compared. Any pair at the threshold shares one of the first ``n - ceil(t n) + 1`` of its
     rarest items, so candidates come from an equi-join on those prefixes alone: an item that very many sets hold is
-    nobody's prefix unless the sets have little else. Sizes prune further, and whole sets decide.
+    nobody's prefix unless the sets have little else. Sizes and the places of the items met prune further, and whole sets
+    decide.
     Columns: id_a, id_b, common, sim. Empty sets are similar to nothing.
     """
     t = least - 0.5 * 10**-digits
@@ -28,11 +29,15 @@ def similar_sets(rows: DataFrame, least: float, digits: int = 4) -> DataFrame:
     freq = each.groupBy("item").agg(F.count("*").alias("df"))
     ranked = each.join(freq, "item").groupBy(*BLOCK, "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
     prefix = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
-    heads = ranked.select(*BLOCK, "rep", "n", F.explode(F.slice("r", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("x")).select(*BLOCK, "rep", "n", F.col("x.item").alias("item"))
+    heads = ranked.select(*BLOCK, "rep", "n", F.posexplode(F.slice("r", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("pos", "x")).select(*BLOCK, "rep", "n", (F.col("pos") + 1).alias("pos"), F.col("x.item").alias("item"))
     p, q = heads.alias("p"), heads.alias("q")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in BLOCK]
     near = F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * t - 1e-9
-    pairs = p.join(q, [F.col("p.item") == F.col("q.item"), *same, F.col("p.rep") < F.col("q.rep"), near]).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+    met = p.join(q, [F.col("p.item") == F.col("q.item"), *same, F.col("p.rep") < F.col("q.rep"), near])
+    met = met.groupBy(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).agg(F.count("*").alias("c"), F.max("p.n").alias("na"), F.max("q.n").alias("nb"), F.max("p.pos").alias("la"), F.max("q.pos").alias("lb"))
+    # All common items beyond those met come after the last of them in both orders.
+    most = F.col("c") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
+    pairs = met.where(most >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6).select("a", "b")
     one = classes.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))

@@ -31,7 +31,7 @@ def sentence_stats(subs: DataFrame, longer_than: int = 5) -> DataFrame:
 
 def mattr(subs: DataFrame) -> DataFrame:
     rows = subs.select("id", X.style_words(F.col("low")).alias("w"))
-    rows = rows.select("id", F.size("w").alias("word_count"), X.total(F.col("w"), F.length).alias("letters"), X.content_words(F.col("w")).alias("content"))
+    rows = rows.select("id", F.size("w").alias("word_count"), X.total(F.col("w"), F.length).alias("letters"), F.transform(X.content_words(F.col("w")), lambda w: F.xxhash64(w)).alias("content"))
     return rows.select("id", "word_count", "letters", F.size("content").alias("content_words"), X.lexical_richness(F.col("content")).alias("lexical_richness"))
 
 
