@@ -124,6 +124,17 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
 
 
+def forest(parent: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct links from representatives to the smallest one of their tree: the same in each table that finds the tree."""
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    least = rep.copy()
+    np.minimum.at(least, parent, rep)
+    links = np.unique(np.stack([rep, least[parent]], 1), axis=0)
+    links = links[links[:, 0] != links[:, 1]]
+    return np.ascontiguousarray(links[:, 0]), np.ascontiguousarray(links[:, 1])
+
+
 class GrayIndex:
     """The hierarchy over fingerprints of shape (n, words), sorted by group and Gray rank."""
 
@@ -231,8 +242,7 @@ def link_nodes(nodes: DataFrame, z: Settings) -> DataFrame:
                     todo, size = [], 0
             if todo:
                 unite(parent, *map(np.concatenate, zip(*todo, strict=True)))
-            own = np.flatnonzero(parent != np.arange(len(parent)))
-            a, b = rep[own], rep[parent[own]]
+            a, b = forest(parent, rep)
         yield _rows(a, b, pages)
 
     def link_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +257,7 @@ def link_nodes(nodes: DataFrame, z: Settings) -> DataFrame:
                 if len(i):
                     parent = np.arange(n[0] + n[1])
                     unite(parent, i, j + n[0])
-                    reps, own = np.concatenate(r), np.flatnonzero(parent != np.arange(len(parent)))
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[own]), pa.array(reps[parent[own]])], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(parent, np.concatenate(r))], ["a", "b"])
 
     spark = nodes.sparkSession
     n = nodes.count() * len(keys)
