@@ -1,5 +1,7 @@
 """SimHash, components, packing, M-tree and the pipeline against brute force."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 import xxhash
@@ -97,6 +99,29 @@ def test_one_of_each(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "7", "None", "None"] and {r.component_id for r in kept} == {"mine"}
 
 
+def test_near_copies_link_and_shared_passages_do_not(spark):
+    """30 texts, each with a copy whose last 20 of 400 words differ (similarity 0.90) and one that shares 300 words (0.60)."""
+    word = lambda kind, i, a, b: " ".join(f"{kind}{i}x{k}" for k in range(a, b))
+    rows = []
+    for i in range(30):
+        rows += [(3 * i, word("a", i, 0, 400)), (3 * i + 1, word("a", i, 0, 380) + " " + word("b", i, 0, 20)), (3 * i + 2, word("a", i, 0, 300) + " " + word("c", i, 0, 100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_task in (1_000_000, 100):  # within tasks, and over pages between them
+        z = replace(simhash.NEAR_COPIES, rows_per_task=per_task)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, settings=z).collect()}
+        assert all(got[3 * i + 1] == 3 * i for i in range(30))
+        assert sum(got[3 * i + 2] != 3 * i + 2 for i in range(30)) <= 2
+
+
+def test_further_words_are_hashes_of_their_own():
+    z = simhash.Settings(words=2, more_words=4)
+    f = np.array([simhash.fingerprint(f"w{i} w{i + 1} v{i}", z) for i in range(200)], np.int64).view(np.uint64)
+    assert f.shape == (200, 6) and simhash.fingerprint(None, z) == [0] * 6
+    for u in range(6):
+        for w in range(u):
+            assert abs(np.bitwise_count(f[:, u] ^ f[:, w]).mean() - 32) < 2
+
+
 def slow_pack(sizes, z):
     """Best fit by trying every open bin and every opening."""
     bins, todo = [], list(sizes)
