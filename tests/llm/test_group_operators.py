@@ -91,6 +91,16 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_nodes_of_many_links(spark):
+    """The same classes whether such nodes are broadcast to their links or meet them in their task."""
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (450, 2))] + [(2000 - i, 1200) for i in range(700)] + [(950, 1100 + i) for i in range(60)]
+    want = groups(2001, edges)
+    for hot in (0, 20, 100_000):
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), hot).collect()}
+        assert set(got) == {x for a, b in edges if a != b for x in (a, b)} and all(want[k] == c for k, c in got.items())
+
+
 def test_one_of_each(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(3, text), (1, text.replace("w150", "changed")), (2, text), (2, text), (7, " ".join(f"v{i}" for i in range(300))), (None, "kept"), (None, "kept")]
