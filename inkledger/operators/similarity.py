@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vectors as V
+from . import tiles
 
 BLOCK = ("subject", "school")
 
@@ -107,7 +112,24 @@ def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("peer"), *values).unionAll(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("peer"), *values))
 
 
-def evidence(texts: DataFrame, hands: DataFrame) -> DataFrame:
+def whole_evidence(pairs: DataFrame, subs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Text and vector similarity of given pairs (id_a, id_b), both from the whole sets and vectors."""
+    sets = word_sets(subs).select("id", F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))).alias("s")).join(vectors.select("id", "v"), "id", "left")
+    a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("s").alias(f"s_{k}"), F.col("v").alias(f"v_{k}")) for k in "ab")
+    rows = pairs.select("id_a", "id_b").distinct().join(a, "id_a").join(b, "id_b")
+    common = F.size(F.array_intersect("s_a", "s_b"))
+    rows = rows.select("id_a", "id_b", common.alias("common"), (F.size("s_a") + F.size("s_b")).alias("both"), X.half_up(V.cosine(F.col("v_a"), F.col("v_b")), 4).alias("hw_sim"))
+    text = F.when(F.col("both") > F.col("common"), X.half_up(F.col("common") / (F.col("both") - F.col("common")), 4)).otherwise(F.lit(0.0))
+    return rows.select("id_a", "id_b", text.alias("text_sim"), "hw_sim")
+
+
+def evidence(subs: DataFrame, vectors: DataFrame, text: float, hand: float) -> DataFrame:
+    """Pairs from text similarity ``text`` or vector similarity ``hand`` on, with both similarities whole."""
+    found = copy_pairs(subs, text).select("id_a", "id_b").unionByName(vector_pairs(vectors, hand).select("id_a", "id_b"))
+    return whole_evidence(found, subs, vectors)
+
+
+def side_by_side(texts: DataFrame, hands: DataFrame) -> DataFrame:
     """Text and vector pairs side by side; a missing similarity is 0."""
     return texts.select("id_a", "id_b", "text_sim").join(hands.select("id_a", "id_b", "hw_sim"), ["id_a", "id_b"], "full").fillna(0.0, ["text_sim", "hw_sim"])
 
@@ -116,9 +138,54 @@ def combined(text: Column, hand: Column, weight: float = 0.6) -> Column:
     return text * weight + hand * (1 - weight)
 
 
-def copy_batch(subs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per submission: largest text, vector and combined similarity over its peers, number of matches, flag over 0.40."""
-    rows = both_ways(pairs, "text_sim", "hw_sim").withColumn("combined", combined(F.col("text_sim"), F.col("hw_sim")))
-    best = rows.groupBy("id").agg(F.max("text_sim").alias("t"), F.max("hw_sim").alias("h"), F.max("combined").alias("c"), F.count("*").alias("n"))
+def peer_maxima(subs: DataFrame, vectors: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """Maxima over all peers of a block: n peers, largest text (t), vector (h) and combined (c) similarity, best text peer.
+
+    ``best`` is (negative text similarity, peer, its vector similarity): ties go to the smaller peer; null without common words.
+    A submission without peers has no row.
+    """
+    rows = word_sets(subs).withColumn("items", F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))))
+
+    def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.Table]:
+        sides = [a] if b is None else [a, b]
+        items, hands = tiles.Items(a, b, "items"), tiles.Vectors(a, b)
+        ids = [t.column("id").to_numpy() for t in sides]
+        best = [{"t": np.full(len(x), -np.inf), "h": np.full(len(x), -np.inf), "c": np.full(len(x), -np.inf), "peer": np.zeros(len(x), np.int64), "hand": np.zeros(len(x))} for x in ids]
+
+        def take(side: int, rows: slice, other: np.ndarray, t: np.ndarray, h: np.ndarray, c: np.ndarray) -> None:
+            to = best[side]
+            first, each = t.argmax(1), np.arange(len(t))
+            at = np.flatnonzero(t[each, first] > to["t"][rows]) + rows.start
+            to["peer"][at], to["hand"][at] = other[first[at - rows.start]], h[at - rows.start, first[at - rows.start]]
+            for k, x in (("t", t), ("h", h), ("c", c)):
+                to[k][rows] = np.maximum(to[k][rows], x.max(1))
+
+        for i, j, at, to in tiles.places(a, b):
+            text = tiles.jaccard(items.products(i, j), items.sizes[0][at], items.sizes[-1][to], 4)
+            hand = tiles.half_up(hands.cosines(i, j, text.shape), 4)
+            both = text * 0.6 + hand * (1 - 0.6)
+            if b is None and i == j:
+                for m in (text, hand, both):
+                    np.fill_diagonal(m, -np.inf)
+            take(0, at, ids[-1][to], text, hand, both)
+            if b is not None or i != j:
+                take(-1, to, ids[0][at], text.T, hand.T, both.T)
+        for k, own in enumerate(best):
+            n = len(ids[0]) - 1 if b is None else len(ids[1 - k])
+            if n:
+                yield pa.table({"id": ids[k], "n": np.full(len(ids[k]), n), **own})
+
+    parts = tiles.by_tiles(rows, vectors, BLOCK, run, "id long, n long, t double, h double, c double, peer long, hand double", tile)
+    text_peer = F.when(F.col("t") > 0, F.struct((-F.col("t")).alias("t"), "peer", "hand"))
+    return parts.groupBy("id").agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.max("h").alias("h"), F.max("c").alias("c"), F.min(text_peer).alias("best"))
+
+
+def best_peer(maxima: DataFrame) -> DataFrame:
+    """The peer of the largest text similarity over 0, ties to the smaller peer."""
+    return maxima.where("best is not null").select("id", "best.peer", (-F.col("best.t")).alias("text_sim"), F.col("best.hand").alias("hw_sim"))
+
+
+def copy_batch(subs: DataFrame, maxima: DataFrame) -> DataFrame:
+    """Per submission: largest text, vector and combined similarity over all peers, their number, flag over 0.40."""
     out = lambda c: F.coalesce(X.half_up(F.col(c), 3), F.lit(0.0))
-    return subs.select("id").join(best, "id", "left").select("id", out("t").alias("max_text_similarity"), out("h").alias("max_hw_similarity"), out("c").alias("combined_copy_score"), F.coalesce("n", F.lit(0)).cast("long").alias("matches"), (F.coalesce("c", F.lit(0.0)) > 0.40).alias("copy_flag"))
+    return subs.select("id").join(maxima, "id", "left").select("id", out("t").alias("max_text_similarity"), out("h").alias("max_hw_similarity"), out("c").alias("combined_copy_score"), F.coalesce("n", F.lit(0)).cast("long").alias("matches"), (F.coalesce("c", F.lit(0.0)) > 0.40).alias("copy_flag"))

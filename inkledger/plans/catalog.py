@@ -18,8 +18,10 @@ from .oracle import SQL
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: Text similarity from which a peer counts as a match; vector similarity from which a pair is listed.
-MATCH, HAND = 0.25, 0.30
+#: Vector similarity from which ``hw_pairs`` lists a pair.
+HAND = 0.30
+#: No rule of any profile raises a flag for a pair below both.
+RULED = min(p.text_moderate or p.text_high for p in (L.LIVE, L.PEER, L.PEER_ALT)), min(p.same_writer for p in (L.LIVE, L.PEER, L.PEER_ALT))
 TEACHER = "NATION_0"
 
 
@@ -48,12 +50,17 @@ def hands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.evidence(similarity.copy_pairs(subs(spark, d), MATCH), similarity.vector_pairs(hands(spark, d), HAND))
+    """Pairs that a rule can flag."""
+    return similarity.evidence(subs(spark, d), hands(spark, d), *RULED)
+
+
+def maxima(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.peer_maxima(subs(spark, d), hands(spark, d))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     s = subs(spark, d)
-    return scoring.integrity_score(style.ai_probability(s), style.stylometry(s), similarity.copy_batch(s, evidence(spark, d)))
+    return scoring.integrity_score(style.ai_probability(s), style.stylometry(s), similarity.copy_batch(s, maxima(spark, d)))
 
 
 # Text
@@ -193,7 +200,7 @@ def gated_similarity(spark, d):
 def topk_matches(spark, d):
     """The five best matches of each submission by gated text (0.65) and vector (0.35) similarity over 0.25."""
     g = similarity.gated_similarity(subs(spark, d)).select("id_a", "id_b", F.col("similarity").alias("text_sim"))
-    rows = similarity.both_ways(similarity.evidence(g, similarity.vector_pairs(hands(spark, d), HAND)), "text_sim", "hw_sim")
+    rows = similarity.both_ways(similarity.side_by_side(g, similarity.vector_pairs(hands(spark, d), HAND)), "text_sim", "hw_sim")
     rows = rows.withColumn("combined", X.half_up(similarity.combined(F.col("text_sim"), F.col("hw_sim"), 0.65), 3)).where((F.col("combined") > 0.25) | (F.col("hw_sim") > 0.88))
     from pyspark.sql.window import Window
 
@@ -245,12 +252,12 @@ def log_norm(spark, d):
 
 @query
 def copy_batch(spark, d):
-    return similarity.copy_batch(subs(spark, d), evidence(spark, d))
+    return similarity.copy_batch(subs(spark, d), maxima(spark, d))
 
 
 @query
 def best_peer(spark, d):
-    return flags.best_peer(evidence(spark, d))
+    return similarity.best_peer(maxima(spark, d))
 
 
 @query
