@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
@@ -72,10 +73,27 @@ def ngram_pairs(subs: DataFrame, n: int, least: float, stopwords: bool = True, d
     return similar_sets(rows, least, digits)
 
 
-def ngram_mean(subs: DataFrame, least: float = 0.10) -> DataFrame:
-    """Mean of two- and three-gram similarity, each of which is read from ``least`` on."""
-    two, three = (ngram_pairs(subs, n, least, stopwords=False, digits=3).select("id_a", "id_b", F.col("sim").alias(name)) for n, name in ((2, "bi"), (3, "tri")))
-    both = two.join(three, ["id_a", "id_b"], "full").fillna(0.0, ["bi", "tri"])
+def hashed_grams(words: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(X.ngrams(words, n), lambda x: F.xxhash64(x)))
+
+
+def ngram_mean(subs: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """Mean of two- and three-gram similarity of every pair that shares a two-gram; all others have none of either."""
+    rows = subs.select("id", *BLOCK, X.letter_runs(F.col("low")).alias("w")).select("id", *BLOCK, hashed_grams(F.col("w"), 2).alias("two"), hashed_grams(F.col("w"), 3).alias("three"))
+    no_vectors = subs.select("id", *BLOCK, F.lit(None).cast("array<double>").alias("v")).where(F.lit(False))
+
+    def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.Table]:
+        last = a if b is None else b
+        two, three = tiles.Items(a, b, "two"), tiles.Items(a, b, "three")
+        for i, j, at, to in tiles.places(a, b):
+            common = two.products(i, j)
+            bi = tiles.jaccard(common, two.sizes[0][at], two.sizes[-1][to], 3)
+            tri = tiles.jaccard(three.products(i, j), three.sizes[0][at], three.sizes[-1][to], 3)
+            x, y = np.nonzero(np.triu(common, 1) if b is None and i == j else common)
+            one, other = a.column("id").to_numpy()[at][x], last.column("id").to_numpy()[to][y]
+            yield pa.table({"id_a": np.minimum(one, other), "id_b": np.maximum(one, other), "bi": bi[x, y], "tri": tri[x, y]})
+
+    both = tiles.by_tiles(rows, no_vectors, BLOCK, run, "id_a long, id_b long, bi double, tri double", tile)
     return both.withColumn("sim", X.half_up((F.col("bi") + F.col("tri")) / 2, 3))
 
 
@@ -129,15 +147,61 @@ def evidence(subs: DataFrame, vectors: DataFrame, text: float, hand: float) -> D
     return whole_evidence(found, subs, vectors)
 
 
-def side_by_side(texts: DataFrame, hands: DataFrame) -> DataFrame:
-    """Text and vector pairs side by side; a missing similarity is 0."""
-    return texts.select("id_a", "id_b", "text_sim").join(hands.select("id_a", "id_b", "hw_sim"), ["id_a", "id_b"], "full").fillna(0.0, ["text_sim", "hw_sim"])
-
-
 def combined(text: Column, hand: Column, weight: float = 0.6) -> Column:
     return text * weight + hand * (1 - weight)
 
 
+def best_matches(subs: DataFrame, vectors: DataFrame, most: int = 5, tile: int = tiles.TILE) -> DataFrame:
+    """The ``most`` best matches of each submission among all peers: 0.65 gated text + 0.35 vector similarity over 0.25, or vector over 0.88."""
+    rows = subs.select("id", *BLOCK, X.copy_words(F.col("low")).alias("w"))
+    rows = rows.select("id", *BLOCK, hashed_grams(F.col("w"), 3).alias("three"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+
+    def counted(t: pa.Table) -> pa.Table:
+        terms, row = tiles.flat(t, "w")
+        order = np.lexsort((terms, row))
+        terms, row = terms[order], row[order]
+        first = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])]) if len(terms) else np.zeros(0, int)
+        n = np.diff(np.r_[first, len(terms)])
+        cuts = pa.array(np.searchsorted(row[first], np.arange(t.num_rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (terms[first], n)]
+        return t.append_column("term", lists[0]).append_column("times", lists[1])
+
+    def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.Table]:
+        a, b = counted(a), b and counted(b)
+        sides = [a] if b is None else [a, b]
+        ids = [t.column("id").to_numpy() for t in sides]
+        three, terms, hands = tiles.Items(a, b, "three"), tiles.Items(a, b, "term", "times"), tiles.Vectors(a, b)
+        squares = [np.bincount(r, n.astype(float) ** 2, t.num_rows) for t in sides for n, r in [tiles.flat(t, "times")]]
+
+        def top(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            """No more than these can be among the best of all tiles."""
+            order = np.lexsort((rows["peer"], -rows["combined"], rows["id"]))
+            own = rows["id"][order]
+            order = order[np.arange(len(own)) - np.searchsorted(own, own) < most]
+            return {k: v[order] for k, v in rows.items()}
+
+        found = []
+        for i, j, at, to in tiles.places(a, b):
+            ng3 = tiles.jaccard(three.products(i, j), three.sizes[0][at], three.sizes[-1][to], 4)
+            norms = np.sqrt(np.outer(squares[0][at], squares[-1][to]))
+            cos = tiles.half_up(np.divide(terms.products(i, j), norms, out=np.zeros_like(norms), where=norms > 0), 4)
+            text = tiles.half_up(np.minimum(cos, ng3 * 1.5) * 0.6 + ng3 * 0.4, 4)
+            hand = tiles.half_up(hands.cosines(i, j, text.shape), 4)
+            both = tiles.half_up(text * 0.65 + hand * (1 - 0.65), 3)
+            keep = (both > 0.25) | (hand > 0.88)
+            x, y = np.nonzero(np.triu(keep, 1) if b is None and i == j else keep)
+            one, other = ids[0][at][x], ids[-1][to][y]
+            values = {"text_sim": text[x, y], "hw_sim": hand[x, y], "combined": both[x, y]}
+            pieces = [top({"id": k, "peer": p, **values}) for k, p in ((one, other), (other, one))]
+            found.append({k: np.concatenate([z[k] for z in pieces]) for k in pieces[0]})
+        if found:
+            yield pa.table(top({k: np.concatenate([z[k] for z in found]) for k in found[0]}))
+
+    parts = tiles.by_tiles(rows, vectors, BLOCK, run, "id long, peer long, text_sim double, hw_sim double, combined double", tile)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("combined"), "peer"))
+    return parts.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
 def peer_maxima(subs: DataFrame, vectors: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """Maxima over all peers of a block: n peers, largest text (t), vector (h) and combined (c) similarity, best text peer.
 

@@ -199,13 +199,7 @@ def gated_similarity(spark, d):
 @query
 def topk_matches(spark, d):
     """The five best matches of each submission by gated text (0.65) and vector (0.35) similarity over 0.25."""
-    g = similarity.gated_similarity(subs(spark, d)).select("id_a", "id_b", F.col("similarity").alias("text_sim"))
-    rows = similarity.both_ways(similarity.side_by_side(g, similarity.vector_pairs(hands(spark, d), HAND)), "text_sim", "hw_sim")
-    rows = rows.withColumn("combined", X.half_up(similarity.combined(F.col("text_sim"), F.col("hw_sim"), 0.65), 3)).where((F.col("combined") > 0.25) | (F.col("hw_sim") > 0.88))
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("combined"), "peer"))
-    return rows.select("id", "peer", "text_sim", "hw_sim", "combined", rank.alias("rank")).where("rank <= 5")
+    return similarity.best_matches(subs(spark, d), hands(spark, d)).select("id", "peer", "text_sim", "hw_sim", "combined", "rank")
 
 
 @query
