@@ -79,7 +79,7 @@ def pairs(name: str, items: str, least: float, digits: int = 4, school: bool = T
     block = "subject, school" if school else "subject"
     return f"""{name}_i AS (SELECT DISTINCT id, {block}, unnest({items}) AS item FROM (SELECT *, {words} AS w FROM subs)), {name}_n AS (SELECT id, count(*) AS n FROM {name}_i GROUP BY id),
 {name} AS (SELECT * FROM (SELECT id_a, id_b, common::INTEGER AS common, {r('common::DOUBLE / (a.n + b.n - common)', digits)} AS sim FROM (
-  SELECT x.id AS id_a, y.id AS id_b, count(*) AS common FROM {name}_i x JOIN {name}_i y ON x.item = y.item AND x.subject = y.subject {'AND x.school = y.school' if school else ''} AND x.id < y.id GROUP BY ALL)
+  SELECT x.id AS id_a, y.id AS id_b, count(*) AS common FROM {name}_i x JOIN {name}_i y ON x.item = y.item AND x.subject IS NOT DISTINCT FROM y.subject {'AND x.school IS NOT DISTINCT FROM y.school' if school else ''} AND x.id < y.id GROUP BY ALL)
   JOIN {name}_n a ON id_a = a.id JOIN {name}_n b ON id_b = b.id) WHERE sim >= {least}::DOUBLE)"""
 
 
@@ -92,10 +92,13 @@ BWORDS = WORDS.format("low")
 CWORDS = rf"list_filter(regexp_extract_all(low, '\b[a-z]{{2,}}\b'), lambda w: NOT list_contains({arr(L.COPY_STOPWORDS)}, w))"
 LWORDS = "regexp_extract_all(low, '[a-z]+')"
 HANDS = f"""hands AS (SELECT doc_id AS id, lang AS subject, source AS school, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM documents JOIN embeddings ON doc_id = vec_id),
-hw AS (SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, {r('list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))))', 4)} AS hw_sim
-  FROM hands a JOIN hands b ON a.subject = b.subject AND a.school = b.school AND a.id < b.id) WHERE hw_sim >= 0.3::DOUBLE)"""
-TS = pairs("ts", BWORDS, 0.25)
-EVID = "ev AS (SELECT id_a, id_b, coalesce(sim, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim FROM ts FULL JOIN hw USING (id_a, id_b)), evd AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM ev UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM ev)"
+hw AS (SELECT a.id AS id_a, b.id AS id_b, {r('list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x))))', 4)} AS hw_sim
+  FROM hands a JOIN hands b ON a.subject IS NOT DISTINCT FROM b.subject AND a.school IS NOT DISTINCT FROM b.school AND a.id < b.id)"""
+TS = pairs("ts", BWORDS, 0.0)
+#: All pairs of a block, each with both similarities; a side without common words or without two vectors is 0.
+EVID = """ev AS (SELECT a.id AS id_a, b.id AS id_b, coalesce(ts.sim, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim
+  FROM subs a JOIN subs b ON a.subject IS NOT DISTINCT FROM b.subject AND a.school IS NOT DISTINCT FROM b.school AND a.id < b.id LEFT JOIN ts ON ts.id_a = a.id AND ts.id_b = b.id LEFT JOIN hw ON hw.id_a = a.id AND hw.id_b = b.id),
+evd AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM ev UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM ev)"""
 BATCH = f"""batch AS (SELECT subs.id, coalesce({r('t', 3)}, 0.0) AS max_text_similarity, coalesce({r('h', 3)}, 0.0) AS max_hw_similarity, coalesce({r('c', 3)}, 0.0) AS combined_copy_score, coalesce(n, 0)::BIGINT AS matches, coalesce(c, 0.0) > 0.40::DOUBLE AS copy_flag
   FROM subs LEFT JOIN (SELECT id, max(text_sim) AS t, max(hw_sim) AS h, max(text_sim * 0.6::DOUBLE + hw_sim * (1 - 0.6::DOUBLE)) AS c, count(*) AS n FROM evd GROUP BY id) USING (id))"""
 EVS = ", ".join([SUBS, TS, HANDS, EVID])
@@ -175,21 +178,24 @@ SQL: dict[str, str] = {
     "copy_pairs": f"WITH {SUBS}, {pairs('cp', BWORDS, 0.40)} SELECT id_a, id_b, common, sim AS text_sim FROM cp",
     "copy_pairs_by_subject": f"WITH {SUBS}, {pairs('cp', BWORDS, 0.40, school=False)} SELECT id_a, id_b, common, sim AS text_sim FROM cp",
     "ngram_jaccard": f"WITH {SUBS}, {pairs('ng', grams(3), 0.10, words=CWORDS)} SELECT * FROM ng",
-    "ngram_matrix": f"""WITH {SUBS}, {pairs('g2', grams(2), 0.10, 3, words=LWORDS)}, {pairs('g3', grams(3), 0.10, 3, words=LWORDS)}, m AS (SELECT id_a, id_b, coalesce(g2.sim, 0.0) AS bi, coalesce(g3.sim, 0.0) AS tri FROM g2 FULL JOIN g3 USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, bi, tri FROM m UNION ALL SELECT id_b, id_a, bi, tri FROM m) SELECT id, peer, bi, tri, {r('(bi + tri) / 2', 3)} AS sim FROM b""",
+    "ngram_matrix": f"""WITH {SUBS}, {pairs('g2', grams(2), 0.0, 3, words=LWORDS)}, {pairs('g3', grams(3), 0.0, 3, words=LWORDS)}, m AS (SELECT id_a, id_b, coalesce(g2.sim, 0.0) AS bi, coalesce(g3.sim, 0.0) AS tri FROM g2 FULL JOIN g3 USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, bi, tri FROM m UNION ALL SELECT id_b, id_a, bi, tri FROM m) SELECT id, peer, bi, tri, {r('(bi + tri) / 2', 3)} AS sim FROM b""",
     "tf_cosine": f"""WITH {SUBS}, {pairs('cp', BWORDS, 0.40)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id)
   SELECT id_a, id_b, {r('sum(x.n * y.n)::DOUBLE / sqrt(max(a.sq) * max(b.sq))', 4)} AS tf_cos FROM cp JOIN tf x ON x.id = id_a JOIN tf y ON y.id = id_b AND x.term = y.term JOIN nm a ON a.id = id_a JOIN nm b ON b.id = id_b GROUP BY id_a, id_b""",
 }
-GATED = f"""{pairs('ng', grams(3), 0.10, words=CWORDS)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id),
+def gated(least: float) -> str:
+    return f"""{pairs('ng', grams(3), least, words=CWORDS)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id),
 tc AS (SELECT id_a, id_b, max(sim) AS ng3, {r('sum(x.n * y.n)::DOUBLE / sqrt(max(a.sq) * max(b.sq))', 4)} AS tf_cos FROM ng JOIN tf x ON x.id = id_a JOIN tf y ON y.id = id_b AND x.term = y.term JOIN nm a ON a.id = id_a JOIN nm b ON b.id = id_b GROUP BY id_a, id_b),
 gated AS (SELECT id_a, id_b, tf_cos, ng3, {r('least(tf_cos, ng3 * 1.5::DOUBLE) * 0.6::DOUBLE + ng3 * 0.4::DOUBLE', 4)} AS similarity FROM tc)"""
+
+
 SQL |= {
-    "gated_similarity": f"WITH {SUBS}, {GATED} SELECT * FROM gated",
-    "topk_matches": f"""WITH {SUBS}, {GATED}, {HANDS}, e AS (SELECT id_a, id_b, coalesce(similarity, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim FROM gated FULL JOIN hw USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM e UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM e),
+    "gated_similarity": f"WITH {SUBS}, {gated(0.10)} SELECT * FROM gated",
+    "topk_matches": f"""WITH {SUBS}, {gated(0.0)}, {HANDS}, e AS (SELECT id_a, id_b, coalesce(similarity, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim FROM gated FULL JOIN hw USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM e UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM e),
   c AS (SELECT *, {r('text_sim * 0.65::DOUBLE + hw_sim * (1 - 0.65::DOUBLE)', 3)} AS combined FROM b) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY combined DESC, peer)::INTEGER AS rank FROM c WHERE combined > 0.25::DOUBLE OR hw_sim > 0.88::DOUBLE) WHERE rank <= 5""",
     "exact_dup_md5": "SELECT md5(text) AS md5, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "fingerprint_cosine": f"""WITH m AS (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY pos) AS c FROM m GROUP BY label)
   SELECT vec_id, {r('list_sum(list_transform(list_zip(embedding, c), lambda p: p[1]::DOUBLE * p[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(c, lambda x: x * x)))) + 1.0::DOUBLE', 4)} AS cosine_plus_1 FROM embeddings JOIN c USING (label)""",
-    "hw_pairs": f"WITH {HANDS} SELECT * FROM hw",
+    "hw_pairs": f"WITH {HANDS} SELECT * FROM hw WHERE hw_sim >= 0.3::DOUBLE",
     "vector_centroid": """WITH m AS (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL), s AS (SELECT label, sqrt(sum(m * m)) + 1e-8 AS s FROM m GROUP BY label)
   SELECT label, pos::INTEGER AS pos, floor(m / s * 1000000 + 0.5)::BIGINT AS micro FROM m JOIN s USING (label)""",
     "page_feature_avg": f"SELECT l_orderkey AS id, {r('avg(l_quantity::BIGINT)', 4)} AS quantity, {r('avg(round(l_discount * 100)::BIGINT)', 4)} AS discount FROM lineitem GROUP BY 1",
