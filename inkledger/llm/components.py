@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import durable
 
 #: A node is broadcast to its links if it has more than this many, and more than one in so many of the round's edges. The
-#: large star lists each edge from both ends, the small star gets no more edges than it: at most 2,000 nodes are broadcast.
-HOT, SHARES = 1000, 1000
+#: large star lists each edge from both ends, the small star gets no more edges than it: at most 40,000 pairs of numbers
+#: (under 1 MB) are broadcast.
+HOT, SHARES = 100, 20_000
 
 
 def _star(edges: DataFrame, large: bool, hot: int) -> DataFrame:

@@ -7,9 +7,12 @@ a large group is cut between tasks instead of meeting in one. In a task the rows
 them form leaves and runs of nodes form upper nodes, and each node keeps the bits that all below it share. A self-join
 walks down pairs of nodes and drops a pair, with all below it, once the shared bits that differ exceed the radius.
 Groups cut between tasks hand on pages with such bits, which are joined and pruned in the same way. A task keeps a
-spanning forest of its links, so copies never expand into all pairs. Fingerprints may carry further words that no table
-reads: a pair within the radius then links only if all its words together are near enough, which tells similar texts
-from those that merely share passages.
+spanning forest of its links, so copies never expand into all pairs.
+
+For near-copies (``Settings.least``) fingerprints carry further words that no table reads, and a link is no more than a
+candidate: a task hands on the spanning forest whose links have the fewest differing bits, so that the likeliest of
+each cut between its rows is among them, and a candidate joins two texts only if their whole sets of shingles are as
+similar as ``least``.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, slices, tokens
-from .components import components
+from .components import HOT, SHARES, components
 
-FAN, PAGE, CHUNK = 16, 512, 4096
+FAN, PAGE, CHUNK, TILE = 16, 512, 4096, 16
 
 
 @dataclass(frozen=True)
@@ -40,6 +43,7 @@ class Settings:
     radius: int = 4  # differing bits in those words
     more_words: int = 0  # further words of a fingerprint
     whole_radius: int = 0  # differing bits in all words, where there are further ones
+    least: float | None = None  # similarity of the shingle sets that a link must have; fingerprints alone decide without it
     exact: bool = True
     blocks: int = 6
     match: int = 2
@@ -50,6 +54,10 @@ class Settings:
     def names(self) -> list[str]:
         return [f"f{w}" for w in range(self.words + self.more_words)]
 
+    def same(self) -> list[str]:
+        """What texts of one node have in common: the fingerprint and, where sets decide, a hash of the set."""
+        return self.names() + ["set_hash"] * (self.least is not None)
+
     def keys(self) -> list[np.ndarray]:
         """The bit positions of each table."""
         if self.exact:
@@ -69,39 +77,47 @@ def mixed(h: np.ndarray, w: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shingles(text: str | None, width: int) -> list[bytes]:
+    """Runs of ``width`` words joined by a blank, repeats included; the whole sequence if it has fewer, none without words."""
+    ws = tokens(text)
+    n = len(ws)
+    line = b" ".join(ws)
+    if n <= width:
+        return [line] if n else []
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
+    starts = np.r_[0, ends[:-1]][: n - width + 1].tolist()
+    return [line[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def hashes(pieces: list[bytes], seed: int = 42) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter([digest(p, seed) for p in pieces], np.uint64, len(pieces))
+
+
 def fingerprint(text: str | None, z: Settings) -> list[int]:
     """Signed 64-bit words; a bit is set if over half of the shingle hashes (repeats included) have it. No word: zeros.
 
-    The words of the tables take XXH64 with a seed each; further words take the first hash, mixed anew for each.
+    The words of the tables take XXH64 with a seed each; further words take the first hash, mixed anew for each. With
+    ``least`` a hash of the set of the first hashes follows.
     """
-    ws = tokens(text)
-    n = len(ws)
-    if not n:
-        return [0] * (z.words + z.more_words)
-    line = b" ".join(ws)
-    if n <= z.shingle:
-        pieces = [line]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
-        starts = np.r_[0, ends[:-1]][: n - z.shingle + 1].tolist()
-        pieces = [line[a:b] for a, b in zip(starts, (ends[z.shingle - 1 :] - 1).tolist(), strict=True)]
-    out, digest, first = [], xxhash.xxh64_intdigest, None
+    pieces = shingles(text, z.shingle)
+    if not pieces:
+        return [0] * len(z.same())
+    out, first = [], hashes(pieces)
     for w in range(z.words + z.more_words):
-        if w < z.words:
-            h = np.fromiter([digest(p, 42 + w) for p in pieces], np.uint64, len(pieces))
-            first = first if w else h
-        else:
-            h = mixed(first, w)
+        h = mixed(first, w) if w >= z.words else hashes(pieces, 42 + w) if w else first
         ones = np.zeros(64, np.int64)
         for i in range(0, len(h), 65536):
             ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
+    if z.least is not None:
+        out.append(int(np.uint64(xxhash.xxh64_intdigest(np.unique(first).tobytes())).view(np.int64)))
     return out
 
 
 def fingerprints(docs: DataFrame, z: Settings, key: str, text: str) -> DataFrame:
     """(key, f0, f1, ...) for every row."""
-    names = z.names()
+    names = z.same()
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,19 +143,19 @@ def gather_bits(fps: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Hook larger roots to smaller ones until no link joins two trees."""
+def roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[x]
+        if np.array_equal(up, x):
+            return x
+        parent[x] = parent[up]
+        x = up
 
-    def root(x: np.ndarray) -> np.ndarray:
-        while True:
-            up = parent[x]
-            if np.array_equal(up, x):
-                return x
-            parent[x] = parent[up]
-            x = up
 
+def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Hook larger roots to smaller ones until no link joins two trees."""
     while len(a):
-        ra, rb = root(a), root(b)
+        ra, rb = roots(parent, a), roots(parent, b)
         apart = ra != rb
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
         if len(a):
@@ -157,9 +173,62 @@ def forest(parent: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.ascontiguousarray(links[:, 0]), np.ascontiguousarray(links[:, 1])
 
 
-def alike(a: np.ndarray, b: np.ndarray, z: Settings) -> np.ndarray:
-    """Whether the whole fingerprints of pairs within the radius are near enough."""
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int32) <= z.whole_radius
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Which of the links (a, b) make up a spanning forest of least differing bits: shorter ones first, as Kruskal has it."""
+    parent, taken = np.arange(n), []
+    order = np.argsort(far, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(far[order]) > 0, True]) if len(order) else np.zeros(1, int)
+    for s, e in zip(cuts, cuts[1:]):
+        at = order[s:e]
+        while len(at):
+            ra, rb = roots(parent, a[at]), roots(parent, b[at])
+            apart = ra != rb
+            at, high, low = at[apart], np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart]
+            hooks, one = np.unique(high, return_index=True)  # a root hooks to a smaller one by one link
+            parent[hooks] = low[one]
+            taken.append(at[one])
+    return np.concatenate(taken) if taken else np.zeros(0, int)
+
+
+class Links:
+    """What a task keeps of its links: a spanning forest, whatever their number."""
+
+    def __init__(self, n: int, z: Settings, most: int = 300_000):
+        self.n, self.z, self.most, self.parent = n, z, most, np.arange(n)
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Pairs of rows within the radius, and their whole fingerprints."""
+        if self.z.least is None:
+            self.held.append((a, b))
+        else:
+            far = np.bitwise_count(one ^ two).sum(1, dtype=np.int32)
+            near = far <= self.z.whole_radius
+            self.held.append((a[near], b[near], far[near]))
+        self.size += len(self.held[-1][0])
+        if self.size > self.most:
+            self.reduce()
+
+    def reduce(self) -> None:
+        if not self.held:
+            return
+        cols = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        if self.z.least is None:
+            unite(self.parent, *cols)
+            self.held, self.size = [], 0
+        else:
+            keep = nearest_forest(self.n, *cols)
+            self.held, self.size = [tuple(c[keep] for c in cols)], 0  # what stays is less than one for each row
+
+    def links(self, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.reduce()
+        if self.z.least is None:
+            return forest(self.parent, rep)
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = (rep[x] for x in self.held[0][:2])
+        return np.maximum(a, b), np.minimum(a, b)
 
 
 class GrayIndex:
@@ -215,7 +284,7 @@ class GrayIndex:
                 stack.append((level - 1, ca, cb))
 
 
-EDGE = "a long, b long, key long, part int, ones array<long>, zeros array<long>, items binary"
+EDGE = "a long, b long, key long, part int, page int, ones array<long>, zeros array<long>, items binary"
 
 
 def _rows(a, b, pages: list[tuple]) -> pa.RecordBatch:
@@ -223,7 +292,7 @@ def _rows(a, b, pages: list[tuple]) -> pa.RecordBatch:
     none = [None] * n
     col = lambda i, t: pa.array(none + [p[i] for p in pages], t)
     longs = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), col(0, pa.int64()), col(1, pa.int32()), col(2, longs), col(3, longs), col(4, pa.binary())], ["a", "b", "key", "part", "ones", "zeros", "items"])
+    return pa.RecordBatch.from_arrays([pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), col(0, pa.int64()), col(1, pa.int32()), col(2, pa.int32()), col(3, longs), col(4, longs), col(5, pa.binary())], ["a", "b", "key", "part", "page", "ones", "zeros", "items"])
 
 
 def link_nodes(nodes: DataFrame, z: Settings) -> DataFrame:
@@ -254,25 +323,16 @@ def link_nodes(nodes: DataFrame, z: Settings) -> DataFrame:
             for i in range(s, e, PAGE):
                 x = fps[i : min(e, i + PAGE)]
                 ones, zeros = np.bitwise_and.reduce(x[:, : z.words], 0), ~np.bitwise_or.reduce(x[:, : z.words], 0)
-                pages.append((int(key[s]), part, ones.view(np.int64).tolist(), zeros.view(np.int64).tolist(), x.tobytes() + rep[i : min(e, i + PAGE)].tobytes()))
+                pages.append((int(key[s]), part, len(pages), ones.view(np.int64).tolist(), zeros.view(np.int64).tolist(), x.tobytes() + rep[i : min(e, i + PAGE)].tobytes()))
         more = np.repeat(ends - starts > 1, ends - starts)
         key, rep, fps = key[more], rep[more], fps[more]
         a = b = np.zeros(0, np.int64)
         if len(key):
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            parent, todo, size = np.arange(len(key)), [], 0
+            links = Links(len(key), z)
             for x, y in GrayIndex(np.ascontiguousarray(fps[:, : z.words]), starts).links(z.radius):
-                if z.more_words:
-                    near = alike(fps[x], fps[y], z)
-                    x, y = x[near], y[near]
-                todo.append((x, y))
-                size += len(x)
-                if size > 300_000:
-                    unite(parent, *map(np.concatenate, zip(*todo, strict=True)))
-                    todo, size = [], 0
-            if todo:
-                unite(parent, *map(np.concatenate, zip(*todo, strict=True)))
-            a, b = forest(parent, rep)
+                links.add(x, y, fps[x], fps[y])
+            a, b = links.links(rep)
         yield _rows(a, b, pages)
 
     def link_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,24 +344,69 @@ def link_nodes(nodes: DataFrame, z: Settings) -> DataFrame:
                 r = [s[k * len(names) :].view(np.int64) for s, k in zip(sides, n, strict=True)]
                 far = sum(np.bitwise_count(f[0][:, None, w] ^ f[1][None, :, w]).astype(np.int32) for w in range(z.words))
                 i, j = np.nonzero(far <= z.radius)
-                if z.more_words:
-                    near = alike(f[0][i], f[1][j], z)
-                    i, j = i[near], j[near]
                 if len(i):
-                    parent = np.arange(n[0] + n[1])
-                    unite(parent, i, j + n[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(parent, np.concatenate(r))], ["a", "b"])
+                    links = Links(n[0] + n[1], z)
+                    links.add(i, j + n[0], f[0][i], f[1][j])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in links.links(np.concatenate(r))], ["a", "b"])
 
     spark = nodes.sparkSession
     n = nodes.count() * len(keys)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // z.rows_per_task))
     rows = nodes.mapInArrow(deal, "key long, gray long, " + ", ".join(f"{x} long" for x in names) + ", rep long")
     found = durable(rows.repartitionByRange(tasks, "key", "gray").mapInArrow(link, EDGE))
-    pages = found.where(F.col("key").isNotNull()).select("key", "part", "ones", "zeros", "items")
-    p, q = pages.alias("p"), pages.alias("q")
+    return found.where(F.col("a").isNotNull()).select("a", "b").unionAll(cut_links(found.where(F.col("key").isNotNull()), z).mapInArrow(link_pages, "a long, b long"))
+
+
+def cut_links(pages: DataFrame, z: Settings) -> DataFrame:
+    """(one, two): pages of a group that lie in different tasks and whose shared bits leave the radius possible.
+
+    A key's pages are dealt to tiles of about ``TILE`` and each pair of tiles is a key of its own, so that a hot key is
+    compared in many tasks; only the shared bits travel there, the fingerprints follow for the pairs that are left. At
+    most two keys are cut at the end of each task, so the broadcast sizes are bounded by the number of tasks.
+    """
+    pages = pages.select("key", "part", "page", "ones", "zeros", "items")
+    sizes = F.broadcast(pages.groupBy("key").agg(F.ceil(F.count("*") / F.lit(float(TILE))).cast("int").alias("k"), F.min("part").alias("first"), F.max("part").alias("last")).where("first < last").select("key", "k"))
+    bits = pages.drop("items").join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("part", "page"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    p, q = bits.alias("p"), bits.alias("q")
     apart = sum((F.bit_count((F.col("p.ones")[w].bitwiseAND(F.col("q.zeros")[w])).bitwiseOR(F.col("q.ones")[w].bitwiseAND(F.col("p.zeros")[w]))) for w in range(z.words)), F.lit(0))
-    cut = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.part") < F.col("q.part")) & (apart <= z.radius)).select(F.col("p.items").alias("one"), F.col("q.items").alias("two"))
-    return found.where(F.col("a").isNotNull()).select("a", "b").unionAll(cut.mapInArrow(link_pages, "a long, b long"))
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.t") == F.col("q.o")) & (F.col("p.o") == F.col("q.t")) & (F.col("p.part") < F.col("q.part")) & (apart <= z.radius))
+    place = lambda x: [F.col(f"{x}.{c}").alias(f"{x}_{c}") for c in ("part", "page")]
+    met = met.select(*place("p"), *place("q"))
+    for x, name in (("p", "one"), ("q", "two")):
+        met = met.join(pages.select(F.col("part").alias(f"{x}_part"), F.col("page").alias(f"{x}_page"), F.col("items").alias(name)), [f"{x}_part", f"{x}_page"])
+    return met.select("one", "two")
+
+
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(key, items): the sorted distinct 64-bit hashes of each text's shingles; ``docs`` has key and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(hashes(shingles(t, width))).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "items"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, items array<long>")
+
+
+def checked_links(edges: DataFrame, texts: DataFrame, z: Settings) -> DataFrame:
+    """Those edges (a, b) whose texts' shingle sets are as similar as ``z.least``; ``texts`` has key and text.
+
+    Only texts of an edge are cut into shingles. Two different shingles of a pair count as one if their 64-bit hashes are
+    equal: odds of about 1e-12 for texts of a few thousand words. A node of very many edges is dealt to several keys.
+    """
+    edges = durable(edges.where("a <> b").distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    # No more than 40,000 nodes can have more than one in 20,000 of all ends: a bounded table of numbers.
+    hot = F.broadcast(ends.where(F.col("n") > F.lit(max(HOT, 2 * edges.count() // SHARES))).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("k")))
+    sets = shingle_sets(texts.join(ends.select("key"), "key", "left_semi"), z.shingle)
+    sets = durable(sets.groupBy("key").agg(F.min("items").alias("items")))
+    spread = sets.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    rows = edges
+    for x, other in (("a", "b"), ("b", "a")):
+        salted = rows.join(hot.withColumnRenamed("key", x), x, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
+        rows = salted.join(spread.select(F.col("key").alias(x), "salt", F.col("items").alias(f"set_{x}")), [x, "salt"]).drop("salt")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return rows.select("a", "b", common.alias("c"), (F.size("set_a") + F.size("set_b")).alias("n")).where(F.col("c") >= F.lit(z.least) * (F.col("n") - F.col("c")) - 1e-9).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -309,15 +414,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
 
     Null, empty and blank texts have fingerprint zero and link like any other. A row with a null key belongs to the
     component of its fingerprint and never names one; if no row of a component has a key, component_id is null.
-    Repeated rows repeat in the result.
+    Repeated rows repeat in the result. Where sets decide (``Settings.least``), texts of equal sets are one node, and rows
+    of one key are one document, compared by one of their texts.
     """
     z = settings
-    names = z.names()
+    names, same = z.names(), z.same()
     rows = durable(fingerprints(docs, z, key, text))
-    nodes = durable(rows.groupBy(*names).agg(F.min("key").alias("rep")))
-    found = components(link_nodes(nodes, z))
-    named = nodes.join(found, nodes.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, names).select(F.col("key").alias(key), *names, "component_id")
+    nodes = durable(rows.groupBy(*same).agg(F.min("key").alias("rep")))
+    edges = link_nodes(nodes, z)
+    if z.least is not None:
+        edges = checked_links(edges, docs.select(F.col(key).alias("key"), F.col(text).alias("text")), z)
+    found = components(edges)
+    named = nodes.join(found, nodes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(named, same).select(F.col("key").alias(key), *names, "component_id")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -334,6 +443,6 @@ def linked_documents(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near-copies for filtering: five words. Two texts of similarity 0.8 differ in 15 % of the bits: about 19 of the 128 that
-#: are searched, give or take 4, and 58 of all 384, give or take 7; at similarity 0.6 they differ in about 88.
-NEAR_COPIES = Settings(shingle=5, words=2, radius=28, more_words=4, whole_radius=68, exact=False, tables=64, bits=17)
+#: Near-copies for filtering: five words, similarity 0.8. Two texts of that similarity differ in 15 % of the bits: about 19
+#: of the 128 that are searched, give or take 4, and 58 of all 384, give or take 7.
+NEAR_COPIES = Settings(shingle=5, words=2, radius=30, more_words=4, whole_radius=76, least=0.8, exact=False, tables=64, bits=17)

@@ -120,7 +120,58 @@ def test_near_copies_link_and_shared_passages_do_not(spark):
         z = replace(simhash.NEAR_COPIES, rows_per_task=per_task)
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, settings=z).collect()}
         assert all(got[3 * i + 1] == 3 * i for i in range(30))
-        assert sum(got[3 * i + 2] != 3 * i + 2 for i in range(30)) <= 2
+        assert all(got[3 * i + 2] == 3 * i + 2 for i in range(30))
+
+
+def word_sets(texts, width=5):
+    return [frozenset(simhash.shingles(t, width)) for t in texts]
+
+
+@pytest.mark.parametrize("page,rows_per_task", [(512, 1_000_000), (4, 50)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, page, rows_per_task):
+    """Edited copies at similarities from 0.4 to 1: nothing joins without a link of 0.8, few links of 0.8 are missed."""
+    monkeypatch.setattr(simhash, "PAGE", page)
+    rng = np.random.default_rng(11)
+    texts = []
+    for i in range(25):
+        base = [f"{i}w{k}" for k in rng.integers(0, 500, 200)]
+        texts.append(" ".join(base))
+        for _ in range(8):
+            edit = list(base)
+            for k in rng.choice(200, rng.integers(0, 12), replace=False):
+                edit[k] = f"e{rng.integers(10**6)}"
+            texts.append(" ".join(edit))
+    texts += [None, "", "one two", "One  two", "one two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, settings=replace(simhash.NEAR_COPIES, rows_per_task=rows_per_task)).collect()}
+    sets = word_sets(texts)
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = groups(len(texts), links)
+    assert all(want[i] == want[c] for i, c in got.items())
+    dropped = [i for i, w in enumerate(want) if w != i]
+    assert len(dropped) > 60 and sum(got[i] != i for i in dropped) >= 0.95 * len(dropped)
+
+
+def test_a_node_of_many_links_is_checked_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 10)
+    texts = ["a b c d e f g h i j"] + [f"a b c d e f g h i j x{k}" if k % 2 else f"z{k} b q d e f" for k in range(1, 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").union(spark.createDataFrame([(3, "another text of this key"), (None, "x")], "key long, text string"))
+    edges = spark.createDataFrame([(k, 0) for k in range(60)] * 2, "a long, b long")
+    got = {(r.a, r.b) for r in simhash.checked_links(edges, docs, simhash.NEAR_COPIES).collect()}
+    sets = word_sets(texts)
+    assert got == {(k, 0) for k in range(1, 60) if len(sets[k] & sets[0]) >= 0.8 * len(sets[k] | sets[0])} - ({(3, 0)} - got)
+
+
+def test_nearest_forest_is_a_least_spanning_forest():
+    rng = np.random.default_rng(12)
+    for _ in range(30):
+        n = int(rng.integers(2, 40))
+        a, b = rng.integers(0, n, (2, 120))
+        far = rng.integers(0, 6, 120)
+        keep = simhash.nearest_forest(n, a, b, far)
+        for d in range(6):  # at every cut-off the forest joins what all links join
+            assert groups(n, zip(a[far <= d], b[far <= d], strict=True)) == groups(n, [(a[i], b[i]) for i in keep if far[i] <= d])
+        assert len(keep) == n - len(set(groups(n, zip(a, b, strict=True))))
 
 
 def test_further_words_are_hashes_of_their_own():
