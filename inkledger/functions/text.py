@@ -41,6 +41,11 @@ def blank_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \n]+"), lambda w: w != "")
 
 
+def count_words(text: Column) -> Column:
+    """How many whitespace words."""
+    return F.regexp_count(text, F.lit(r"[^ \n]+"))
+
+
 def style_words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(r"\b[a-z']+\b"), F.lit(0))
 
@@ -79,7 +84,7 @@ def lexical_richness(content: Column, window: int = 50) -> Column:
     (word, place) this is the sum of distinct words over all frames, without looking at any frame.
     """
     n = F.size(content)
-    places = F.array_sort(F.transform(content, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    places = F.sort_array(F.transform(content, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     start = F.struct(F.lit(0).cast("long").alias("frames"), F.lit(0).alias("words"), F.lit(None).cast("long").alias("w"), F.lit(-1).alias("i"))
 
     def step(state: Column, x: Column) -> Column:
@@ -92,6 +97,54 @@ def lexical_richness(content: Column, window: int = 50) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(half_up(sums, 3))
 
 
+#: Lower-case characters of a cleaned text, the frequent ones first.
+CLEAN_CHARACTERS = " etaoinshrdlucmfwypvbgk" + "".join(c for c in map(chr, [10, *range(0x20, 0x7F)]) if not c.isupper() and c not in " etaoinshrdlucmfwypvbgk")
+
+
+def character_entropy(lowered: Column) -> Column:
+    """Bits per character of a cleaned text: each character in turn is taken out and the bytes that go are counted."""
+    start = F.struct(lowered.alias("rest"), F.octet_length(lowered).alias("before"), F.lit(0.0).alias("s"))
+
+    def counted(state: Column) -> Column:
+        n = (state["before"] - F.octet_length(state["rest"])).cast("double")
+        return state["s"] + F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+
+    def step(state: Column, c: Column) -> Column:
+        return F.struct(F.replace(state["rest"], c, F.lit("")).alias("rest"), F.octet_length(state["rest"]).alias("before"), counted(state).alias("s"))
+
+    size = F.octet_length(lowered)
+    return F.log2(size) - F.aggregate(words_in(list(CLEAN_CHARACTERS)), start, step, counted) / size
+
+
+def frequent_words(words: Column, most: int, chunk: int) -> Column:
+    """The most frequent words, ties by first position: array of (count, first, word, squares).
+
+    Counts are negative, so that the order of the structs is that of the words; ``squares`` sums the squared counts over
+    chunks of so many words. Words sorted by (word, place) make runs; a run that ends meets the best so far.
+    """
+    run = "struct<count:int,first:int,word:string,squares:bigint>"
+    places = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    start = F.struct(F.array().cast(f"array<{run}>").alias("top"), F.lit(None).cast("string").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("first"), F.lit(0).cast("long").alias("squares"), F.lit(0).alias("here"), F.lit(-1).alias("chunk"))
+
+    def best(state: Column) -> Column:
+        ended = F.struct((-state["n"]).alias("count"), state["first"].alias("first"), state["w"].alias("word"), (state["squares"] + state["here"].cast("long") * state["here"]).alias("squares"))
+        full = F.size(state["top"]) >= most
+        worse = full & (F.struct(ended["count"], ended["first"]) > F.struct(F.element_at(state["top"], -1)["count"], F.element_at(state["top"], -1)["first"]))
+        return F.when(state["w"].isNull() | F.coalesce(worse, F.lit(False)), state["top"]).otherwise(F.slice(F.sort_array(F.array_append(state["top"], ended)), 1, most))
+
+    def step(state: Column, x: Column) -> Column:
+        again = F.coalesce(state["w"] == x["w"], F.lit(False))
+        at = F.floor(x["i"] / chunk).cast("int")
+        same = again & (state["chunk"] == at)
+        done = F.when(again, state["squares"] + F.when(same, 0).otherwise(state["here"].cast("long") * state["here"])).otherwise(F.lit(0).cast("long"))
+        return F.struct(
+            F.when(again, state["top"]).otherwise(best(state)).alias("top"), x["w"].alias("w"), F.when(again, state["n"] + 1).otherwise(1).alias("n"), F.when(again, state["first"]).otherwise(x["i"]).alias("first"),
+            done.alias("squares"), F.when(same, state["here"] + 1).otherwise(1).alias("here"), at.alias("chunk"),
+        )
+
+    return F.aggregate(places, start, step, best)
+
+
 def total(values: Column, of=lambda x: x) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + of(x))
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..sources import durable
 from . import tiles
 
 BLOCK = ("subject", "school")
@@ -20,20 +21,28 @@ BLOCK = ("subject", "school")
 def similar_sets(rows: DataFrame, least: float, digits: int = 4) -> DataFrame:
     """Pairs (a < b) of one block whose Jaccard similarity, rounded half up, is ``least`` or more.
 
-    ``rows`` has id, the block columns and ``items`` (array of strings, repeats ignored). Rows of equal sets form one
-    class and only classes are compared. Any pair at the threshold shares one of the first ``n - ceil(t n) + 1`` of its
-    rarest items, so candidates come from an equi-join on those prefixes alone: an item that very many sets hold is
-    nobody's prefix unless the sets have little else. Sizes and the places of the items met prune further, and whole sets
-    decide.
+    ``rows`` has id, the block columns, ``same`` (a digest of the whole text) and ``items`` (distinct 64-bit hashes; two
+    items of a pair meet by chance at odds under 1e-12). Equal texts of a block form one class: classes are listed through
+    their smallest ids, and each further member once, with that id (``common`` is then its own size, ``sim`` 1), so
+    copies never expand into all pairs and no link between different texts is lost. Any pair at the threshold shares one
+    of the first ``n - ceil(t n) + 1`` of its rarest items, so candidates come from an equi-join on those prefixes alone:
+    an item that very many sets hold is nobody's prefix unless the sets have little else. Sizes and the places of the
+    items met prune further, and whole sets decide.
     Columns: id_a, id_b, common, sim. Empty sets are similar to nothing.
     """
     t = least - 0.5 * 10**-digits
-    sets = rows.select("id", *BLOCK, F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x)))).alias("items"))
-    sets = sets.withColumn("sign", F.xxhash64(*BLOCK, "items"))
-    classes = sets.groupBy(*BLOCK, "sign").agg(F.min("id").alias("rep"), F.first("items").alias("items")).where(F.size("items") > 0)  # not on the rows: pushed down it would tokenise again
+    sets = durable(rows.select("id", *BLOCK, "same", "items")).where(F.size("items") > 0)  # not before: pushed down it would tokenise again
+    first = sets.groupBy(*BLOCK, "same").agg(F.min("id").alias("rep"))
+    blocks = [F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in BLOCK]
+    member = sets.select("id", *BLOCK, "same", F.size("items").alias("n")).alias("s").join(first.alias("f"), [F.col("s.same") == F.col("f.same"), *blocks]).where("id <> rep").select("rep", "id", "n")
+    classes = sets.join(first.select("rep"), F.col("id") == F.col("rep"), "left_semi").select(*BLOCK, F.col("id").alias("rep"), "items")
     each = classes.select(*BLOCK, "rep", F.size("items").alias("n"), F.explode("items").alias("item"))
-    freq = each.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = each.join(freq, "item").groupBy(*BLOCK, "rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("r"))
+    freq = durable(each.groupBy("item").agg(F.count("*").alias("df")))
+    # Items that make up more than one in 20,000 of all are at most 20,000: their numbers go to the rows, not the rows to them.
+    often = freq.where(F.col("df") > F.lit((freq.agg(F.sum("df")).first()[0] or 0) / 20_000))
+    known = each.join(F.broadcast(often), "item", "left")
+    counted = known.where("df IS NOT NULL").unionByName(known.where("df IS NULL").drop("df").join(freq, "item"))
+    ranked = counted.groupBy(*BLOCK, "rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("r"))
     prefix = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
     heads = ranked.select(*BLOCK, "rep", "n", F.posexplode(F.slice("r", F.lit(1), F.greatest(prefix, F.lit(1)))).alias("pos", "x")).select(*BLOCK, "rep", "n", (F.col("pos") + 1).alias("pos"), F.col("x.item").alias("item"))
     p, q = heads.alias("p"), heads.alias("q")
@@ -44,37 +53,42 @@ def similar_sets(rows: DataFrame, least: float, digits: int = 4) -> DataFrame:
     # All common items beyond those met come after the last of them in both orders.
     most = F.col("c") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
     pairs = met.where(most >= (F.col("na") + F.col("nb")) * (t / (1 + t)) - 1e-6).select("a", "b")
-    one = classes.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
-    two = classes.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", common.alias("common"), (F.size("items_a") + F.size("items_b")).alias("both"))
+    one, two = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("items_a", "items_b")).alias("common"), (F.size("items_a") + F.size("items_b")).alias("both"))
     found = found.select("a", "b", "common", X.half_up(F.col("common") / (F.col("both") - F.col("common")), digits).alias("sim")).where(F.col("sim") >= least)
-    member = sets.join(classes.select(*BLOCK, "sign", "rep"), [*BLOCK, "sign"]).select("id", "rep", F.size("items").alias("n"))
-    i, j = member.alias("i"), member.alias("j")
-    across = found.join(i, F.col("a") == F.col("i.rep")).join(j, F.col("b") == F.col("j.rep")).select(F.col("i.id").alias("x"), F.col("j.id").alias("y"), "common", "sim")
-    within = i.join(j, (F.col("i.rep") == F.col("j.rep")) & (F.col("i.id") < F.col("j.id"))).select(F.col("i.id").alias("x"), F.col("j.id").alias("y"), F.col("i.n").alias("common"), F.lit(1.0).alias("sim"))
-    every = across.unionByName(within)
-    return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "common", "sim")
+    every = found.unionAll(member.select("rep", "id", "n", F.lit(1.0)))
+    return every.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "common", "sim")
+
+
+def equal_texts(subs: DataFrame) -> DataFrame:
+    """(id, rep): every submission and the smallest id of its block with the same text."""
+    first = subs.groupBy(*BLOCK, F.sha2("low", 256).alias("same")).agg(F.min("id").alias("rep"))
+    each = subs.select("id", *BLOCK, F.sha2("low", 256).alias("same"))
+    return each.alias("s").join(first.alias("f"), [F.col("s.same") == F.col("f.same"), *[F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in BLOCK]]).select("id", "rep")
+
+
+def hashed(items: Column) -> Column:
+    return F.array_distinct(F.transform(items, lambda x: F.xxhash64(x)))
 
 
 def word_sets(subs: DataFrame) -> DataFrame:
-    return subs.select("id", *BLOCK, X.blank_words(F.col("low")).alias("items"))
+    return subs.select("id", *BLOCK, F.sha2("low", 256).alias("same"), hashed(X.blank_words(F.col("low"))).alias("items"))
 
 
 def copy_pairs(subs: DataFrame, least: float = 0.40) -> DataFrame:
-    """Pairs by word sets, punctuation kept."""
+    """Pairs by word sets, punctuation kept; copies as ``similar_sets`` lists them."""
     return similar_sets(word_sets(subs), least).withColumnRenamed("sim", "text_sim")
 
 
 def ngram_pairs(subs: DataFrame, n: int, least: float, stopwords: bool = True, digits: int = 4) -> DataFrame:
     """Pairs by sets of word n-grams, without stop words or over all letter runs."""
     words = X.copy_words(F.col("low")) if stopwords else X.letter_runs(F.col("low"))
-    rows = subs.select("id", *BLOCK, words.alias("w")).select("id", *BLOCK, X.ngrams(F.col("w"), n).alias("items"))
+    rows = subs.select("id", *BLOCK, F.sha2("low", 256).alias("same"), words.alias("w")).select("id", *BLOCK, "same", hashed_grams(F.col("w"), n).alias("items"))
     return similar_sets(rows, least, digits)
 
 
 def hashed_grams(words: Column, n: int) -> Column:
-    return F.array_distinct(F.transform(X.ngrams(words, n), lambda x: F.xxhash64(x)))
+    return hashed(X.ngrams(words, n))
 
 
 def ngram_mean(subs: DataFrame, tile: int = tiles.TILE) -> DataFrame:
@@ -98,11 +112,13 @@ def ngram_mean(subs: DataFrame, tile: int = tiles.TILE) -> DataFrame:
 
 
 def tf_cosine(subs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Cosine of term frequencies for given pairs (id_a, id_b): only their terms are joined."""
-    terms = subs.select("id", F.explode(X.copy_words(F.col("low"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+    """Cosine of term frequencies for given pairs (id_a, id_b): only texts of a pair are read for terms."""
+    keys = durable(pairs.select("id_a", "id_b").distinct())
+    ids = keys.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    each = subs.join(ids, "id", "left_semi").select("id", F.explode(X.copy_words(F.col("low"))).alias("term"))
+    terms = durable(each.groupBy("id", "term").agg(F.count("*").alias("n")))
     norms = terms.groupBy("id").agg(F.sum(F.col("n") * F.col("n")).alias("sq"))
     a, b = terms.select(F.col("id").alias("id_a"), "term", F.col("n").alias("na")), terms.select(F.col("id").alias("id_b"), "term", F.col("n").alias("nb"))
-    keys = pairs.select("id_a", "id_b").distinct()
     dots = keys.join(a, "id_a").join(b, ["id_b", "term"]).groupBy("id_a", "id_b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     x, y = norms.select(F.col("id").alias("id_a"), F.col("sq").alias("sa")), norms.select(F.col("id").alias("id_b"), F.col("sq").alias("sb"))
     return dots.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", X.half_up(F.col("dot") / F.sqrt(F.col("sa").cast("double") * F.col("sb")), 4).alias("tf_cos"))
@@ -110,19 +126,31 @@ def tf_cosine(subs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def gated_similarity(subs: DataFrame, least: float = 0.10) -> DataFrame:
     """0.6 min(cosine, 1.5 three-gram) + 0.4 three-gram, for pairs with three-gram similarity from ``least`` on."""
-    three = ngram_pairs(subs, 3, least).select("id_a", "id_b", F.col("sim").alias("ng3"))
+    three = durable(ngram_pairs(subs, 3, least).select("id_a", "id_b", F.col("sim").alias("ng3")))
     rows = three.join(tf_cosine(subs, three), ["id_a", "id_b"])
     return rows.select("id_a", "id_b", "tf_cos", "ng3", X.half_up(F.least("tf_cos", F.col("ng3") * 1.5) * 0.6 + F.col("ng3") * 0.4, 4).alias("similarity"))
 
 
-def vector_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of one block with cosine ``least`` or more, 4 digits; ``vectors`` has id, block columns, v."""
+def vector_pairs(vectors: DataFrame, least: float, tile: int = tiles.TILE) -> DataFrame:
+    """Pairs (a < b) of one block with cosine ``least`` or more, 4 digits; ``vectors`` has id, block columns, v.
+
+    Pairs of tiles of a block are tasks of their own; the few pairs that come near the cut are computed once more from
+    the vectors themselves, so that digits do not depend on how a matrix product adds up.
+    """
     unit = vectors.where(F.col("v").isNotNull() & (F.size("v") > 0))
-    a, b = unit.alias("p"), unit.alias("q")
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in BLOCK]
-    pairs = a.join(b, [*same, F.col("p.id") < F.col("q.id")])
-    sim = X.half_up(V.cosine(F.col("p.v"), F.col("q.v")), 4)
-    return pairs.select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"), sim.alias("hw_sim")).where(F.col("hw_sim") >= least)
+
+    def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.Table]:
+        last, both = a if b is None else b, tiles.Vectors(a, b)
+        for i, j, at, to in tiles.places(a, b):
+            near = both.cosines(i, j, (at.stop - at.start, to.stop - to.start)) >= least - 1e-4
+            x, y = np.nonzero(np.triu(near, 1) if b is None and i == j else near)
+            one, other = a.column("id").to_numpy()[at][x], last.column("id").to_numpy()[to][y]
+            yield pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+
+    near = tiles.by_tiles(unit.select("id", *BLOCK), unit, BLOCK, run, "a long, b long", tile)
+    p, q = (unit.select(F.col("id").alias(x), F.col("v").alias(f"v_{x}")) for x in "ab")
+    sim = X.half_up(V.cosine(F.col("v_a"), F.col("v_b")), 4)
+    return near.join(p, "a").join(q, "b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), sim.alias("hw_sim")).where(F.col("hw_sim") >= least)
 
 
 def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
@@ -132,7 +160,7 @@ def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
 
 def whole_evidence(pairs: DataFrame, subs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Text and vector similarity of given pairs (id_a, id_b), both from the whole sets and vectors."""
-    sets = word_sets(subs).select("id", F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))).alias("s")).join(vectors.select("id", "v"), "id", "left")
+    sets = word_sets(subs).select("id", F.col("items").alias("s")).join(vectors.select("id", "v"), "id", "left")
     a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("s").alias(f"s_{k}"), F.col("v").alias(f"v_{k}")) for k in "ab")
     rows = pairs.select("id_a", "id_b").distinct().join(a, "id_a").join(b, "id_b")
     common = F.size(F.array_intersect("s_a", "s_b"))
@@ -142,8 +170,17 @@ def whole_evidence(pairs: DataFrame, subs: DataFrame, vectors: DataFrame) -> Dat
 
 
 def evidence(subs: DataFrame, vectors: DataFrame, text: float, hand: float) -> DataFrame:
-    """Pairs from text similarity ``text`` or vector similarity ``hand`` on, with both similarities whole."""
-    found = copy_pairs(subs, text).select("id_a", "id_b").unionByName(vector_pairs(vectors, hand).select("id_a", "id_b"))
+    """Pairs from text similarity ``text`` or vector similarity ``hand`` on, with both similarities whole.
+
+    Where texts have copies, a submission meets the first submission of its own text and of each similar text, so the
+    pairs of a class grow with its members and not with their square.
+    """
+    similar = durable(copy_pairs(subs, text).select("id_a", "id_b"))
+    member = durable(equal_texts(subs).where("id <> rep"))
+    a, b = (member.select(F.col("id").alias("other"), F.col("rep").alias(f"id_{x}")) for x in "ab")
+    own = similar.join(member.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")), ["id_a", "id_b"], "left_anti")
+    more = own.join(a, "id_a").select("other", "id_b").unionAll(own.join(b, "id_b").select("other", "id_a")).toDF("x", "y")
+    found = similar.unionAll(more.select(F.least("x", "y"), F.greatest("x", "y"))).unionByName(vector_pairs(vectors, hand).select("id_a", "id_b"))
     return whole_evidence(found, subs, vectors)
 
 
@@ -208,7 +245,7 @@ def peer_maxima(subs: DataFrame, vectors: DataFrame, tile: int = tiles.TILE) ->
     ``best`` is (negative text similarity, peer, its vector similarity): ties go to the smaller peer; null without common words.
     A submission without peers has no row.
     """
-    rows = word_sets(subs).withColumn("items", F.array_distinct(F.transform("items", lambda x: F.xxhash64(x))))
+    rows = word_sets(subs).drop("same")
 
     def run(a: pa.Table, b: pa.Table | None) -> Iterator[pa.Table]:
         sides = [a] if b is None else [a, b]

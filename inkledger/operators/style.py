@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
 from ..functions import text as X
@@ -18,106 +17,172 @@ def text_stats(subs: DataFrame) -> DataFrame:
 
 
 def sentence_lengths(text: Column, longer_than: int) -> Column:
-    return F.transform(X.sentences(text, longer_than), lambda s: F.size(X.blank_words(s)))
+    return F.transform(X.sentences(text, longer_than), X.count_words)
+
+
+# Each signal is a pair of projections over the same rows: arrays of a text first, then the values made of them. All
+# signals of a text thus come from one scan, without a shuffle.
+
+Step = tuple[dict[str, Column], dict[str, Column]]
+
+
+def of_sentences(longer_than: int = 5) -> Step:
+    lengths = F.col("lengths")
+    mean, var, std = X.length_moments(lengths)
+    out = lambda c, k: F.coalesce(X.half_up(c, k), F.lit(0.0))
+    values = {"sentences": F.size(lengths), "mean": out(mean, 2), "variance": out(var, 2), "std": out(std, 2), "cv": F.when(mean > 0, X.half_up(std / mean, 3)).otherwise(F.lit(0.0))}
+    return {"lengths": sentence_lengths(F.col("text"), longer_than)}, values
+
+
+def of_words() -> Step:
+    w = F.col("style_w")
+    content = F.transform(X.content_words(w), lambda x: F.xxhash64(x))
+    return {"style_w": X.style_words(F.col("low"))}, {"word_count": F.size(w), "letters": X.total(w, F.length), "content": content}
+
+
+def of_markers() -> Step:
+    a, h = F.col("ai_m"), F.col("human_m")
+    found = {"ai_m": X.markers_found(F.col("low"), L.AI_MARKERS), "human_m": X.markers_found(F.col("low"), L.HUMAN_MARKERS)}
+    ratio = lambda x, of: X.half_up(F.size(x) / F.lit(float(len(of))), 3)
+    return found, {"ai_marker_count": F.size(a), "ai_marker_ratio": ratio(a, L.AI_MARKERS), "human_marker_count": F.size(h), "human_marker_ratio": ratio(h, L.HUMAN_MARKERS), "ai_markers_found": F.array_join(F.slice(a, 1, 10), "; ")}
+
+
+def of_bursts(chunk: int = 20) -> Step:
+    """Mean variance over chunks of the counts of the ten top words, stop words left out, halved, at most 1."""
+    n = F.col("plain_n")
+    k = F.ceil(n / chunk).cast("double")
+    top = F.filter("top_w", lambda x: ~x["word"].isin(L.BURST_STOPWORDS))
+    # Exact: the sum over the words of k * squares - count * count, over k * k and the number of words.
+    each = F.aggregate(top, F.lit(0.0), lambda a, x: a + (k * x["squares"] - (x["count"] * x["count"]).cast("double")))
+    ok = (n >= 20) & (F.ceil(n / chunk) >= 2) & (F.size(top) > 0)
+    value = F.when(ok, X.half_up(F.least(each / (k * k) / F.size(top) / 2.0, F.lit(1.0)), 3)).otherwise(F.lit(0.5))
+    return {"top_w": X.frequent_words(X.plain_words(F.col("low")), 10, chunk), "plain_n": F.regexp_count("low", F.lit(r"\b[a-z]+\b"))}, {"burstiness": value}
+
+
+def of_characters() -> Step:
+    """Entropy of lower-case characters over 5, at most 1; 0.5 under 50 characters."""
+    value = F.when(F.length("text") < 50, F.lit(0.5)).otherwise(X.half_up(F.least(X.character_entropy(F.col("low")) / 5.0, F.lit(1.0)), 3))
+    return {}, {"entropy": value}
+
+
+def of_phrases() -> Step:
+    return {}, {"ai_hits": X.pattern_hits(F.col("low"), L.AI_PATTERNS), "human_hits": X.pattern_hits(F.col("low"), L.STUDENT_PATTERNS)}
+
+
+def of_punctuation() -> Step:
+    return {}, {"density": X.punctuation_density(F.col("text")), "counts": X.punctuation_counts(F.col("text"))}
+
+
+def signals(subs: DataFrame, steps: list[Step], *keep: str) -> DataFrame:
+    """The values of some steps and the columns ``keep``."""
+    arrays = {k: v for first, _ in steps for k, v in first.items()}
+    values = {k: v for _, second in steps for k, v in second.items()}
+    rows = subs.select("id", "text", "low", *[v.alias(k) for k, v in arrays.items()])
+    return rows.select("id", *keep, *[v.alias(k) for k, v in values.items()])
 
 
 def sentence_stats(subs: DataFrame, longer_than: int = 5) -> DataFrame:
-    rows = subs.select("id", sentence_lengths(F.col("text"), longer_than).alias("lengths"))
-    mean, var, std = X.length_moments(F.col("lengths"))
-    rows = rows.select("id", F.size("lengths").alias("sentences"), mean.alias("m"), var.alias("v"), std.alias("s"))
-    out = lambda c, k: F.coalesce(X.half_up(F.col(c), k), F.lit(0.0))
-    return rows.select("id", "sentences", out("m", 2).alias("mean"), out("v", 2).alias("variance"), out("s", 2).alias("std"), F.when(F.col("m") > 0, X.half_up(F.col("s") / F.col("m"), 3)).otherwise(F.lit(0.0)).alias("cv"))
+    return signals(subs, [of_sentences(longer_than)])
 
 
 def mattr(subs: DataFrame) -> DataFrame:
-    rows = subs.select("id", X.style_words(F.col("low")).alias("w"))
-    rows = rows.select("id", F.size("w").alias("word_count"), X.total(F.col("w"), F.length).alias("letters"), F.transform(X.content_words(F.col("w")), lambda w: F.xxhash64(w)).alias("content"))
-    return rows.select("id", "word_count", "letters", F.size("content").alias("content_words"), X.lexical_richness(F.col("content")).alias("lexical_richness"))
+    return signals(subs, [of_words()]).select("id", "word_count", "letters", F.size("content").alias("content_words"), X.lexical_richness(F.col("content")).alias("lexical_richness"))
 
 
 def markers(subs: DataFrame) -> DataFrame:
-    rows = subs.select("id", X.markers_found(F.col("low"), L.AI_MARKERS).alias("a"), X.markers_found(F.col("low"), L.HUMAN_MARKERS).alias("h"))
-    return rows.select("id", F.size("a").alias("ai_marker_count"), X.half_up(F.size("a") / F.lit(float(len(L.AI_MARKERS))), 3).alias("ai_marker_ratio"), F.size("h").alias("human_marker_count"), X.half_up(F.size("h") / F.lit(float(len(L.HUMAN_MARKERS))), 3).alias("human_marker_ratio"), F.array_join(F.slice("a", 1, 10), "; ").alias("ai_markers_found"))
+    return signals(subs, [of_markers()])
 
 
 def punctuation(subs: DataFrame) -> DataFrame:
-    return subs.select("id", X.punctuation_density(F.col("text")).alias("density"), X.punctuation_counts(F.col("text")).alias("counts"))
+    return signals(subs, [of_punctuation()])
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
     """Paragraphs of texts that keep blank lines (columns id, text); an empty text is one empty paragraph."""
     paras = F.filter(F.split("text", "\n\n"), lambda p: F.regexp_replace(p, r"[ \n]", "") != "")
     cut = rows.select("id", F.when(F.size(paras) > 0, paras).otherwise(F.array("text")).alias("p"))
-    lengths = F.transform("p", lambda p: F.size(X.blank_words(p)))
+    lengths = F.transform("p", X.count_words)
     return cut.select("id", F.size("p").alias("count"), X.half_up(X.total(lengths) / F.size("p"), 1).alias("avg_length"), F.array_join(F.transform(lengths, lambda n: n.cast("string")), ",").alias("lengths"))
 
 
 def char_entropy(subs: DataFrame) -> DataFrame:
-    """Entropy of lower-case characters over 5, at most 1; 0.5 under 50 characters."""
-    chars = subs.where(F.length("text") >= 50).select("id", F.explode(F.split("low", "")).alias("c")).where(F.col("c") != "")
-    n = chars.groupBy("id", "c").agg(F.count("*").alias("n")).groupBy("id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    h = F.log2("total") - F.col("s") / F.col("total")
-    return subs.select("id").join(n, "id", "left").select("id", F.when(F.col("total").isNull(), F.lit(0.5)).otherwise(X.half_up(F.least(h / 5.0, F.lit(1.0)), 3)).alias("entropy"))
-
-
-def _word_chunks(subs: DataFrame, chunk: int) -> DataFrame:
-    """(id, n, word, count, squares, first): counts of each word and of their squares over chunks of so many words."""
-    rows = subs.select("id", X.plain_words(F.col("low")).alias("w")).select("id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-    each = rows.groupBy("id", "n", "word", F.floor(F.col("pos") / chunk).alias("chunk")).agg(F.count("*").alias("c"), F.min("pos").alias("first"))
-    return each.groupBy("id", "n", "word").agg(F.sum("c").alias("count"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.min("first").alias("first"))
+    return signals(subs, [of_characters()])
 
 
 def top_words(subs: DataFrame, most: int = 10, chunk: int = 20) -> DataFrame:
-    """The most frequent words, ties by first position."""
-    order = Window.partitionBy("id").orderBy(F.desc("count"), "first")
-    return _word_chunks(subs, chunk).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    """(id, rank, word, count, first, squares) of the most frequent words, ties by first position."""
+    rows = subs.select("id", F.posexplode(X.frequent_words(X.plain_words(F.col("low")), most, chunk)).alias("at", "x"))
+    return rows.select("id", (F.col("at") + 1).alias("rank"), "x.word", (-F.col("x.count")).cast("long").alias("count"), "x.first", "x.squares")
 
 
 def burstiness(subs: DataFrame, chunk: int = 20) -> DataFrame:
-    """Mean variance over chunks of the counts of the ten top words, stop words left out, halved, at most 1."""
-    top = top_words(subs, 10, chunk).where((F.col("n") >= 20) & (F.ceil(F.col("n") / chunk) >= 2) & ~F.col("word").isin(L.BURST_STOPWORDS))
-    k = F.ceil(F.col("n") / chunk).cast("double")
-    # Exact: the sum over the words of k * squares - count * count, over k * k and the number of words.
-    mean = top.groupBy("id").agg((F.sum(k * F.col("squares") - F.col("count") * F.col("count")) / F.max(k * k) / F.count("*")).alias("v"))
-    return subs.select("id").join(mean, "id", "left").select("id", F.when(F.col("v").isNull(), F.lit(0.5)).otherwise(X.half_up(F.least(F.col("v") / 2.0, F.lit(1.0)), 3)).alias("burstiness"))
+    return signals(subs, [of_bursts(chunk)])
 
 
 def phrase_hits(subs: DataFrame) -> DataFrame:
-    return subs.select("id", X.pattern_hits(F.col("low"), L.AI_PATTERNS).alias("ai_hits"), X.pattern_hits(F.col("low"), L.STUDENT_PATTERNS).alias("human_hits"))
+    return signals(subs, [of_phrases()])
 
 
-def stylometry(subs: DataFrame) -> DataFrame:
-    """All style features and their score; texts under 20 characters get the defaults."""
-    joined = mattr(subs).join(sentence_stats(subs), "id").join(markers(subs), "id").join(punctuation(subs), "id").join(subs.select("id", (F.length("text") < 20).alias("short")), "id")
+def _style_values(rows: DataFrame) -> DataFrame:
+    """Adds style_score, lexical_richness and avg_word_length to the values of words, sentences, markers, punctuation."""
+    rows = rows.withColumn("lexical_richness", X.lexical_richness(F.col("content"))).drop("content")
     clipped = F.least(F.greatest(1.0 - F.col("ai_marker_ratio") * 2 + F.col("human_marker_ratio") * 0.5, F.lit(0.0)), F.lit(1.0))
     punct = F.when(F.col("density").between(0.01, 0.06), F.lit(1.0)).otherwise(F.greatest(F.lit(0.3), 1 - F.abs(F.col("density") - 0.035) * 20))
     score = F.least(F.col("lexical_richness") / 0.5, F.lit(1.0)) * 0.3 + F.least(F.col("cv") / 0.5, F.lit(1.0)) * 0.3 + clipped * 0.3 + punct * 0.1
-    style = F.when(F.col("short"), F.lit(0.5)).otherwise(X.half_up(X.clip(score, 0.05, 1.0), 3))
+    style = F.when(F.length("text") < 20, F.lit(0.5)).otherwise(X.half_up(X.clip(score, 0.05, 1.0), 3))
     awl = F.when(F.col("word_count") > 0, F.col("letters") / F.col("word_count")).otherwise(F.lit(0.0))
-    return joined.select("id", style.alias("style_score"), "lexical_richness", "cv", "ai_marker_ratio", "human_marker_ratio", "density", awl.alias("avg_word_length"), "word_count", "sentences")
+    return rows.withColumns({"style_score": style, "avg_word_length": awl})
 
 
-def ai_probability(subs: DataFrame) -> DataFrame:
-    """Likelihood of machine text from phrases, sentence uniformity, entropy, burstiness and markers."""
-    s = subs.select("id", F.length("text").alias("length"), sentence_lengths(F.col("text"), 3).alias("lengths"))
-    mean, _, std = X.length_moments(F.col("lengths"))
-    s = s.select("id", "length", F.size("lengths").alias("n_sent"), mean.alias("m"), std.alias("sd"))
-    rows = s.join(phrase_hits(subs), "id").join(char_entropy(subs), "id").join(burstiness(subs), "id").join(stylometry(subs).select("id", "ai_marker_ratio"), "id")
+STYLE_COLUMNS = ("style_score", "lexical_richness", "cv", "ai_marker_ratio", "human_marker_ratio", "density", "avg_word_length", "word_count", "sentences")
+
+
+def stylometry(subs: DataFrame) -> DataFrame:
+    """All style features and their score; texts under 20 characters get the defaults."""
+    rows = _style_values(signals(subs, [of_words(), of_sentences(), of_markers(), of_punctuation()], "text"))
+    return rows.select("id", *STYLE_COLUMNS)
+
+
+def _ai_values(rows: DataFrame) -> DataFrame:
+    """Adds ai_probability, confidence and the five signals to the values they are made of."""
+    mean, _, std = X.length_moments(F.col("short_lengths"))
+    n_sent, length = F.size("short_lengths"), F.length("text")
     ai, human = F.least(F.col("ai_hits") / (len(L.AI_PATTERNS) * 0.3), F.lit(1.0)), F.least(F.col("human_hits") / (len(L.STUDENT_PATTERNS) * 0.3), F.lit(1.0))
-    cv = F.when(F.col("m") > 0, F.col("sd") / F.col("m")).otherwise(F.lit(1.0))
-    rows = rows.select(
-        "id", "length", "n_sent", F.greatest(F.lit(0.0), ai - human * 0.5).alias("phrase"), F.when(F.col("n_sent") >= 3, F.greatest(F.lit(0.0), 1.0 - cv)).otherwise(F.lit(0.2)).alias("uniform"),
-        F.greatest(F.lit(0.0), 1.0 - F.col("entropy")).alias("perplexity"), F.greatest(F.lit(0.0), 1.0 - F.col("burstiness") * 1.2).alias("burst"), F.when(F.col("length") < 20, F.lit(0.0)).otherwise(F.col("ai_marker_ratio")).alias("style"),
-    )
+    cv = F.when(mean > 0, std / mean).otherwise(F.lit(1.0))
+    parts = {
+        "phrase": F.greatest(F.lit(0.0), ai - human * 0.5), "uniform": F.when(n_sent >= 3, F.greatest(F.lit(0.0), 1.0 - cv)).otherwise(F.lit(0.2)), "perplexity": F.greatest(F.lit(0.0), 1.0 - F.col("entropy")),
+        "burst": F.greatest(F.lit(0.0), 1.0 - F.col("burstiness") * 1.2), "style": F.when(length < 20, F.lit(0.0)).otherwise(F.col("ai_marker_ratio")),
+    }
+    rows = rows.withColumns(parts)
     p = F.col("phrase") * 0.55 + F.col("uniform") * 0.10 + F.col("perplexity") * 0.10 + F.col("burst") * 0.10 + F.col("style") * 0.15
-    short = F.col("length") < 30
-    sure = F.when(short, "low").when(F.col("n_sent") >= 5, "high").when(F.col("n_sent") >= 2, "medium").otherwise("low")
-    return rows.select("id", F.when(short, F.lit(0.1)).otherwise(X.half_up(X.clip(p, 0.02, 0.98), 3)).alias("ai_probability"), sure.alias("confidence"), *[X.half_up(F.col(c), 3).alias(f"{c}_signal") for c in ("phrase", "uniform", "perplexity", "burst", "style")])
+    short = length < 30
+    sure = F.when(short, "low").when(n_sent >= 5, "high").when(n_sent >= 2, "medium").otherwise("low")
+    return rows.withColumns({"ai_probability": F.when(short, F.lit(0.1)).otherwise(X.half_up(X.clip(p, 0.02, 0.98), 3)), "confidence": sure, **{f"{c}_signal": X.half_up(F.col(c), 3) for c in parts}})
+
+
+AI_COLUMNS = ("ai_probability", "confidence", *(f"{c}_signal" for c in ("phrase", "uniform", "perplexity", "burst", "style")))
+AI_STEPS = (of_phrases, of_characters, of_bursts)
+
+
+def _short_sentences() -> Step:
+    return {"short_lengths": sentence_lengths(F.col("text"), 3)}, {}
+
+
+def ai_probability(subs: DataFrame) -> DataFrame:
+    """Likelihood of machine text from phrases, sentence uniformity, entropy, burstiness and markers."""
+    steps = [_short_sentences(), of_markers(), *(s() for s in AI_STEPS)]
+    return _ai_values(signals(subs, steps, "text", "short_lengths")).select("id", *AI_COLUMNS)
+
+
+def text_signals(subs: DataFrame) -> DataFrame:
+    """One row of style and machine-text values for each submission, from one scan: STYLE_COLUMNS and AI_COLUMNS."""
+    steps = [_short_sentences(), of_words(), of_sentences(), of_markers(), of_punctuation(), *(s() for s in AI_STEPS)]
+    return _ai_values(_style_values(signals(subs, steps, "text", "short_lengths"))).select("id", *STYLE_COLUMNS, *AI_COLUMNS)
 
 
 def ai_probability_alt(subs: DataFrame) -> DataFrame:
     """The stricter word-list score; 0 under 15 words or without a sentence of over two words."""
-    sents = F.filter(F.transform(F.split("text", r"[.!?]+"), lambda s: F.size(X.blank_words(s))), lambda n: n > 2)
+    sents = F.filter(F.transform(F.split("text", r"[.!?]+"), X.count_words), lambda n: n > 2)
     rows = subs.select("id", X.blank_words(F.col("low")).alias("w"), sents.alias("sents"))
     count = lambda words: F.size(F.filter("w", lambda x: F.array_contains(X.words_in(words), x)))
     rows = rows.select("id", F.size("w").alias("n"), "sents", count(L.FORMAL_WORDS).alias("formal"), count(L.INFORMAL_WORDS).alias("informal"), F.arrays_overlap("w", X.words_in(L.COLLOQUIAL_WORDS)).alias("colloquial"))

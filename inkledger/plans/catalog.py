@@ -50,8 +50,8 @@ def hands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that a rule can flag."""
-    return similarity.evidence(subs(spark, d), hands(spark, d), *RULED)
+    """Pairs that a rule can flag, written once for all that reads them."""
+    return S.durable(similarity.evidence(subs(spark, d), hands(spark, d), *RULED))
 
 
 def maxima(spark: SparkSession, d: str) -> DataFrame:
@@ -59,8 +59,9 @@ def maxima(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
+    """One row of signals and scores for each submission, written once for all that reads it."""
     s = subs(spark, d)
-    return scoring.integrity_score(style.ai_probability(s), style.stylometry(s), similarity.copy_batch(s, maxima(spark, d)))
+    return S.durable(scoring.integrity_score(style.text_signals(s), similarity.copy_batch(s, maxima(spark, d))))
 
 
 # Text
@@ -281,7 +282,7 @@ def flag_summary(spark, d):
 
 def peers(spark, d):
     """Submissions with a student each (every third number is the same student) and a surrogate consistency."""
-    return style.ai_probability(subs(spark, d)).select("id", F.floor(F.col("id") / 3).alias("student"), "ai_probability", ((F.col("id") % 10) / 10.0).alias("hw_consistency"))
+    return S.durable(style.ai_probability(subs(spark, d)).select("id", F.floor(F.col("id") / 3).alias("student"), "ai_probability", ((F.col("id") % 10) / 10.0).alias("hw_consistency")))
 
 
 @query
@@ -336,7 +337,8 @@ def tenant_filter(spark, d):
 
 
 def ids(spark, d):
-    return S.table(spark, d, "orders").where(F.col("o_orderkey") % 1000 == 7).select(F.col("o_orderkey").alias("id"))
+    """A batch: all submissions that wait for review."""
+    return S.table(spark, d, "orders").where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("id"))
 
 
 @query

@@ -75,12 +75,15 @@ AI = f"""aip AS (
 AIS = ", ".join([STYLES, HITS, ENTROPY, TOP, BURST, AI])
 
 
-def pairs(name: str, items: str, least: float, digits: int = 4, school: bool = True, words: str = "NULL") -> str:
+def pairs(name: str, items: str, least: float, digits: int = 4, school: bool = True, words: str = "NULL", classes: bool = False) -> str:
+    """``classes``: copies are listed with the first of them, and texts through their first copies."""
     block = "subject, school" if school else "subject"
+    through = f" JOIN (SELECT id AS id_a, min(id) OVER (PARTITION BY {block}, low) AS rep_a FROM subs) USING (id_a) JOIN (SELECT id AS id_b, min(id) OVER (PARTITION BY {block}, low) AS rep_b FROM subs) USING (id_b)" if classes else ""
+    listed = " AND (rep_b = id_a OR rep_a = id_a AND rep_b = id_b)" if classes else ""
     return f"""{name}_i AS (SELECT DISTINCT id, {block}, unnest({items}) AS item FROM (SELECT *, {words} AS w FROM subs)), {name}_n AS (SELECT id, count(*) AS n FROM {name}_i GROUP BY id),
-{name} AS (SELECT * FROM (SELECT id_a, id_b, common::INTEGER AS common, {r('common::DOUBLE / (a.n + b.n - common)', digits)} AS sim FROM (
+{name} AS (SELECT id_a, id_b, common, sim FROM (SELECT id_a, id_b, common::INTEGER AS common, {r('common::DOUBLE / (a.n + b.n - common)', digits)} AS sim FROM (
   SELECT x.id AS id_a, y.id AS id_b, count(*) AS common FROM {name}_i x JOIN {name}_i y ON x.item = y.item AND x.subject IS NOT DISTINCT FROM y.subject {'AND x.school IS NOT DISTINCT FROM y.school' if school else ''} AND x.id < y.id GROUP BY ALL)
-  JOIN {name}_n a ON id_a = a.id JOIN {name}_n b ON id_b = b.id) WHERE sim >= {least}::DOUBLE)"""
+  JOIN {name}_n a ON id_a = a.id JOIN {name}_n b ON id_b = b.id){through} WHERE sim >= {least}::DOUBLE{listed})"""
 
 
 def grams(n: int) -> str:
@@ -109,7 +112,10 @@ SCORED = f"""scored AS (SELECT id, ai_probability, style_score, copy_similarity,
       FROM (SELECT id, ai_probability::DOUBLE AS ai_probability, style_score::DOUBLE AS style_score, word_count, combined_copy_score AS copy_similarity, 0.6::DOUBLE AS hw_consistency, 0.0::DOUBLE AS ocr_confidence FROM aip JOIN style USING (id) JOIN batch USING (id)))))"""
 ALL = ", ".join([AIS, TS, HANDS, EVID, BATCH, SCORED])
 PCT = "floor({0} * 100 + 0.5)::BIGINT"
-RULES = f"""rules AS (SELECT *, CASE WHEN text_sim >= 0.55::DOUBLE THEN 'A' WHEN hw_sim >= 0.75::DOUBLE AND text_sim < 0.40::DOUBLE THEN 'B' WHEN text_sim >= 0.40::DOUBLE THEN 'C' END AS rule FROM ev),
+#: Where texts have copies, a submission meets the first submission of its own text and of each similar text.
+RULES = f"""reps AS (SELECT id, min(id) OVER (PARTITION BY subject, school, low) AS rep FROM subs),
+met AS (SELECT ev.* FROM ev JOIN reps a ON id_a = a.id JOIN reps b ON id_b = b.id WHERE hw_sim >= 0.75::DOUBLE OR b.rep = id_a OR a.rep <> b.rep AND (a.rep = id_a OR b.rep = id_b)),
+rules AS (SELECT *, CASE WHEN text_sim >= 0.55::DOUBLE THEN 'A' WHEN hw_sim >= 0.75::DOUBLE AND text_sim < 0.40::DOUBLE THEN 'B' WHEN text_sim >= 0.40::DOUBLE THEN 'C' END AS rule FROM met),
 pf0 AS (SELECT e.*, a.score AS sa, b.score AS sb, a.ai_probability AS aa, b.ai_probability AS ab FROM rules e JOIN scored a ON id_a = a.id JOIN scored b ON id_b = b.id WHERE rule IS NOT NULL),
 pf1 AS (SELECT id_a, id_b, rule, text_sim, hw_sim, id_a AS id, id_b AS peer FROM pf0 WHERE rule = 'C' OR (rule = 'A' AND sa <= sb) OR (rule = 'B' AND aa >= ab) UNION ALL SELECT id_a, id_b, rule, text_sim, hw_sim, id_b, id_a FROM pf0 WHERE rule = 'C' OR (rule = 'A' AND sa > sb) OR (rule = 'B' AND aa < ab)),
 pf AS (SELECT *, CASE rule WHEN 'A' THEN 'Copied from ' || peer || ' (' || {PCT.format('text_sim')} || '% text similarity)' WHEN 'B' THEN 'Handwriting matches ' || peer || '''s submission — possible ghostwriter (' || {PCT.format('hw_sim')} || '% HW similarity)' ELSE 'Significant similarity with ' || peer || ' (' || {PCT.format('text_sim')} || '%)' END AS flag FROM pf1)"""
@@ -148,7 +154,7 @@ ASSIGN = """asg AS (SELECT o_orderkey AS id, o_custkey AS student_id, c_name AS
   CASE o_orderstatus WHEN 'O' THEN 'submitted' WHEN 'P' THEN 'reviewing' WHEN 'F' THEN 'scored' END AS status, CASE WHEN o_orderstatus = 'F' THEN floor(o_totalprice % 101) / 10.0::DOUBLE END AS score, o_orderdate AS submitted_at
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
 MINE = "(school = 'NATION_0' OR school IS NULL OR school = '')"
-IDS = "SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 = 7"
+IDS = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'"
 
 SQL: dict[str, str] = {
     "clean_text": f"WITH {SUBS} SELECT id, text, length(text)::INTEGER AS n_chars FROM subs",
@@ -174,23 +180,23 @@ SQL: dict[str, str] = {
     "ai_probability_alt": f"""WITH {SUBS} SELECT id, CASE WHEN len(w) < 15 OR len(ls) = 0 THEN 0.0 ELSE {r('least(greatest((least(list_sum(ls)::DOUBLE / len(ls) / 25.0::DOUBLE, 1.0::DOUBLE) * 0.25::DOUBLE + least(f::DOUBLE / len(w) * 12.0::DOUBLE, 1.0::DOUBLE) * 0.40::DOUBLE + greatest(0.0::DOUBLE, 1.0::DOUBLE - i::DOUBLE / len(w) * 8.0::DOUBLE) * 0.35::DOUBLE) * CASE WHEN x THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE)', 3)} END AS ai_probability
   FROM (SELECT id, w, ls, len(list_filter(w, lambda x: list_contains({arr(L.FORMAL_WORDS)}, x))) AS f, len(list_filter(w, lambda x: list_contains({arr(L.INFORMAL_WORDS)}, x))) AS i, list_has_any(w, {arr(L.COLLOQUIAL_WORDS)}) AS x
     FROM (SELECT id, {WORDS.format('low')} AS w, list_filter(list_transform(string_split_regex(text, '[.!?]+'), lambda s: len({WORDS.format('s')})), lambda n: n > 2) AS ls FROM subs))""",
-    "style_similarity": f"""WITH {STYLES}, {pairs('cp', BWORDS, 0.40)} SELECT id_a, id_b, {r('1.0::DOUBLE - least((' + ' + '.join(f'abs(a.{c} - b.{c}) / greatest(abs(a.{c}), abs(b.{c}), 0.001::DOUBLE)' for c in ('lexical_richness', 'cv', 'ai_marker_ratio', 'density', 'avg_word_length')) + ') / 5, 1.0::DOUBLE)', 3)} AS style_similarity FROM cp JOIN style a ON id_a = a.id JOIN style b ON id_b = b.id""",
-    "copy_pairs": f"WITH {SUBS}, {pairs('cp', BWORDS, 0.40)} SELECT id_a, id_b, common, sim AS text_sim FROM cp",
-    "copy_pairs_by_subject": f"WITH {SUBS}, {pairs('cp', BWORDS, 0.40, school=False)} SELECT id_a, id_b, common, sim AS text_sim FROM cp",
-    "ngram_jaccard": f"WITH {SUBS}, {pairs('ng', grams(3), 0.10, words=CWORDS)} SELECT * FROM ng",
+    "style_similarity": f"""WITH {STYLES}, {pairs('cp', BWORDS, 0.40, classes=True)} SELECT id_a, id_b, {r('1.0::DOUBLE - least((' + ' + '.join(f'abs(a.{c} - b.{c}) / greatest(abs(a.{c}), abs(b.{c}), 0.001::DOUBLE)' for c in ('lexical_richness', 'cv', 'ai_marker_ratio', 'density', 'avg_word_length')) + ') / 5, 1.0::DOUBLE)', 3)} AS style_similarity FROM cp JOIN style a ON id_a = a.id JOIN style b ON id_b = b.id""",
+    "copy_pairs": f"WITH {SUBS}, {pairs('cp', BWORDS, 0.40, classes=True)} SELECT id_a, id_b, common, sim AS text_sim FROM cp",
+    "copy_pairs_by_subject": f"WITH {SUBS}, {pairs('cp', BWORDS, 0.40, school=False, classes=True)} SELECT id_a, id_b, common, sim AS text_sim FROM cp",
+    "ngram_jaccard": f"WITH {SUBS}, {pairs('ng', grams(3), 0.10, words=CWORDS, classes=True)} SELECT * FROM ng",
     "ngram_matrix": f"""WITH {SUBS}, {pairs('g2', grams(2), 0.0, 3, words=LWORDS)}, {pairs('g3', grams(3), 0.0, 3, words=LWORDS)}, m AS (SELECT id_a, id_b, coalesce(g2.sim, 0.0) AS bi, coalesce(g3.sim, 0.0) AS tri FROM g2 FULL JOIN g3 USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, bi, tri FROM m UNION ALL SELECT id_b, id_a, bi, tri FROM m) SELECT id, peer, bi, tri, {r('(bi + tri) / 2', 3)} AS sim FROM b""",
-    "tf_cosine": f"""WITH {SUBS}, {pairs('cp', BWORDS, 0.40)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id)
+    "tf_cosine": f"""WITH {SUBS}, {pairs('cp', BWORDS, 0.40, classes=True)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id)
   SELECT id_a, id_b, {r('sum(x.n * y.n)::DOUBLE / sqrt(max(a.sq) * max(b.sq))', 4)} AS tf_cos FROM cp JOIN tf x ON x.id = id_a JOIN tf y ON y.id = id_b AND x.term = y.term JOIN nm a ON a.id = id_a JOIN nm b ON b.id = id_b GROUP BY id_a, id_b""",
 }
-def gated(least: float) -> str:
-    return f"""{pairs('ng', grams(3), least, words=CWORDS)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id),
+def gated(least: float, classes: bool) -> str:
+    return f"""{pairs('ng', grams(3), least, words=CWORDS, classes=classes)}, tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({CWORDS}) AS term FROM subs) GROUP BY ALL), nm AS (SELECT id, sum(n * n)::DOUBLE AS sq FROM tf GROUP BY id),
 tc AS (SELECT id_a, id_b, max(sim) AS ng3, {r('sum(x.n * y.n)::DOUBLE / sqrt(max(a.sq) * max(b.sq))', 4)} AS tf_cos FROM ng JOIN tf x ON x.id = id_a JOIN tf y ON y.id = id_b AND x.term = y.term JOIN nm a ON a.id = id_a JOIN nm b ON b.id = id_b GROUP BY id_a, id_b),
 gated AS (SELECT id_a, id_b, tf_cos, ng3, {r('least(tf_cos, ng3 * 1.5::DOUBLE) * 0.6::DOUBLE + ng3 * 0.4::DOUBLE', 4)} AS similarity FROM tc)"""
 
 
 SQL |= {
-    "gated_similarity": f"WITH {SUBS}, {gated(0.10)} SELECT * FROM gated",
-    "topk_matches": f"""WITH {SUBS}, {gated(0.0)}, {HANDS}, e AS (SELECT id_a, id_b, coalesce(similarity, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim FROM gated FULL JOIN hw USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM e UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM e),
+    "gated_similarity": f"WITH {SUBS}, {gated(0.10, True)} SELECT * FROM gated",
+    "topk_matches": f"""WITH {SUBS}, {gated(0.0, False)}, {HANDS}, e AS (SELECT id_a, id_b, coalesce(similarity, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim FROM gated FULL JOIN hw USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM e UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM e),
   c AS (SELECT *, {r('text_sim * 0.65::DOUBLE + hw_sim * (1 - 0.65::DOUBLE)', 3)} AS combined FROM b) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY combined DESC, peer)::INTEGER AS rank FROM c WHERE combined > 0.25::DOUBLE OR hw_sim > 0.88::DOUBLE) WHERE rank <= 5""",
     "exact_dup_md5": "SELECT md5(text) AS md5, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "fingerprint_cosine": f"""WITH m AS (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY pos) AS c FROM m GROUP BY label)

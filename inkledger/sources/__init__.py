@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,6 +34,21 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset: its one machine then uses a temporary folder. With
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes what is no longer used.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """Uploaded PDFs of at most 20 MB with their MD5, as binary rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)

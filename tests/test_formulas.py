@@ -57,7 +57,7 @@ def test_alt_probability(spark):
 def test_similarity_edges(spark):
     rows = subs(spark, "the cat sat", "the cat ran", "", "", "the cat sat")
     got = {(r.id_a, r.id_b): r.text_sim for r in similarity.copy_pairs(rows).collect()}
-    assert got == {(0, 1): 0.5, (1, 4): 0.5, (0, 4): 1.0}
+    assert got == {(0, 1): 0.5, (0, 4): 1.0}  # 4 is a copy of 0 and linked through it
     assert similarity.copy_pairs(rows.limit(0)).count() == 0
 
 
@@ -71,11 +71,39 @@ def test_prefix_join_equals_brute_force(spark):
         want = {}
         for (i, a), (j, b) in itertools.combinations(enumerate(map(lambda t: set(t.split()), texts)), 2):
             s = int(len(a & b) / len(a | b) * 10000 + 0.5) / 10000
-            if s >= least:
+            first = texts.index(texts[i]) == i and texts.index(texts[j]) in (i, j)  # copies are listed with the first of them
+            if s >= least and first:
                 want[i, j] = s
         assert {(r.id_a, r.id_b): r.text_sim for r in similarity.copy_pairs(subs(spark, *texts), least).collect()} == want
 
 
+def test_copies_stay_linear(spark):
+    """5,000 equal texts, 3 of another block without a school, and one similar text: a row for each copy, one for the link."""
+    rows = [(i, "s", "a", "the same few words in every text") for i in range(5000)] + [(6000, "s", "a", "the same few words in this text")] + [(7000 + i, "s", None, "the same few words in every text") for i in range(3)]
+    table = spark.createDataFrame(rows, "id long, subject string, school string, low string")
+    got = {(r.id_a, r.id_b): r.text_sim for r in similarity.copy_pairs(table).collect()}
+    assert len(got) == 4999 + 1 + 2 and got[0, 6000] == 0.75 and all(got[0, i] == 1.0 for i in range(1, 5000)) and got[7000, 7002] == 1.0
+    no_vectors = spark.createDataFrame([], "id long, subject string, school string, v array<double>")
+    pairs = {(r.id_a, r.id_b): r.text_sim for r in similarity.evidence(table, no_vectors, 0.4, 0.75).collect()}
+    assert len(pairs) == 4999 + 5000 + 2 and pairs[4999, 6000] == 0.75  # every copy meets the similar text too
+
+
+def test_vector_pairs_of_tiles(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "s", None if i % 3 else "a", [rng.uniform(-1, 1) for _ in range(3)] if i % 7 else None) for i in range(40)]
+    table = spark.createDataFrame(rows, "id long, subject string, school string, v array<double>")
+    want = {}
+    for i, _, x, v in rows:
+        for j, _, y, w in rows:
+            if i < j and x == y and v and w:
+                c = sum(a * b for a, b in zip(v, w)) / (sum(a * a for a in v) ** 0.5 * sum(b * b for b in w) ** 0.5)
+                if int(c * 10000 + 0.5) / 10000 >= 0.3:
+                    want[i, j] = int(c * 10000 + 0.5) / 10000
+    assert want and {(r.id_a, r.id_b): r.hw_sim for r in similarity.vector_pairs(table, 0.3, tile=6).collect()} == want
+
+
 def test_cosine(spark):
     rows = spark.createDataFrame([([0.80, 0.75, 0.60, 0.55, 0.70], [0.20, 0.18, 0.40, 0.80, 0.30]), ([1.0] * 18, [1.0] * 5), (None, [1.0]), ([0.0], [1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 4) for r in rows.select(V.cosine(F.col("a"), F.col("b"))).collect()] == [0.7871, 0.0, 0.0, 0.0]
