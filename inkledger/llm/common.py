@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import durable
+
+__all__ = ["BLANK", "durable", "fold", "slices", "table", "tokens"]
+
 #: The token separators of the corpus contracts are the ASCII blanks, as ``bytes.split()`` has them.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -24,14 +27,6 @@ def fold(doc_id: Column | str, k: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % k, F.lit(0)).cast("int")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder; only an unset folder is set here, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def tokens(text: str | None) -> list[bytes]:
     """Blank-separated words with only A-Z lowered: bytes methods touch ASCII alone."""
     return text.encode().lower().split() if text else []
