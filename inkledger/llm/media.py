@@ -8,8 +8,10 @@ byte and proves itself is the detected type, the others are carved as embedded m
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -105,34 +107,53 @@ def _jpeg(b: bytes, at: int) -> int:
     return p + 2 - at if frame and b[p : p + 2] == b"\xff\xd9" else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+def _pdf(b: bytes, at: int, seen: dict) -> int:
+    """Up to the first end mark after a reference to the cross table; marks are looked up once for each value."""
+    ends = seen.setdefault("%%EOF", [m.start() for m in re.finditer(b"%%EOF", b)] if "%%EOF" not in seen else None)
+    refs = seen.setdefault("startxref", [m.start() for m in re.finditer(b"startxref", b)] if "startxref" not in seen else None)
+    i, j = bisect_left(ends, at), bisect_left(refs, at)
+    return ends[i] + 5 - at if i < len(ends) and j < len(refs) and refs[j] < ends[i] else 0
 
 
-def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
+def _gzip(b: bytes, at: int, seen: dict) -> int:
+    """Length of a gzip member that opens and whose checksum is right; pieces grow, so a false start costs little."""
+    if len(b) < at + 18 or b[at + 3] & 0xE0:
+        return 0
+    p = at + 10 + (2 + struct.unpack("<H", b[at + 10 : at + 12])[0] if b[at + 3] & 4 else 0)
+    for flag in (8, 16):  # a name and a comment end at the next zero, which is looked up once for all hits before it
+        if b[at + 3] & flag:
+            if not seen.get("from", 0) <= p <= seen.get("zero", -1):
+                seen["from"], found = p, b.find(b"\0", p)
+                seen["zero"] = found if found >= 0 else len(b)
+            p = seen["zero"] + 1
+    if p >= len(b):
+        return 0
+    d, i, step = zlib.decompressobj(31), at, p - at + 256
     try:
-        for i in range(at, len(b), 1 << 16):
-            rest = b[i : i + (1 << 16)]
+        while i < len(b):
+            rest = b[i : i + step]
             while rest and not d.eof:
                 d.decompress(rest, 1 << 20)
                 rest = d.unconsumed_tail
             if d.eof:
-                return i + min(1 << 16, len(b) - i) - len(d.unused_data) - at
+                return i + min(step, len(b) - i) - len(d.unused_data) - at
+            i, step = i + step, min(2 * step, 1 << 20)
     except zlib.error:
         pass
     return 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
-        if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02":
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return 0
+def _zip(b: bytes, at: int, seen: dict) -> int:
+    """Up to the end record whose directory begins where it says; end records are listed once, by the start they imply."""
+    if "zip" not in seen:
+        seen["zip"] = {}
+        for m in re.finditer(b"PK\x05\x06", b):
+            if (end := m.start()) <= len(b) - 22:
+                size, start, note = struct.unpack("<IIH", b[end + 12 : end + 22])
+                first = end - size - start
+                if first >= 0 and b[first + start : first + start + 4] == b"PK\x01\x02":
+                    seen["zip"].setdefault(first, end + 22 + note)
+    return seen["zip"][at] - at if seen["zip"].get(at, 0) <= len(b) and at in seen["zip"] else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -174,12 +195,12 @@ def automaton():
 
 def media_in(value: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all media that prove themselves, outermost only."""
-    out, free = [], 0
+    out, free, seen = [], 0, {}
     hits = [(end + 1 - n, kinds) for end, (n, kinds) in automaton().iter(value.decode("latin-1"))]
     for at, kinds in sorted(hits, key=lambda h: h[0]):
         if at >= free:
             for kind, check in kinds:
-                if n := check(value, at):
+                if n := check(value, at, seen) if check in (_pdf, _zip, _gzip) else check(value, at):
                     out.append((at, n, kind))
                     free = at + n
                     break
@@ -208,9 +229,9 @@ def sniff(rows: DataFrame, value: str, declared: str | None = None) -> DataFrame
             found, changed, carved = [], [], []
             for v, d in zip(values, said, strict=True):
                 media = media_in(v) if v else []
-                kind = media[0][2] if media and media[0][0] == 0 else d
+                kind = media[0][2] if media and media[0][0] == 0 else d if v is not None else None
                 found.append(kind)
-                changed.append(kind != d)
+                changed.append(v is not None and kind != d)
                 carved.append([{"offset": a, "length": n, "type": k, "sha256": hashlib.sha256(v[a : a + n]).hexdigest()} for a, n, k in media if a])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kinds.field(0).type), pa.array(changed, kinds.field(1).type), pa.array(carved, kinds.field(2).type)], [*batch.schema.names, *(f.name for f in SNIFFED)])
 
