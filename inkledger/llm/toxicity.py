@@ -70,7 +70,10 @@ def learn_lexicon(texts: DataFrame, z: Settings) -> dict[str, float]:
 
 
 class Reader(dict):
-    """Word to its row of attributes: fixed hit, learned hit, weight, second person, capitals, obfuscated."""
+    """Blank-separated token to its row of attributes, over all letter runs in it: fixed hits, learned hits, sum and
+    maximum of weights, second-person words, capitals, obfuscated, odd."""
+
+    WIDTH = 8
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -80,17 +83,15 @@ class Reader(dict):
     def __missing__(self, token: str) -> int:
         low = token.lower()
         words = WORD.findall(low)
-        plain = max(words, key=len, default="")
         stripped = low.strip(".,;:!?\"'()[]")
-        odd = stripped != plain and len(stripped) > 2 and plain != "" and not stripped.isnumeric()
-        if odd and (clean := stripped.translate(LEET)) in self.fixed:
-            plain, masked = clean, 1.0
-        else:
-            masked = 0.0
-        weight = max((self.lexicon.get(u, 0.0) for u in units(plain)), default=0.0)
-        caps = float(len(plain) > 2 and token[:40].isupper())
+        odd = len(words) > 1 or bool(words) and stripped != words[0] and len(stripped) > 2
+        masked = 0.0
+        if odd and not any(w in self.fixed for w in words) and (clean := stripped.translate(LEET)) in self.fixed:
+            words, masked = [clean], 1.0
+        weights = [max((self.lexicon.get(u, 0.0) for u in units(w)), default=0.0) for w in words]
+        caps = float(any(len(w) > 2 for w in words) and token.isupper())
         self[token] = i = len(self.rows)
-        self.rows.append((float(plain in self.fixed), float(weight > 0), weight, float(plain in self.second), caps, masked, float(odd)))
+        self.rows.append((float(sum(w in self.fixed for w in words)), float(sum(x > 0 for x in weights)), sum(weights), max(weights, default=0.0), float(sum(w in self.second for w in words)), caps, masked, float(odd)))
         return i
 
     def trim(self, keep: int) -> None:
@@ -103,10 +104,10 @@ class Reader(dict):
 
     def table(self) -> np.ndarray:
         if not self.filled:
-            self.data = np.zeros((1 << 15, 7), np.float32)
+            self.data = np.zeros((1 << 15, self.WIDTH), np.float32)
         if self.filled < (n := len(self.rows)):
             if n > len(self.data):
-                self.data = np.concatenate([self.data, np.zeros((2 * n - len(self.data), 7), np.float32)])
+                self.data = np.concatenate([self.data, np.zeros((2 * n - len(self.data), self.WIDTH), np.float32)])
             self.data[self.filled : n] = self.rows[self.filled :]
             self.filled = n
         return self.data
@@ -119,7 +120,7 @@ def features(text: str | None, reader: Reader) -> list[float]:
     if not n:
         return [0.0] * len(FEATURES)
     ids = np.fromiter(map(reader.__getitem__, words), np.int64, n)
-    fixed, learned, weight, second, caps, masked, odd = reader.table()[ids].T
+    fixed, learned, weight, heaviest, second, caps, masked, odd = reader.table()[ids].T
     raw = text.encode()
     size = len(raw)
     hits, you = np.flatnonzero((fixed > 0) | (learned > 0)), np.flatnonzero(second)
@@ -132,7 +133,7 @@ def features(text: str | None, reader: Reader) -> list[float]:
     marks = size - len(raw.translate(None, b".,;:!?-()\"'"))
     total = float(weight.sum(dtype=float))
     return [
-        float(fixed.sum()) / n, float(fixed.sum()), float(learned.sum()) / n, float(learned.sum()), total / n, total, float(weight.max()), near, float(second.sum()) / n,
+        float(fixed.sum()) / n, float(fixed.sum()), float(learned.sum()) / n, float(learned.sum()), total / n, total, float(heaviest.max()), near, float(second.sum()) / n,
         float(caps.sum()) / n, upper / size, raw.count(b"!") / size, raw.count(b"?") / size, marks / size, float(masked.sum() + odd.sum() * 0.01) / n, float((ids[1:] == ids[:-1]).sum()) / n, len(np.unique(ids)) / n, float(np.log1p(n)),
     ]
 
@@ -162,12 +163,18 @@ class Model:
     prior: float = 0.0
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Add ``score`` (0 to 1, finite for every row) to all rows."""
+        """Add ``score`` (0 to 1, finite for every row) to all rows.
+
+        All other columns stay, whatever their names: they travel under names of their own past the columns that the
+        trees and the calibration add. A column ``score`` of the input is replaced. A null text scores as an empty one.
+        """
         if self.trees is None:
             return docs.withColumn("score", F.lit(self.prior))
-        rows = with_features(docs, self.lexicon, text, self.settings)
-        rows = rows.withColumn("features", array_to_vector("features"))
-        return calibrated(self.isotonic, self.margins(rows)).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score"))).drop("features", "margin")
+        names = {f"in_{i}": c for i, c in enumerate(docs.columns)}
+        rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in names.items()])
+        rows = with_features(rows, self.lexicon, next(k for k, c in names.items() if c == text), self.settings).withColumn("features", array_to_vector("features"))
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+        return self.isotonic.transform(self.margins(rows)).select(*[F.col(k).alias(c) for k, c in names.items() if c != "score"], score.alias("score"))
 
     def margins(self, rows: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
@@ -176,10 +183,6 @@ class Model:
         return out.withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def calibrated(isotonic, rows: DataFrame) -> DataFrame:
-    return isotonic.transform(rows)
-
-
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", settings: Settings = Settings()) -> Model:
     """Fit on at most ``settings.sample_rows`` labelled rows, those with the smallest hash of the id.
 
