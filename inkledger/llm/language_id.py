@@ -29,6 +29,7 @@ SCRIPTS = [
 ]
 FIRST = np.array([a for _, a, _ in SCRIPTS])
 LAST = np.array([b for _, _, b in SCRIPTS])
+ROOT = 1024  # the unit of root counts, kept as integers
 
 
 @dataclass(frozen=True)
@@ -121,14 +122,15 @@ class LanguageModel:
         order = sorted(range(len(codes)), key=lambda i: -len(codes[i]))
         sizes = np.array([len(codes[i]) for i in order])
         n, k, steps = len(order), len(self.languages), int(sizes[0]) if len(order) else 0
-        paths = [np.zeros(len(c), np.int8) for c in codes]
+        kind = np.int8 if k <= 127 else np.int16
+        paths = [np.zeros(len(c), kind) for c in codes]
         if not steps:
             return paths
         offset = np.cumsum(sizes) - sizes
         flat = np.concatenate([codes[i] for i in order])
-        back = np.zeros((len(flat), k), np.int8)
+        back = np.zeros((len(flat), k), kind)
         active = np.searchsorted(-sizes, -np.arange(1, steps + 1), side="right")  # texts that have a word at each step
-        v, own = np.zeros((n, k), np.float32), np.arange(k, dtype=np.int8)
+        v, own = np.zeros((n, k), np.float32), np.arange(k, dtype=kind)
         for t in range(steps):
             m = active[t]
             x = v[:m]
@@ -139,8 +141,8 @@ class LanguageModel:
                 back[offset[:m] + t] = np.where(stay, own, best[:, None])
                 x = np.where(stay, x, top)
             v[:m] = x + self.rows[flat[offset[:m] + t]]
-        label = np.zeros(len(flat), np.int8)
-        at = v.argmax(1).astype(np.int8)
+        label = np.zeros(len(flat), kind)
+        at = v.argmax(1).astype(kind)
         for t in range(steps - 1, -1, -1):
             m = active[t]
             where = offset[:m] + t
@@ -171,32 +173,38 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     draw = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20)
     quota = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, z.rows_per_language / n))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        width = z.slots + len(SCRIPTS) + 1
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             by: dict[str, Counter] = {}
             for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, Counter()).update(LETTERS.findall(t.lower()))
             for lang, words in by.items():
-                if not words:
-                    continue
-                slot, own, script = word_grams(list(words), z.slots)
-                n = np.fromiter(words.values(), np.int64)
-                to = held.setdefault(lang, np.zeros(width, np.int64))
-                to[: z.slots] += np.bincount(slot, np.sqrt(n)[own], z.slots).astype(np.int64)
-                to[z.slots :] += np.bincount(script, n * np.array([len(w) for w in words]), len(SCRIPTS) + 1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in slices(batches, "word"):
+            langs, words, counts = (batch.column(c).to_pylist() for c in ("lang", "word", "n"))
+            for lang in set(langs):
+                own = [i for i, x in enumerate(langs) if x == lang]
+                mine, n = [words[i] for i in own], np.array([counts[i] for i in own])
+                slot, owner, script = word_grams(mine, z.slots)
+                to = held.setdefault(lang, np.zeros(z.slots + len(SCRIPTS) + 1, np.int64))
+                np.add.at(to, slot, np.floor(np.sqrt(n) * ROOT).astype(np.int64)[owner])
+                np.add.at(to, z.slots + script, n * np.array([len(w) for w in mine]))
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "slot", "n"])
 
+    # Words are counted over the whole sample before the root, and sums are of integers: batches and splits don't matter.
     picked = rows.where(draw < quota[F.col(label)]).select(F.col(label).alias("lang"), F.col(text).alias("text"))
-    cells = picked.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    words = picked.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    cells = words.mapInArrow(cut, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     table = np.zeros((len(languages), z.slots + len(SCRIPTS) + 1))
     at = {k: i for i, k in enumerate(languages)}
     table[[at[x] for x in cells.column("lang").to_pylist()], cells.column("slot").to_numpy()] = cells.column("n").to_numpy()
-    return LanguageModel(languages, table[:, : z.slots], table[:, z.slots :], z)
+    return LanguageModel(languages, table[:, : z.slots] / ROOT, table[:, z.slots :], z)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", spans: bool = False) -> DataFrame:
