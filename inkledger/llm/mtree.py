@@ -1,9 +1,9 @@
 """Exact inner-product top-k by best-first search in M-trees.
 
 Vectors become points of a metric space: one more coordinate, the root of (largest squared norm less own), makes the
-Euclidean distance to a query fall as the inner product grows. Rows are dealt to blocks by a hash; in each block an
-M-tree of pages is built, whose routing entries hold a covering radius and the distance to their parent. Queries meet
-blocks in bounded groups. A search opens pages by their least possible distance; within a page the stored parent
+Euclidean distance to a query fall as the inner product grows. Rows are dealt to blocks by a hash; for each block an
+M-tree of pages is built once and written, whose routing entries hold a covering radius and the distance to their
+parent. Queries meet the written trees in bounded groups. A search opens pages by their least possible distance; within a page the stored parent
 distances and the distance to the parent, already known, spare computations by the triangle inequality. Scores are exact
 integers; bounds carry a slack for rounding, so ties at the k-th score are all seen.
 """
@@ -11,6 +11,7 @@ integers; bounds carry a slack for rounding, so ties at the k-th score are all s
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import durable
+
 
 @dataclass(frozen=True)
 class Settings:
     k: int = 10
     page: int = 128  # entries of a node
     rows_per_block: int = 8192
-    queries_per_group: int = 1024
+    queries_per_group: int = 4096
     seed: int = 5
 
 
@@ -146,34 +149,43 @@ def top_inner_products(vectors: DataFrame, queries: Column, key: str = "vec_id",
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     per = lambda what, by: F.create_map(*[F.lit(x) for s, r in facts.items() for x in (s, -(-max(1, r[what]) // by))]).cast("map<int,long>")[F.col("size")]
     hashed = F.xxhash64(F.col("id").cast("string"))
-    blocks = rows.groupBy("size", F.pmod(hashed, per("n", z.rows_per_block)).alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("values"))
-    groups = rows.where("ask").groupBy("size", F.pmod(hashed, per("q", z.queries_per_group)).alias("part")).agg(F.collect_list("id").alias("q_ids"), F.flatten(F.collect_list("v")).alias("q_values"))
-    # A stated query set against all rows, in blocks of bounded size: each pair of a block and a group is a key of its own.
+    norms = {s: float(r["norm"] or 0.0) for s, r in facts.items()}
+
+    def read(x: pa.Scalar, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of a list of (id, v), by id."""
+        ids, ints = x.values.field("id").to_numpy(zero_copy_only=False), x.values.field("v").flatten().to_numpy(zero_copy_only=False)
+        ints = ints.reshape(len(ids), size) if size else np.zeros((len(ids), 0), np.int64)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], ints[order]
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size = batch.column("size")[i].as_py()
+                ids, ints = read(batch.column("rows")[i], size)
+                f = ints.astype(float)
+                extra = np.sqrt(np.maximum(0.0, norms[size] - np.einsum("ij,ij->i", f, f)))
+                tree = MTree(np.column_stack([f, extra]), z)
+                yield pa.RecordBatch.from_arrays([batch.column("size").slice(i, 1), batch.column("block").slice(i, 1), pa.array([pickle.dumps((ids, ints, tree))], pa.binary())], ["size", "block", "tree"])
+
+    member = F.collect_list(F.struct("id", "v"))
+    blocks = rows.groupBy("size", F.pmod(hashed, per("n", z.rows_per_block)).alias("block")).agg(member.alias("rows"))
+    trees = durable(blocks.mapInArrow(grow, "size int, block long, tree binary"))
+    groups = rows.where("ask").groupBy("size", F.pmod(hashed, per("q", z.queries_per_group)).alias("part")).agg(member.alias("asked"))
+    # A stated query set against all rows, in blocks of bounded size: each pair of a tree and a group is a key of its own.
     keys, tasks = ["size", "block", "part"], int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     upto = lambda what, by: F.sequence(F.lit(0).cast("long"), per(what, by) - 1)
-    left = blocks.withColumn("part", F.explode(upto("q", z.queries_per_group))).repartition(tasks, *keys)
+    left = trees.withColumn("part", F.explode(upto("q", z.queries_per_group))).repartition(tasks, *keys)
     right = groups.withColumn("block", F.explode(upto("n", z.rows_per_block))).repartition(tasks, *keys)
     meets = left.join(right, keys)
-    norms = {s: float(r["norm"] or 0.0) for s, r in facts.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree, ids, ints = None, None, None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                size, block = batch.column("size")[i].as_py(), batch.column("block")[i].as_py()
-                take = lambda c, i=i: batch.column(c)[i].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                if (size, block) != last:
-                    last, ids = (size, block), take("ids")
-                    ints = take("values").reshape(len(ids), size) if size else np.zeros((len(ids), 0), np.int64)
-                    order = np.argsort(ids, kind="stable")
-                    ids, ints = ids[order], ints[order]
-                    f = ints.astype(float)
-                    extra = np.sqrt(np.maximum(0.0, norms[size] - np.einsum("ij,ij->i", f, f)))
-                    tree = MTree(np.column_stack([f, extra]), z)
-                q_ids = take("q_ids")
-                q_ints = take("q_values").reshape(len(q_ids), size) if size else np.zeros((len(q_ids), 0), np.int64)
+                size = batch.column("size")[i].as_py()
+                ids, ints, tree = pickle.loads(batch.column("tree")[i].as_py())
                 out: list[tuple] = []
-                for q, x in zip(q_ids.tolist(), q_ints, strict=True):
+                for q, x in zip(*read(batch.column("asked")[i], size), strict=True):
                     near, _ = tree.search(np.r_[x.astype(float), 0.0], lambda r, q=q: ids[r] != q, z.k, q)
                     if len(near):
                         s = exact_scores(ints[near], x)
