@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -169,19 +169,19 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-
-def piece_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: str = "segments") -> DataFrame:
+def piece_digests(docs: DataFrame, path: str | Callable[[], str], key: str = "doc_id", text: str = "text", verify: str = "segments") -> DataFrame:
     """Encode with an end id and decode each whole text; digests of both, and whether the library agrees.
 
     A null text counts as empty (one id, empty decoded text). Repeated rows give repeated rows; other columns are not
     read. With each Arrow batch the library encodes and decodes the same input: every segment that the batch merged anew
     (``verify="segments"``) or every whole text (``"texts"``, slower); ``library_match`` tells if it agrees, and is null
-    with ``"none"``. Memory: one slice of a batch and a table of at most 600,000 segments.
+    with ``"none"``. ``path`` may be a function that each worker calls for its own path. Memory: one slice of a batch and
+    a table of at most 600,000 segments.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path if isinstance(path, str) else path())
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         known, look, eos = c.known, c.lookup, str(c.eos)
         wrong: set[str] = set()

@@ -16,12 +16,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_derivatives(table(spark, sf_dir, "pages"))
 
 
-def op2_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    if model is None:
-        import public_tokenizers
+def public_model() -> str:
+    """Where a machine's public vocabulary lies; each worker asks for itself."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
-        model = public_tokenizers.path("piece_bpe_32k.model")
-    return piece_codec.piece_digests(table(spark, sf_dir, "documents"), model)
+
+def op2_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return piece_codec.piece_digests(table(spark, sf_dir, "documents"), model or public_model)
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
