@@ -233,6 +233,30 @@ def test_packing_edges(spark):
     assert packing.pack_sequences(docs.limit(0), settings=z).count() == 0
 
 
+def test_rows_without_ids_are_spread(spark):
+    """120,000 rows without an id over three shards, and as many of one id."""
+    for key in ("CAST(NULL AS BIGINT)", "7L"):
+        docs = spark.range(120_000).selectExpr(f"{key} AS doc_id", "'a b c' AS text")
+        shards = [r["count"] for r in packing.pack_sequences(docs).groupBy(F.shiftright("bin_id", 32)).count().collect()]
+        assert len(shards) == 3 and sum(shards) == 120_000 and max(shards) < 80_000
+
+
+def test_packed_token_ids(spark):
+    rng = np.random.default_rng(13)
+    given = {i: rng.integers(1, 1000, n).tolist() for i, n in enumerate([0, 3, 40, 16, 17, 5, 5, 1, 100])} | {50: None}
+    docs = spark.createDataFrame(list(given.items()), "doc_id long, ids array<int>")
+    z = packing.Settings(lengths=(8, 16, 32))
+    back = {}
+    for r in packing.pack_token_ids(docs, "ids", settings=z).collect():
+        assert len(r.input_ids) == r.bin_length in z.lengths and r.bin_tokens == sum(s.n_tokens for s in r.segments) and r.input_ids[r.bin_tokens :] == [0] * (r.bin_length - r.bin_tokens)
+        at = 0
+        for s in r.segments:
+            assert s.bin_offset == at
+            back.setdefault(s.key, {})[s.token_start] = r.input_ids[at : at + s.n_tokens]
+            at += s.n_tokens
+    assert {k: sum((p[t] for t in sorted(p)), []) for k, p in back.items()} == {k: v for k, v in given.items() if v}
+
+
 def test_top_products_edges(spark):
     rng = np.random.default_rng(8)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(260)] + [(300 + i, [0.5] * 6) for i in range(60)] + [(1000, None), (1100, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (1200, [float("nan")] * 6), (1300, [float("inf")] * 6), (None, [0.1] * 6), (0, rng.normal(size=3).tolist()), (400, [0.5] * 6), (400, [0.5] * 6), (1400, []), (1500, [1.0, 2.0])]
