@@ -3,19 +3,21 @@
 ``P(word | history) = P(class | history) * P(word | class, history)``. The most frequent training words form the head
 classes, all others fall into tail classes by a hash of their ending. Class scores sum hashed features of the history:
 a bias, the preceding word (n-gram), the word before it (skip) and both (n-gram of three). Head words have a bias and a
-hashed feature of the preceding word; within a tail class a word has its smoothed relative frequency, and one share is
-kept for words never seen, so the model is a distribution.
-
-Every training token is counted into a table of (history, class) and (history, head word) cells by Spark. The table has
-a fixed number of cells, and gradients over its blocks equal those over all tokens: each update sends the weights to the
-tasks, sums the expected counts of the blocks and moves every weight by observed less expected count over its curvature.
-Exact word counts are a table of their own; what is broadcast of it is bounded by ``ModelSize.lookup``.
+hashed feature of the preceding word. Every other word of the corpus has weights of its own as well: a bias and one for
+each group of preceding words; they are as many as the corpus has words, stay in a table over the tasks, and one share of
+each class is kept for words never seen, so the model is a distribution.
+
+Training is by distributed gradient updates. For classes and head words every training token is counted into a fixed
+number of (history, class) and (history, head word) cells, and gradients over their blocks equal those over all tokens:
+each update sends the weights to the tasks, sums expected counts and moves every weight by observed less expected count
+over its curvature. For the other words a task holds rows of the word table: it sums the unnormalised probabilities of
+its words for each (class, group), the driver gets those sums alone, and from them each task finds its own words' next
+weights. Words beyond ``ModelSize.lookup`` are scored by a join with the word table.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,8 +42,11 @@ class ModelSize:
     far: int = 128  # buckets of the word before it
     pair_rows: int = 8192  # hashed rows of both
     word_slots: int = 1 << 16  # hashed (preceding bucket, head word) features
-    lookup: int = 1 << 18  # counts sent to every worker; all others are joined
+    lookup: int = 1 << 18  # words (of at most ``longest`` bytes) whose counts and weights are sent to every worker; all others are joined
+    longest: int = 64
+    groups: int = 8  # of preceding words, for the weights of words outside the head
     updates: int = 12
+    word_updates: int = 3
     train_tasks: int = 8
 
     @property
@@ -55,12 +60,12 @@ def ending(word: bytes, k: int) -> int:
 
 
 class Codes(dict):
-    """Word to (near bucket, far bucket, class, head index or -1, log-count) by a row number, filled as words come."""
+    """Word to (near bucket, far bucket, class, head index or -1, place in the lookup or -1, group) by a row number, filled as words come."""
 
-    def __init__(self, size: ModelSize, head: dict[bytes, int], classes: np.ndarray, counts: dict[bytes, int] | None = None, keep: int = 400_000):
+    def __init__(self, size: ModelSize, head: dict[bytes, int], classes: np.ndarray, places: dict[bytes, int] | None = None, keep: int = 400_000):
         super().__init__()
-        self.size, self.head, self.classes, self.counts, self.keep = size, head, classes, counts or {}, keep
-        self.rows: list[tuple[int, int, int, int, int]] = []
+        self.size, self.head, self.classes, self.places, self.keep = size, head, classes, places or {}, keep
+        self.rows: list[tuple[int, ...]] = []
         self.words: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -75,7 +80,7 @@ class Codes(dict):
             far = z.far // 2 + ending(word, z.far // 2)
         cls = int(self.classes[h]) if h >= 0 else z.head_classes + ending(word, z.tail_classes)
         self[word] = i = len(self.rows)
-        self.rows.append((near, far, cls, h, self.counts.get(word, -1)))
+        self.rows.append((near, far, cls, h, self.places.get(word, -1), 1 + ending(word, z.groups - 1)))
         self.words.append(word)
         return i
 
@@ -97,27 +102,45 @@ def histories(near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
+def preceding(group: np.ndarray) -> np.ndarray:
+    """The group of each token's preceding word; 0 stands for the text's start."""
+    out = np.zeros_like(group)
+    out[1:] = group[:-1]
+    return out
+
+
 def count_words(train: DataFrame, text: str, size: ModelSize) -> DataFrame:
-    """(word, tail class, count) of all training tokens, the end token included."""
+    """(word, tail class, g0, g1, ..., c): every training word's counts by the group of the word before it, and their sum."""
+    names = [f"g{g}" for g in range(size.groups)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held = Codes(size, {}, np.zeros(0, np.int64), keep=300_000), np.zeros((1 << 16, size.groups), np.int64)
+
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held]), pa.array([ending(w, size.tail_classes) for w in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "tail", "c"])
-            held.clear()
+            n = len(codes.rows)
+            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in codes.words]), pa.array(_columns(codes, np.arange(n))[2] - size.head_classes, pa.int32()), *(pa.array(held[:n, g].copy()) for g in range(size.groups))], ["word", "tail", *names])
+            held[:n] = 0
             return out
 
-        held: Counter = Counter()
         for batch in slices(batches, "text"):
+            found, before = [], []
             for t in batch.column("text").to_pylist():
-                held.update(tokens(t))
-                held[END] += 1
-            if len(held) > 300_000:
+                ids = codes.of([*tokens(t), END])
+                found.append(ids)
+                before.append(preceding(_columns(codes, ids)[5]))
+            n = len(codes.rows)
+            if n > len(held):
+                held = np.concatenate([held, np.zeros((2 * n - len(held), size.groups), np.int64)])
+            if found:
+                held[:n] += np.bincount(np.concatenate(found) * size.groups + np.concatenate(before), minlength=n * size.groups).reshape(n, size.groups)
+            if n > codes.keep:
                 yield flush()
-        if held:
+                codes.trim()
+        if codes.rows:
             yield flush()
 
-    rows = train.select(F.col(text).alias("text")).mapInArrow(run, "word string, tail int, c long")
-    return rows.groupBy("word", "tail").agg(F.sum("c").alias("c"))
+    rows = train.select(F.col(text).alias("text")).mapInArrow(run, "word string, tail int, " + ", ".join(f"{g} long" for g in names))
+    return rows.groupBy("word", "tail").agg(*[F.sum(g).alias(g) for g in names]).withColumn("c", sum((F.col(g) for g in names[1:]), F.col(names[0])))
 
 
 def class_of_head(counts: np.ndarray, size: ModelSize) -> np.ndarray:
@@ -140,7 +163,7 @@ def count_cells(train: DataFrame, text: str, size: ModelSize, shared) -> DataFra
             for t in batch.column("text").to_pylist():
                 codes.trim()
                 ids = codes.of([*tokens(t), END])
-                near, far, cls, h, _ = _columns(codes, ids)
+                near, far, cls, h, _, _ = _columns(codes, ids)
                 one, two = histories(near, far)
                 found.append((one * size.far + two) * size.classes + cls)
                 known = h >= 0
@@ -160,10 +183,10 @@ def _columns(codes: Codes, ids: np.ndarray) -> np.ndarray:
     """Attribute columns of coded words; the growing list is copied to an array only where it has grown."""
     have = getattr(codes, "table", None)
     if have is None or codes.filled > len(codes.rows):
-        codes.table, codes.filled = np.zeros((1 << 16, 5), np.int64), 0
+        codes.table, codes.filled = np.zeros((1 << 16, 6), np.int64), 0
     if codes.filled < (n := len(codes.rows)):
         if n > len(codes.table):
-            codes.table = np.concatenate([codes.table[: codes.filled], np.zeros((2 * n - codes.filled, 5), np.int64)])
+            codes.table = np.concatenate([codes.table[: codes.filled], np.zeros((2 * n - codes.filled, 6), np.int64)])
         codes.table[codes.filled : n] = codes.rows[codes.filled :]
         codes.filled = n
     return codes.table[ids].T
@@ -283,6 +306,71 @@ def train_model(packed: DataFrame, size: ModelSize, classes: np.ndarray) -> Mode
     return model
 
 
+class WordModel:
+    """Weights of the words outside the head, from their counts and what the driver keeps of each update.
+
+    A word has a bias and a weight for each group of preceding words; within its class and a group its probability is
+    exp(bias + weight) over the sum of all of them and of one half, which words never seen share. ``sums`` has that sum
+    for (update, class, group); a word's weights after any update follow from its own counts and those sums, so nothing
+    but counts needs keeping.
+    """
+
+    def __init__(self, size: ModelSize, seen: np.ndarray):
+        self.size, self.seen, self.sums = size, seen, []  # seen: training tokens by (class, group)
+
+    def weights(self, counts: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """bias + weight by group, of rows of counts (word, group)."""
+        counts = counts.astype(float)
+        c = counts.sum(1)
+        bias, own = np.log(c + 0.5), np.zeros_like(counts)
+        share = self.seen / np.maximum(self.seen.sum(1, keepdims=True), 1)
+        bias = bias[:, None] + np.zeros(counts.shape[1])
+        for total in self.sums:
+            want = np.exp(bias + own) / total[tail] * self.seen[tail]
+            own += 0.7 * (counts - want - 1.0 * own) / (np.maximum(counts, want) + 1.0)
+            all_want, some = want.sum(1), share[tail].sum(1) > 0
+            bias += np.where(some, 0.3 * (c - all_want) / (np.maximum(c, all_want) + 0.5), 0.0)[:, None]
+        return bias + own
+
+    def log10(self, counts: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """log10 P(word | its class, group), of shape (word, group)."""
+        return (self.weights(counts, tail) - np.log(self.sums[-1][tail])) / np.log(10)
+
+    def unseen(self) -> np.ndarray:
+        """log10 of what a class keeps for words never seen, by (class, group)."""
+        return np.log10(0.5 / self.sums[-1])
+
+
+def columns_of(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy() for n in names], 1)
+
+
+def train_words(counts: DataFrame, size: ModelSize) -> WordModel:
+    """Distributed updates over the word table; the driver gets (class, group) sums, a number fixed by the sizes."""
+    z, names, sc = size, [f"g{g}" for g in range(size.groups)], counts.sparkSession.sparkContext
+    seen = np.zeros((z.tail_classes, z.groups))
+    for r in counts.groupBy("tail").agg(*[F.sum(g).alias(g) for g in names]).collect():
+        seen[r["tail"]] = [r[g] for g in names]
+    model = WordModel(z, seen)
+    for _ in range(z.word_updates + 1):
+        given = sc.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((z.tail_classes, z.groups))
+            for batch in batches:
+                tail = batch.column("tail").to_numpy()
+                np.add.at(total, tail, np.exp(given.value.weights(columns_of(batch, names), tail)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(z.tail_classes, dtype=np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in total.T)], ["tail", *names])
+
+        parts = counts.mapInArrow(run, "tail int, " + ", ".join(f"{g} double" for g in names)).groupBy("tail").agg(*[F.sum(g).alias(g) for g in names])
+        total = np.full((z.tail_classes, z.groups), 0.5)
+        for r in parts.collect():
+            total[r["tail"]] += [r[g] for g in names]
+        model.sums = [*model.sums, total]
+        given.unpersist()
+    return model
+
+
 def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", extra: dict | None = None, size: ModelSize = ModelSize()) -> DataFrame:
     """Score every whole text of ``docs`` with a model of ``train``'s texts.
 
@@ -292,68 +380,87 @@ def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: st
     """
     spark, z = docs.sparkSession, size
     sc = spark.sparkContext
+    names = [f"g{g}" for g in range(z.groups)]
     counts = durable(count_words(train, text, z))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    top = counts.orderBy(F.desc("c"), "word").limit(z.lookup).toArrow()
+    # The lookup: words from a count on, of which a histogram of bounded size tells that they are few enough.
+    step, short = F.floor(F.log2("c") * 64).cast("int"), F.octet_length("word") <= z.longest
+    bars = sorted(((r["step"], r["n"]) for r in counts.where(short).groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    sizes = np.cumsum([n for _, n in bars])
+    fit = int(np.searchsorted(sizes, z.lookup, "right"))
+    if not fit and bars:  # so small a lookup that the first bar is too long
+        top = counts.where(short & (step >= bars[0][0])).orderBy(F.desc("c"), "word").limit(z.lookup).toArrow()
+    else:
+        top = counts.where(short & (step >= (bars[fit - 1][0] if bars else 0))).toArrow()
+    top = top.sort_by([("c", "descending"), ("word", "ascending")])
     words = [w.encode() for w in top.column("word").to_pylist()]
     freq = top.column("c").to_numpy()
     head = {w: i for i, w in enumerate(words[: z.head])}
     classes = class_of_head(freq[: z.head], z)
-    # Tail classes: their tokens and distinct words, the head left out.
     is_head = F.broadcast(spark.createDataFrame(pa.table({"word": pa.array([w.decode() for w in head], pa.string())})))
-    tails = counts.join(is_head, "word", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    tail_log = np.full(z.tail_classes, np.log10(0.5))
-    for r in tails:
-        tail_log[r["tail"]] = np.log10(r["c"] + 0.5 * (r["v"] + 1))
+    tails = counts.join(is_head, "word", "left_anti")
+    word_model = train_words(tails, z)
+    held = np.stack([top.column(g).to_numpy() for g in names], 1) if len(words) else np.zeros((0, z.groups), np.int64)
+    tail_log = word_model.log10(held, top.column("tail").to_numpy()).astype(np.float32)  # a head word's row is not used
+    unseen = word_model.unseen()
 
     shared = sc.broadcast((head, classes))
     packed = durable(pack(count_cells(train, text, z, shared), z).coalesce(z.train_tasks))
     model = train_model(packed, z, classes)
     by_class = np.stack([model.class_log(i) for i in range(z.near)]).astype(np.float32) / np.float32(np.log(10))
     by_word = np.stack([model.word_log(i) for i in range(z.near)]).astype(np.float32) / np.float32(np.log(10))
-    given = sc.broadcast((head, classes, dict(zip(words, freq.tolist(), strict=True)), by_class, by_word))
+    given = sc.broadcast((head, classes, {w: i for i, w in enumerate(words)}, np.log10(freq + 0.5), tail_log, unseen, by_class, by_word))
     base_log = float(np.log10(n_all + 0.5 * (v_all + 1)))
     extra = extra or {}
     kept = docs.select(F.col(key).alias("key"), *[e.alias(n) for n, e in extra.items()], F.col(text).alias("text"))
     plain = [f for f in kept.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, classes, counts, by_class, by_word = given.value
-        codes = Codes(z, head, classes, counts)
+        head, classes, places, logs, tail_log, unseen, by_class, by_word = given.value
+        codes = Codes(z, head, classes, places)
+        rare = pa.struct([("word", pa.string()), ("group", pa.int64()), ("times", pa.int64()), ("unseen", pa.float64())])
         for batch in slices(batches, "text"):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "words", "times")}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
             for t in batch.column("text").to_pylist():
                 codes.trim()
                 ids = codes.of([*tokens(t), END])
-                near, far, cls, h, c = _columns(codes, ids)
+                near, far, cls, h, place, group = _columns(codes, ids)
                 one, two = histories(near, far)
+                before = preceding(group)
                 s = float(by_class[one, two, cls].sum(dtype=float))
-                known = h >= 0
-                s += float(by_word[one[known], h[known]].sum(dtype=float))
-                s -= float(tail_log[cls[~known] - z.head_classes].sum())
-                sure = c >= 0
-                logs = np.log10(c[sure] + 0.5)
-                s += float(logs[~known[sure]].sum())
-                rest, times = np.unique(ids[~sure], return_counts=True)
-                for k, v in (("n_tokens", len(ids)), ("n_known", int(sure.sum())), ("base_score", float(logs.sum()) - len(ids) * base_log), ("score", s), ("words", [codes.words[i].decode() for i in rest]), ("times", times.tolist())):
+                in_head, sure = h >= 0, place >= 0
+                s += float(by_word[one[in_head], h[in_head]].sum(dtype=float))
+                tail = sure & ~in_head
+                s += float(tail_log[place[tail], before[tail]].sum(dtype=float))
+                pairs, times = np.unique(ids[~sure] * z.groups + before[~sure], return_counts=True)
+                rest, at = pairs // z.groups, pairs % z.groups
+                lost = unseen[_columns(codes, rest)[2] - z.head_classes, at] if len(rest) else []
+                for k, v in (("n_tokens", len(ids)), ("n_known", int(sure.sum())), ("base_score", float(logs[place[sure]].sum()) - len(ids) * base_log), ("score", s), ("rare", [{"word": codes.words[i].decode(), "group": g, "times": n, "unseen": u} for i, g, n, u in zip(rest.tolist(), at.tolist(), times.tolist(), lost, strict=True)])):
                     out[k].append(v)
-            cols = [pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["words"], pa.list_(pa.string())), pa.array(out["times"], pa.list_(pa.int64()))]
+            cols = [pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], pa.list_(rare))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in plain), *cols], [*(f.name for f in plain), *out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain)
-    scored = kept.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, words array<string>, times array<long>")
+    scored = kept.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:string,group:long,times:long,unseen:double>>")
     scored = durable(scored.withColumn("row", F.monotonically_increasing_id()))
-    # Words beyond the lookup: their counts come from the whole table, and sums go back to the rows.
-    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rare = rare.join(counts.select("word", "c"), "word", "left").groupBy("row").agg(
+
+    def logs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = word_model.log10(columns_of(batch, names), batch.column("tail").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(list(x), pa.list_(pa.float64()))], ["word", "c", "log_p"])
+
+    # Words beyond the lookup: their counts and weights come from the whole table, and sums go back to the rows.
+    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.*")
+    table = counts.mapInArrow(logs_of, "word string, c long, log_p array<double>")
+    rare = rare.join(table, "word", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
         F.sum(F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5))).alias("log_c"),
+        F.sum(F.col("times") * F.coalesce(F.get("log_p", F.col("group").cast("int")), F.col("unseen"))).alias("log_p"),
     )
-    log_c = F.coalesce("log_c", F.lit(0.0))
     return scored.join(rare, "row", "left").select(
         F.col("key").alias(key), *extra, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_score") + log_c).alias("base_score"), (F.col("score") + log_c).alias("score"),
+        (F.col("base_score") + F.coalesce("log_c", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("log_p", F.lit(0.0))).alias("score"),
     )
 
 

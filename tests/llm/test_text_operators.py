@@ -88,6 +88,37 @@ def test_model_is_a_distribution():
     assert np.allclose(np.bincount(m.classes, np.exp(m.word_log(3))), 1)
 
 
+def test_words_outside_the_head_are_a_distribution_that_fits():
+    """Over the words of a class and what is kept for unseen ones; updates raise the likelihood of the counts."""
+    import numpy as np
+
+    z = maxent_lm.ModelSize(tail_classes=2, groups=3, word_updates=3)
+    rng = np.random.default_rng(3)
+    counts, tail = rng.poisson(rng.gamma(0.7, 4, (60, 3))), rng.integers(0, 2, 60)
+    m = maxent_lm.WordModel(z, np.stack([counts[tail == k].sum(0) for k in range(2)]))
+    likelihood = []
+    for _ in range(z.word_updates + 1):
+        w = np.exp(m.weights(counts, tail))
+        m.sums = [*m.sums, np.stack([w[tail == k].sum(0) for k in range(2)]) + 0.5]
+        p = w / m.sums[-1][tail]
+        assert np.allclose(np.stack([p[tail == k].sum(0) for k in range(2)]) + 0.5 / m.sums[-1], 1)
+        likelihood.append((counts * np.log(p)).sum())
+    assert likelihood == sorted(likelihood) and likelihood[-1] > likelihood[0] + 5
+
+
+def test_joined_words_score_as_sent_ones(spark, odd):
+    """The same scores whether counts and weights come with the lookup or by the join."""
+    got = []
+    for lookup in (0, 3, 1000):
+        size = maxent_lm.ModelSize(head=2, head_classes=2, tail_classes=2, near=8, far=4, pair_rows=64, word_slots=128, lookup=max(lookup, 2), updates=3, train_tasks=2, longest=64 if lookup else 3)
+        got.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9)) for r in maxent_lm.score_texts(odd, odd, size=size).collect()))
+    assert got[0] == got[1] == got[2]
+    size = maxent_lm.ModelSize(head=2, head_classes=2, tail_classes=2, near=8, far=4, pair_rows=64, word_slots=128, lookup=2, updates=3, train_tasks=2)
+    more = maxent_lm.ModelSize(**{**size.__dict__, "lookup": 1000})
+    a, b = (sorted((str(r.doc_id), round(r.score, 5)) for r in maxent_lm.score_texts(odd, odd, size=x).collect()) for x in (size, more))
+    assert a == b
+
+
 def test_model_without_training_rows(odd, empty):
     rows = maxent_lm.score_texts(odd, empty, size=SMALL).collect()
     assert len(rows) == len(ODD) and all(abs(r.base_score) < 1e-9 and r.n_known == 0 and math.isfinite(r.score) for r in rows)
