@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import half_up
+from .scoring import percent
 
 
 def tenant(school: str | None) -> Column:
@@ -38,14 +39,67 @@ def batch(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("id").distinct(), "id", "left_semi")
 
 
-def history_peers(rows: DataFrame, ids: DataFrame, most: int = 30) -> DataFrame:
-    """Per subject and school of the batch: the newest scored rows outside it."""
+def history_peers(rows: DataFrame, ids: DataFrame, most: int = 30, text: str | None = None) -> DataFrame:
+    """Per subject and school of the batch: the newest scored rows outside it, of those with a text if a column is named."""
     scope = batch(rows, ids).select("subject", "school").distinct()
-    peers = rows.where("status = 'scored'").join(ids.select("id"), "id", "left_anti").join(scope, ["subject", "school"])
+    kept = rows.where("status = 'scored'")
+    kept = kept.where(F.col(text).isNotNull() & (F.col(text) != "")) if text else kept
+    peers = kept.join(ids.select("id"), "id", "left_anti").join(scope, ["subject", "school"])
     order = Window.partitionBy("subject", "school").orderBy(F.desc("submitted_at"), "id")
     return peers.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
 
 
+def peers_of_batch(rows: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """What each submission of a batch is compared with: the batch's own rows of its subject and school and their history."""
+    siblings = batch(rows, ids)
+    return siblings.withColumn("origin", F.lit("sibling")).unionByName(history_peers(rows, ids, text=text).select(*siblings.columns, F.lit("history").alias("origin")))
+
+
+def owned(rows: DataFrame, key: int, student: int) -> DataFrame:
+    """A submission, if it is the student's own."""
+    return rows.where((F.col("id") == key) & (F.col("student_id") == student))
+
+
+def of_student(rows: DataFrame, student: int) -> DataFrame:
+    """A student's submissions, newest first."""
+    return rows.where(F.col("student_id") == student).orderBy(F.desc("submitted_at"), "id")
+
+
+def first_per(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """The first row of each key."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def public_users(users: DataFrame) -> DataFrame:
+    """The fields of a user that others may see, e-mail in its normal form."""
+    return users.select("id", "name", F.lower(F.trim("email")).alias("email"), "role", "school", "grade", "subject", "roll_number")
+
+
+ROLES = ["student", "teacher"]
+
+
+def invalid_users(users: DataFrame) -> DataFrame:
+    """(id, error) of what a registration refuses, the first of its rules that a row breaks."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    email = F.lower(F.trim("email"))
+    error = F.lit(None).cast("string")
+    rules = [*((blank(c), f"missing {c}") for c in ("name", "email", "password", "role")), (~F.col("role").isin(ROLES), "unknown role"), (F.length("password") < 6, "short password"), (~F.contains(email, F.lit("@")) | ~F.contains(email, F.lit(".")), "bad email")]
+    for broken, name in reversed(rules):
+        error = F.when(broken, name).otherwise(error)
+    return users.select("id", error.alias("error")).where("error IS NOT NULL")
+
+
+#: The header of the report file.
+REPORT_COLUMNS = ["Rank", "Student Name", "Roll No", "Email", "Grade", "Subject", "Score", "Grade Label", "Originality%", "AI_Prob%", "Copy_Sim%", "HW_Consistency%", "OCR_Confidence%", "Flags", "Feedback", "Submitted At", "Scanned At"]
+
+
+def full_report(rows: DataFrame) -> DataFrame:
+    """The seventeen columns of the report over scored rows, ranked by score, ties by id; missing shares count as 0."""
+    share = lambda c: F.concat(percent(F.coalesce(c, F.lit(0.0))), F.lit("%"))
+    out = ["rank", "student_name", "roll_number", "email", "grade", "subject", "score", "grade_label", *(share(F.col(c)) for c in ("originality", "ai_probability", "copy_similarity", "hw_consistency", "ocr_confidence")), F.array_join("flags", "; "), "feedback", F.date_format("submitted_at", "yyyy-MM-dd HH:mm:ss"), F.date_format("scanned_at", "yyyy-MM-dd HH:mm:ss")]
+    return ranked(rows).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(out, REPORT_COLUMNS, strict=True)])
+
+
 def dashboard_stats(rows: DataFrame, flagged: Column) -> DataFrame:
     """One row of counts and the average score, in one pass."""
     return rows.agg(
@@ -70,7 +124,11 @@ def ranked_report(rows: DataFrame, **equal: str | None) -> DataFrame:
     Ranks add up without one task that holds all rows: scores have one digit, so counts of each score, a small table,
     give the first rank of each, and rows are numbered within a score and a range of ids.
     """
-    kept = filtered(rows, **equal).where(F.col("status") == "scored")
+    return ranked(filtered(rows, **equal).where(F.col("status") == "scored")).select("rank", "id", "student_name", "grade", "subject", "score", "submitted_at")
+
+
+def ranked(kept: DataFrame) -> DataFrame:
+    """Adds ``rank`` by score, ties by id."""
     cells = kept.withColumn("cell", F.floor(F.col("id") / 65536))
     counts = cells.groupBy("score", "cell").agg(F.count("*").alias("n"))
     by_score = counts.groupBy("score").agg(F.sum("n").alias("n"))
@@ -78,7 +136,7 @@ def ranked_report(rows: DataFrame, **equal: str | None) -> DataFrame:
     start = counts.withColumn("left", F.coalesce(F.sum("n").over(Window.partitionBy("score").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("score", "cell", "left")
     own = F.row_number().over(Window.partitionBy("score", "cell").orderBy("id"))
     out = cells.withColumn("own", own).join(start, ["score", "cell"]).join(before, "score")
-    return out.select((F.col("own") + F.col("left") + F.col("above")).cast("long").alias("rank"), "id", "student_name", "grade", "subject", "score", "submitted_at")
+    return out.withColumn("rank", (F.col("own") + F.col("left") + F.col("above")).cast("long")).drop("own", "left", "above", "cell")
 
 
 def student_stats(rows: DataFrame, latest: int = 5) -> DataFrame:

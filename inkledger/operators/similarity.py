@@ -153,6 +153,21 @@ def vector_pairs(vectors: DataFrame, least: float, tile: int = tiles.TILE) -> Da
     return near.join(p, "a").join(q, "b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), sim.alias("hw_sim")).where(F.col("hw_sim") >= least)
 
 
+def hand_matrix(vectors: DataFrame, least: float, tile: int = tiles.TILE) -> DataFrame:
+    """(id, peer, sim, clipped) in both directions: cosine with three digits, and the same between 0 and 1.
+
+    ``vectors`` has a student as well: two submissions of one student and block are the same hand, 1, whatever their
+    vectors; all other pairs are listed from ``least`` on.
+    """
+    students = vectors.where(F.col("student").isNotNull()).select("id", *BLOCK, "student")
+    p, q = students.alias("p"), students.alias("q")
+    blocks = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in BLOCK]
+    own = p.join(q, [F.col("p.student") == F.col("q.student"), *blocks, F.col("p.id") < F.col("q.id")]).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"), F.lit(1.0).alias("hw_sim"))
+    rest = vector_pairs(vectors.drop("student"), least, tile).join(own.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti")
+    rows = both_ways(own.unionByName(rest), "hw_sim")
+    return rows.select("id", "peer", X.half_up(F.col("hw_sim"), 3).alias("sim"), X.half_up(X.clip(F.col("hw_sim"), 0.0, 1.0), 3).alias("clipped"))
+
+
 def both_ways(pairs: DataFrame, *values: str) -> DataFrame:
     """(id, peer, values) in both directions."""
     return pairs.select(F.col("id_a").alias("id"), F.col("id_b").alias("peer"), *values).unionAll(pairs.select(F.col("id_b").alias("id"), F.col("id_a").alias("peer"), *values))

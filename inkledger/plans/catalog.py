@@ -12,7 +12,7 @@ from .. import streaming
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import flags, pages, report, scoring, similarity, style
+from ..operators import flags, images, pages, report, scoring, similarity, style
 from .oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -223,6 +223,12 @@ def hw_pairs(spark, d):
     return similarity.vector_pairs(hands(spark, d), HAND)
 
 
+@query
+def hand_matrix(spark, d):
+    """Every third number is the same student."""
+    return similarity.hand_matrix(hands(spark, d).withColumn("student", F.floor(F.col("id") / 3)), HAND)
+
+
 @query
 def vector_centroid(spark, d):
     rows = pages.centroids(S.table(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("centroid").alias("pos", "x"))
@@ -328,7 +334,7 @@ def lookup_by_key(spark, d):
 
 @query
 def teacher_assignments(spark, d):
-    return report.teacher_assignments(S.assignments(spark, d), TEACHER, subject="BUILDING", status="scored").select("id", "student_name", "grade", "score", "submitted_at")
+    return report.teacher_assignments(S.assignments(spark, d, "scored"), TEACHER, subject="BUILDING", status="scored").select("id", "student_name", "grade", "score", "submitted_at")
 
 
 @query
@@ -351,6 +357,80 @@ def history_peers(spark, d):
     return report.history_peers(S.assignments(spark, d), ids(spark, d)).select("id", "subject", "school", "submitted_at")
 
 
+def texts(spark, d):
+    """Assignments with the cleaned text of the document of the same number; the others have none."""
+    return S.assignments(spark, d).join(subs(spark, d).select("id", "text"), "id", "left")
+
+
+@query
+def history_texts(spark, d):
+    return report.history_peers(texts(spark, d), ids(spark, d), text="text").select("id", "subject", "school", F.length("text").alias("n_chars"))
+
+
+@query
+def peers_of_batch(spark, d):
+    return report.peers_of_batch(texts(spark, d), ids(spark, d), "text").select("subject", "school", "id", "origin", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+
+
+@query
+def owned_assignment(spark, d):
+    """A student sees a submission of their own, not another's."""
+    rows = S.assignments(spark, d)
+    mine = rows.where("id = 7").first()["student_id"]
+    return report.owned(rows, 7, mine).unionAll(report.owned(rows, 7, mine + 1)).select("id", "student_id", "status")
+
+
+@query
+def student_assignments(spark, d):
+    return report.of_student(S.assignments(spark, d), 7).select("id", "subject", "status", F.date_format("submitted_at", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def first_submission(spark, d):
+    return report.first_per(S.assignments(spark, d), "student_name", "submitted_at", "id").select("student_name", "id", "subject")
+
+
+def users(spark, d):
+    """Customers as users; those without a positive balance have left something out."""
+    c = S.table(spark, d, "customer").join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key, poor = F.col("c_custkey"), F.col("c_acctbal") <= 0
+    email = F.when(poor & (F.col("c_mktsegment") == "BUILDING"), F.concat(F.lit(" user"), key)).otherwise(F.concat(F.lit(" User"), key, F.lit("@School.ORG ")))
+    role = F.when(poor & (F.col("c_mktsegment") == "MACHINERY"), "visitor").when(F.col("c_mktsegment") == "HOUSEHOLD", "teacher").otherwise("student")
+    return c.select(key.alias("id"), F.when(poor & (F.col("c_mktsegment") == "FURNITURE"), " ").otherwise(F.col("c_name")).alias("name"), email.alias("email"), F.when(poor, "short").otherwise("long enough").alias("password"), role.alias("role"), F.col("n_name").alias("school"), F.col("c_mktsegment").alias("grade"), F.lit(None).cast("string").alias("subject"), F.concat(F.lit("R"), key).alias("roll_number"))
+
+
+@query
+def public_users(spark, d):
+    return report.public_users(users(spark, d))
+
+
+@query
+def invalid_users(spark, d):
+    return report.invalid_users(users(spark, d))
+
+
+@query
+def assignment_states(spark, d):
+    """All orders are handed in, then reviewed and scored as far as their state says; scores under 3 are handed in again."""
+    rows = texts(spark, d).withColumns({"grade_label": scoring.grade_label(F.col("score")), "feedback": F.concat(F.lit("Score "), F.col("score")), "flags": F.array(F.lit("checked")), "analysis": F.struct(F.col("subject"))})
+    after = lambda n: F.col("submitted_at") + F.expr(f"INTERVAL {n} DAYS")
+    done = rows.where("status = 'scored'")
+    events = S.submitted(rows, F.col("submitted_at")).unionAll(S.reviewing(rows.where("status <> 'submitted'"), after(1))).unionAll(S.scored(done, after(2))).unionAll(S.submitted(done.where("score < 3"), after(3)))
+    now = S.current(events)
+    return now.select("id", "status", "score", "grade_label", "flags", "analysis", F.length("ocr_text").alias("n_chars"), "feedback", "scanned_at", "submitted_at")
+
+
+@query
+def full_report(spark, d):
+    """Submissions with the student and the date of the order of the same number."""
+    s = scored(spark, d)
+    flagged = flags.final_flags(flags.base_flags(s), flags.pair_flags(evidence(spark, d), s))
+    a = S.assignments(spark, d).select("id", "student_id", "submitted_at")
+    u = report.public_users(users(spark, d)).select(F.col("id").alias("student_id"), F.col("name").alias("student_name"), "roll_number", "email", F.col("grade").alias("grade"))
+    told = scoring.feedback(s).withColumnRenamed("grade", "grade_label").drop("ingest_status").join(flagged, "id").join(subs(spark, d).select("id", "subject"), "id").join(a, "id", "left").join(u, "student_id", "left")
+    return report.full_report(told.withColumn("scanned_at", F.col("submitted_at") + F.expr("INTERVAL 2 DAYS")))
+
+
 @query
 def dashboard_stats(spark, d):
     return report.dashboard_stats(report.filtered(S.assignments(spark, d), TEACHER), F.coalesce(F.col("score") < 5, F.lit(False)))
@@ -363,7 +443,7 @@ def score_histogram(spark, d):
 
 @query
 def ranked_report(spark, d):
-    return report.ranked_report(S.assignments(spark, d), subject="BUILDING")
+    return report.ranked_report(S.assignments(spark, d, "scored"), subject="BUILDING")
 
 
 @query
@@ -412,6 +492,110 @@ def stroke_gaps(spark, d):
     return pages.stroke_gaps(boxes)
 
 
+# Page images: texts of the benchmark as rows of 48 pixels; strokes from items of a supplier
+
+
+def pixels(spark, d):
+    line = F.rpad(F.substring("t", F.col("y") * 48 + 1, F.lit(48)), 48, "ÿ")
+    rows = S.table(spark, d, "benchmark").select(F.col("item_id").alias("page"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.select("page", "t", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("t") / 48).cast("int") - 1, F.lit(0)))).alias("y"))
+    code = F.transform(F.sequence(F.lit(1), F.lit(48)), lambda i: F.ascii(F.substring(F.col("line"), i, F.lit(1))).bitwiseAND(255))
+    return rows.select("page", "y", line.alias("line")).select("page", "y", code.alias("grey"))
+
+
+def as_text(df, column):
+    return df.select("page", "y", F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column))
+
+
+@query
+def page_grey(spark, d):
+    rows = pixels(spark, d)
+    times = lambda k: F.transform("grey", lambda x: x * k % 256)
+    return as_text(rows.select("page", "y", images.grey_of(F.col("grey"), times(3), times(7)).alias("grey")), "grey")
+
+
+@query
+def page_noise(spark, d):
+    return as_text(images.without_noise(pixels(spark, d)), "grey")
+
+
+@query
+def page_binary(spark, d):
+    return as_text(images.binarized(pixels(spark, d)), "binary")
+
+
+@query
+def page_metrics(spark, d):
+    return images.page_metrics(images.ink_rows(images.binarized(pixels(spark, d))))
+
+
+def strokes(spark, d):
+    n = F.col("l_linenumber").cast("long")
+    return S.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("page"), F.col("l_orderkey").alias("x"), (n * 20).alias("y"), F.col("l_quantity").cast("long").alias("w"), (n + 3).alias("h"), F.floor(F.col("l_extendedprice") / 100).alias("area"), (F.col("l_quantity").cast("long") * 2 + n * 3).alias("perimeter"), (F.col("l_returnflag") == "A").alias("hole"), F.col("l_tax").alias("tone"), F.col("l_linenumber").alias("rank"))
+
+
+def sheets(spark, d):
+    """Every supplier is a page, so some may have no stroke."""
+    return S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("page"), F.lit(4000).alias("height"), F.lit(3000).alias("width"), F.lit(90000).alias("ink"))
+
+
+@query
+def stroke_features(spark, d):
+    return images.stroke_features(strokes(spark, d), sheets(spark, d))
+
+
+@query
+def stroke_shape(spark, d):
+    return images.stroke_shape(strokes(spark, d))
+
+
+def line_angles(spark, d):
+    return strokes(spark, d).select("page", "rank", ((F.col("w") - 25) * 2).alias("angle"))
+
+
+@query
+def slant_angles(spark, d):
+    rows = images.median_angle(line_angles(spark, d), 5)
+    return rows.select("page", images.slant(F.col("angle")).alias("slant"), images.skew(F.col("angle")).alias("skew"))
+
+
+def profile(spark, d):
+    rows = S.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("page"), F.floor(F.col("l_extendedprice") / 512).alias("y"))
+    return rows.agg(F.sum("l_quantity").cast("long").alias("ink")).withColumn("width", F.lit(3000))
+
+
+@query
+def line_features(spark, d):
+    return images.line_features(profile(spark, d))
+
+
+def hand_pages(spark, d):
+    s = strokes(spark, d)
+    tone = s.groupBy("page").agg(X.half_up(X.clip(1.0 - F.avg(F.round(F.col("tone") * 1000).cast("long")) / 255.0, 0.0, 1.0), 3).alias("pressure"))
+    slants = images.median_angle(line_angles(spark, d), 5).select("page", images.slant(F.col("angle")).alias("slant"))
+    rows = images.stroke_features(s, sheets(spark, d)).join(images.line_features(profile(spark, d)), "page").join(images.stroke_shape(s), "page").join(tone, "page").join(slants, "page")
+    return images.fingerprint(rows)
+
+
+@query
+def hand_fingerprint(spark, d):
+    rows = hand_pages(spark, d).select("page", F.posexplode("fingerprint").alias("pos", "x"))
+    return rows.select("page", "pos", X.half_up(F.col("x"), 4).alias("x"))
+
+
+@query
+def hand_analysis(spark, d):
+    """Ten pages in a row are a submission."""
+    rows = images.hand_of_pages(hand_pages(spark, d).withColumn("id", F.floor(F.col("page") / 10)), "id")
+    return rows.select("id", "consistency", "pressure", "stroke_density", F.col("stroke_count").cast("int").alias("stroke_count"), F.col("line_count").cast("int").alias("line_count"), "height_cv", "gap_cv", "compactness", "slant", "loop_density", F.array_join(F.transform("fingerprint", lambda x: F.floor(x * 10000 + 0.5).cast("string")), ",").alias("fingerprint"))
+
+
+@query
+def identity_fingerprint(spark, d):
+    rows = images.identity_features(strokes(spark, d), sheets(spark, d))
+    return images.identity_fingerprint(rows.withColumn("id", F.floor(F.col("page") / 10)), "id")
+
+
 # Streaming, as batches
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicons as L
+from ..operators.images import IDENTITY, MANNER, REACH, WEIGHTS
 from ..operators.scoring import FEEDBACK_SCORE
 
 
@@ -239,3 +240,82 @@ SQL |= {
   SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k""",
     "event_types": f"SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, {r('avg(value)', 2)} AS mean_value FROM events GROUP BY event_type",
 }
+
+PIX = """lines AS (SELECT item_id AS page, unnest(range(greatest(ceil(length(coalesce(text, '')) / 48.0)::BIGINT, 1))) AS y, coalesce(text, '') AS t FROM benchmark),
+px AS (SELECT page, y, x, (unicode(substr(rpad(substr(t, y * 48 + 1, 48), 48, 'ÿ'), x + 1, 1)) & 255) AS g FROM lines, range(48) r(x)), tall AS (SELECT page, max(y) AS last FROM px GROUP BY page)"""
+
+
+def lists(value: str, name: str, source: str) -> str:
+    return f"SELECT page, y::INTEGER AS y, string_agg(({value})::BIGINT::VARCHAR, ',' ORDER BY x) AS {name} FROM {source} GROUP BY page, y"
+
+
+def mirrored(c: str, last: str) -> str:
+    return f"CASE WHEN {c} < 0 THEN least(1, {last}) WHEN {c} > {last} THEN greatest({last} - 1, 0) ELSE {c} END"
+
+
+NOISE = f"""bell AS (SELECT * FROM (VALUES (-1, 1), (0, 2), (1, 1)) b(k, f)),
+soft AS (SELECT p.page, p.y, p.x, (sum(q.g * a.f * b.f) + 8) // 16 AS g FROM px p JOIN tall USING (page), bell a, bell b, px q WHERE q.page = p.page AND q.y = {mirrored('p.y + a.k', 'last')} AND q.x = {mirrored('p.x + b.k', '47')} GROUP BY ALL),
+thin AS (SELECT p.page, p.y, p.x, min(q.g) AS g FROM soft p JOIN soft q ON q.page = p.page AND q.y BETWEEN p.y - 1 AND p.y AND q.x BETWEEN p.x - 1 AND p.x GROUP BY ALL),
+wide AS (SELECT p.page, p.y, p.x, max(q.g) AS g FROM thin p JOIN thin q ON q.page = p.page AND q.y BETWEEN p.y - 1 AND p.y AND q.x BETWEEN p.x - 1 AND p.x GROUP BY ALL)"""
+BINARY = f"""bell AS (SELECT unnest(range(-{REACH}, {REACH + 1})) AS k, unnest({WEIGHTS}) AS f),
+flat AS (SELECT p.page, p.y, p.x, sum(q.g * f) AS h FROM px p, bell, px q WHERE q.page = p.page AND q.y = p.y AND q.x = least(greatest(p.x + k, 0), 47) GROUP BY ALL),
+mean AS (SELECT p.page, p.y, p.x, (sum(q.h * f)::BIGINT + 32768) // 65536 AS m FROM flat p JOIN tall USING (page), bell, flat q WHERE q.page = p.page AND q.x = p.x AND q.y = least(greatest(p.y + k, 0), last) GROUP BY ALL),
+bin AS (SELECT page, y, x, g, CASE WHEN g > m - 4 THEN 255 ELSE 0 END AS b FROM px JOIN mean USING (page, y, x))"""
+STROKES = """st AS (SELECT l_suppkey AS page, l_orderkey AS x, l_linenumber * 20 AS y, l_quantity::BIGINT AS w, l_linenumber + 3 AS h, floor(l_extendedprice / 100)::BIGINT AS area, l_quantity::BIGINT * 2 + l_linenumber * 3 AS perimeter, l_returnflag = 'A' AS hole, l_tax AS tone, l_linenumber AS rank FROM lineitem)"""
+
+
+def cv(x: str) -> str:
+    return f"coalesce(CASE WHEN avg({x}) > 0 THEN stddev_pop({x}) / avg({x}) END, 1.0::DOUBLE)"
+
+
+ROUND = "4 * pi() * area / (perimeter * perimeter)"
+SFEAT = f"""sg AS (SELECT *, CASE WHEN d > 0 AND d < 200 THEN d END AS gap FROM (SELECT *, x - lag(x + w) OVER (PARTITION BY page ORDER BY x, w) AS d FROM st WHERE NOT hole AND area >= 4)),
+sfound AS (SELECT page, count(*) AS stroke_count, {r('sum(area)::DOUBLE / 12000000', 4)} AS stroke_density, {r('avg(h)', 2)} AS mean_height, {r(cv('h'), 3)} AS height_cv, {r('avg(w)', 2)} AS mean_width, {r(cv('w'), 3)} AS width_cv, {r('coalesce(avg(w::DOUBLE / h), 1.0)', 3)} AS mean_aspect,
+  {r('coalesce(avg(gap), 0.0)', 2)} AS mean_gap, {r(cv('gap'), 3)} AS gap_cv, {r('CASE WHEN avg(w) > 0 THEN least(coalesce(avg(gap), 0.0) / avg(w), 2.0::DOUBLE) / 2.0::DOUBLE ELSE 0.25::DOUBLE END', 3)} AS gap_to_width_ratio, {r(f'coalesce(avg({ROUND}) FILTER (WHERE perimeter > 0), 0.0)', 4)} AS compactness, {r('least(avg(perimeter::DOUBLE / area) / 10.0::DOUBLE, 1.0::DOUBLE)', 4)} AS thinness,
+  {r('avg(area)', 2)} AS area_mean, {r('stddev_pop(area)', 2)} AS area_std FROM sg GROUP BY page),
+sf AS (SELECT s_suppkey AS page, coalesce(stroke_count, 0)::BIGINT AS stroke_count, coalesce(stroke_density, 0.0) AS stroke_density, coalesce(mean_height, 0.0) AS mean_height, coalesce(height_cv, 1.0) AS height_cv, coalesce(mean_width, 0.0) AS mean_width, coalesce(width_cv, 1.0) AS width_cv, coalesce(mean_aspect, 1.0) AS mean_aspect, coalesce(mean_gap, 0.0) AS mean_gap, coalesce(gap_cv, 1.0) AS gap_cv,
+  coalesce(gap_to_width_ratio, 0.5) AS gap_to_width_ratio, coalesce(compactness, 0.0) AS compactness, coalesce(thinness, 0.0) AS thinness, coalesce(area_mean, 0.0) AS area_mean, coalesce(area_std, 0.0) AS area_std FROM supplier LEFT JOIN sfound ON s_suppkey = page)"""
+FEET = "FILTER (WHERE area >= 10 AND NOT hole)"
+SHAPE = f"""sh AS (SELECT page, CASE WHEN o = 0 THEN 0.0 ELSE {r('least((a - o)::DOUBLE / o, 1.0::DOUBLE)', 3)} END AS loop_density, CASE WHEN k < 5 THEN 0.5 ELSE {r('least(CASE WHEN m > 0 THEN s / m ELSE 1.0::DOUBLE END / 0.15::DOUBLE, 1.0::DOUBLE)', 3)} END AS baseline_deviation
+  FROM (SELECT page, count(*) FILTER (WHERE area > 4) AS a, count(*) FILTER (WHERE area > 4 AND NOT hole) AS o, count(*) {FEET} AS k, avg(y + h) {FEET} AS m, stddev_pop(y + h) {FEET} AS s FROM st GROUP BY page))"""
+ANGLE = "an AS (SELECT page, median((w - 25) * 2) AS angle FROM st WHERE rank <= 5 AND abs((w - 25) * 2) < 45 GROUP BY page)"
+SLANT = r("greatest(least(angle / 30.0::DOUBLE, 1.0::DOUBLE), -1.0::DOUBLE)", 3)
+LINEF = f"""pr AS (SELECT l_suppkey AS page, floor(l_extendedprice / 512)::BIGINT AS y, sum(l_quantity)::BIGINT AS ink FROM lineitem GROUP BY ALL), mk AS (SELECT *, (ink > 3000 * 0.02::DOUBLE)::INTEGER AS on_, row_number() OVER (PARTITION BY page ORDER BY y) AS k, max(y) OVER (PARTITION BY page) AS last FROM pr),
+gp AS (SELECT *, k - row_number() OVER (PARTITION BY page, on_ ORDER BY y) AS grp FROM mk), ru AS (SELECT page, min(y) AS start, max(y) - min(y) + 1 AS height, sum(ink)::BIGINT AS ink FROM gp WHERE on_ = 1 GROUP BY page, grp, last HAVING max(y) < last AND max(y) - min(y) + 1 > 3),
+ch AS (SELECT *, abs(height - lag(height) OVER (PARTITION BY page ORDER BY start)) AS change, ink::DOUBLE / (height * 3000) AS density FROM ru), lfound AS (SELECT page, count(*) AS line_count, {r('avg(height)', 2)} AS line_height_mean, {r(cv('height'), 3)} AS line_height_cv, {r('avg(density)', 4)} AS line_density_mean, {r(cv('change'), 3)} AS line_spacing_cv FROM ch GROUP BY page),
+lf AS (SELECT page, coalesce(line_count, 0)::BIGINT AS line_count, coalesce(line_height_mean, 0.0) AS line_height_mean, coalesce(line_height_cv, 1.0) AS line_height_cv, coalesce(line_density_mean, 0.0) AS line_density_mean, coalesce(line_spacing_cv, 1.0) AS line_spacing_cv FROM (SELECT DISTINCT page FROM pr) LEFT JOIN lfound USING (page))"""
+HAND = f"""{STROKES}, {SFEAT}, {SHAPE}, {ANGLE}, {LINEF}, tn AS (SELECT page, {r('greatest(least(1.0::DOUBLE - avg(round(tone * 1000)::BIGINT) / 255.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE)', 3)} AS pressure FROM st GROUP BY page),
+hp AS (SELECT *, [{', '.join(f'{c} * 1.5::DOUBLE' for c in IDENTITY)}, {', '.join(f'{c}::DOUBLE' for c in MANNER)}, least(area_mean / 500.0::DOUBLE, 1.0::DOUBLE), least(area_std / 500.0::DOUBLE, 1.0::DOUBLE), least(stroke_count / 200.0::DOUBLE, 1.0::DOUBLE)] AS v FROM (SELECT *, {SLANT} AS slant FROM sf JOIN lf USING (page) JOIN sh USING (page) JOIN tn USING (page) JOIN an USING (page))),
+fp AS (SELECT page, unnest(range(18)) AS pos, unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x FROM hp)"""
+EVEN = "greatest(0.4::DOUBLE, 1.0::DOUBLE - least({0}, 1.0::DOUBLE) * 0.6::DOUBLE)"
+SQL |= {
+    "page_grey": f"WITH {PIX} {lists('(g * 4899 + g * 3 % 256 * 9617 + g * 7 % 256 * 1868 + 8192) // 16384', 'grey', 'px')}",
+    "page_noise": f"WITH {PIX}, {NOISE} {lists('g', 'grey', 'wide')}",
+    "page_binary": f"WITH {PIX}, {BINARY} {lists('b', 'binary', 'bin')}",
+    "page_metrics": f"WITH {PIX}, {BINARY}, pol AS (SELECT page, avg(b) > 127 AS white FROM bin GROUP BY page), inked AS (SELECT bin.*, CASE WHEN white THEN b = 0 ELSE b = 255 END AS ink FROM bin JOIN pol USING (page)), rw AS (SELECT page, y, count(*) FILTER (WHERE b = 0) AS black FROM bin GROUP BY ALL) SELECT page, 48 AS width, count(DISTINCT y) AS height, {r('count(*) FILTER (WHERE b = 0)::DOUBLE / count(*)', 4)} AS ink_ratio, (SELECT count(*) FROM rw WHERE rw.page = inked.page AND black * 255 > 48 * 0.02::DOUBLE) AS text_lines, CASE WHEN count(*) FILTER (WHERE ink) > 0 THEN {r('greatest(least(1.0::DOUBLE - sum(g) FILTER (WHERE ink)::DOUBLE / count(*) FILTER (WHERE ink) / 255.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE)', 3)} ELSE 0.5 END AS pressure FROM inked GROUP BY page",
+    "stroke_features": f"WITH {STROKES}, {SFEAT} SELECT * FROM sf",
+    "stroke_shape": f"WITH {STROKES}, {SHAPE} SELECT * FROM sh",
+    "slant_angles": f"WITH {STROKES}, {ANGLE} SELECT page, {SLANT} AS slant, CASE WHEN abs(angle) >= 0.5 THEN angle ELSE 0.0 END AS skew FROM an",
+    "line_features": f"WITH {LINEF} SELECT * FROM lf",
+    "hand_fingerprint": f"WITH {HAND} SELECT page, pos::INTEGER AS pos, {r('x', 4)} AS x FROM fp",
+    "hand_analysis": f"WITH {HAND}, mf AS (SELECT page // 10 AS id, pos, avg(x) AS m FROM fp GROUP BY ALL), nf AS (SELECT id, string_agg(floor(m / n * 10000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY pos) AS fingerprint FROM mf JOIN (SELECT id, sqrt(sum(m * m)) + 1e-8 AS n FROM mf GROUP BY id) USING (id) GROUP BY id), me AS (SELECT page // 10 AS id, {', '.join(r(f'avg({c})', 4) + f' AS {c}' for c in ('height_cv', 'width_cv', 'gap_cv', 'line_height_cv', 'stroke_count', 'line_count', 'stroke_density', 'compactness'))}, {', '.join(r(f'avg({c})', 3) + f' AS {c}' for c in ('pressure', 'slant', 'loop_density'))} FROM hp GROUP BY 1) SELECT id, {r(f'least(greatest(({EVEN.format("height_cv")} * 0.35::DOUBLE + {EVEN.format("width_cv")} * 0.25::DOUBLE + {EVEN.format("gap_cv")} * 0.25::DOUBLE + {EVEN.format("line_height_cv")} * 0.15::DOUBLE) * CASE WHEN stroke_count < 20 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 0.1::DOUBLE), 1.0::DOUBLE)', 3)} AS consistency, pressure, stroke_density, trunc(stroke_count)::INTEGER AS stroke_count, trunc(line_count)::INTEGER AS line_count, height_cv, gap_cv, compactness, slant, loop_density, fingerprint FROM me JOIN nf USING (id)",
+    "identity_fingerprint": f"WITH {STROKES}, su AS (SELECT page, count(*) FILTER (WHERE area > 10) AS n, count(*) FILTER (WHERE hole) AS loops, avg(area) FILTER (WHERE area > 10) AS ma, avg(w::DOUBLE / h) FILTER (WHERE area > 10) AS asp, avg({ROUND}) FILTER (WHERE area > 10 AND perimeter > 0) AS co FROM st GROUP BY page), fe AS (SELECT s_suppkey // 10 AS id, CASE WHEN n > 0 THEN loops::DOUBLE / n ELSE 0.0 END AS l, CASE WHEN n > 0 THEN ma ELSE 0.0 END AS a, CASE WHEN n > 0 THEN 90000 / 12000000::DOUBLE ELSE 0.0 END AS i, CASE WHEN n > 0 THEN coalesce(asp, 1.0) ELSE 1.0 END AS s, CASE WHEN n > 0 THEN coalesce(co, 0.0) ELSE 0.0 END AS c FROM supplier LEFT JOIN su ON page = s_suppkey), m AS (SELECT id, avg(l) AS l, avg(a) AS a, avg(i) AS i, avg(s) AS s, avg(c) AS c FROM fe GROUP BY id) SELECT id, {r('least(ln(1 + l) / ln(16.0::DOUBLE), 1.0::DOUBLE)', 4)} AS f0, {r('least(ln(1 + a) / ln(6001.0::DOUBLE), 1.0::DOUBLE)', 4)} AS f1, {r('least(i * 3.0::DOUBLE, 1.0::DOUBLE)', 4)} AS f2, {r('least(s / 2.0::DOUBLE, 1.0::DOUBLE)', 4)} AS f3, {r('least(c * 3.0::DOUBLE, 1.0::DOUBLE)', 4)} AS f4, {r('greatest(0.4::DOUBLE, 1.0::DOUBLE - least(l / 20.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE)', 3)} AS consistency FROM m",
+}
+
+TEXTS = f"{ASSIGN}, {SUBS}, tx AS (SELECT asg.*, subs.text FROM asg LEFT JOIN subs USING (id)), sc AS (SELECT DISTINCT subject, school FROM asg WHERE id IN ({IDS})), hi AS (SELECT * FROM (SELECT tx.*, row_number() OVER (PARTITION BY subject, school ORDER BY submitted_at DESC, id) AS n FROM tx JOIN sc USING (subject, school) WHERE status = 'scored' AND text IS NOT NULL AND text <> '' AND id NOT IN ({IDS})) WHERE n <= 30)"
+USERS = """us AS (SELECT c_custkey AS id, CASE WHEN c_acctbal <= 0 AND c_mktsegment = 'FURNITURE' THEN ' ' ELSE c_name END AS name, CASE WHEN c_acctbal <= 0 AND c_mktsegment = 'BUILDING' THEN ' user' || c_custkey ELSE ' User' || c_custkey || '@School.ORG ' END AS email, CASE WHEN c_acctbal <= 0 THEN 'short' ELSE 'long enough' END AS password,
+  CASE WHEN c_acctbal <= 0 AND c_mktsegment = 'MACHINERY' THEN 'visitor' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'teacher' ELSE 'student' END AS role, n_name AS school, c_mktsegment AS grade, NULL::VARCHAR AS subject, 'R' || c_custkey AS roll_number FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+GRADE = "CASE WHEN score >= 9 THEN 'A+' WHEN score >= 8 THEN 'A' WHEN score >= 7 THEN 'B+' WHEN score >= 6 THEN 'B' WHEN score >= 5 THEN 'C' WHEN score >= 4 THEN 'D' ELSE 'F' END"
+SHARE = "(floor({0} * 100 + 0.5)::BIGINT || '%')"
+SQL |= {
+    "hand_matrix": f"WITH {HANDS}, so AS (SELECT a.id AS id_a, b.id AS id_b FROM hands a JOIN hands b ON a.subject IS NOT DISTINCT FROM b.subject AND a.school IS NOT DISTINCT FROM b.school AND a.id < b.id AND a.id // 3 = b.id // 3), m AS (SELECT id_a, id_b, 1.0::DOUBLE AS s FROM so UNION ALL SELECT id_a, id_b, hw_sim FROM hw WHERE hw_sim >= 0.3::DOUBLE AND (id_a, id_b) NOT IN (SELECT (id_a, id_b) FROM so)), b AS (SELECT id_a AS id, id_b AS peer, s FROM m UNION ALL SELECT id_b, id_a, s FROM m) SELECT id, peer, {r('s', 3)} AS sim, {r('least(greatest(s, 0.0::DOUBLE), 1.0::DOUBLE)', 3)} AS clipped FROM b",
+    "history_texts": f"WITH {TEXTS} SELECT id, subject, school, length(text)::INTEGER AS n_chars FROM hi",
+    "peers_of_batch": f"WITH {TEXTS} SELECT subject, school, id, 'sibling' AS origin, coalesce(length(text), 0)::INTEGER AS n_chars FROM tx WHERE id IN ({IDS}) UNION ALL SELECT subject, school, id, 'history', length(text)::INTEGER FROM hi",
+    "owned_assignment": f"WITH {ASSIGN} SELECT id, student_id, status FROM asg WHERE id = 7",
+    "student_assignments": f"WITH {ASSIGN} SELECT id, subject, status, strftime(submitted_at, '%Y-%m-%d') AS day FROM asg WHERE student_id = 7",
+    "first_submission": f"WITH {ASSIGN} SELECT student_name, id, subject FROM (SELECT *, row_number() OVER (PARTITION BY student_name ORDER BY submitted_at, id) AS n FROM asg) WHERE n = 1",
+    "public_users": f"WITH {USERS} SELECT id, name, lower(trim(email)) AS email, role, school, grade, subject, roll_number FROM us",
+    "invalid_users": f"WITH {USERS} SELECT * FROM (SELECT id, CASE WHEN trim(name) = '' THEN 'missing name' WHEN trim(email) = '' THEN 'missing email' WHEN trim(password) = '' THEN 'missing password' WHEN trim(role) = '' THEN 'missing role' WHEN role NOT IN ('student', 'teacher') THEN 'unknown role' WHEN length(password) < 6 THEN 'short password' WHEN email NOT LIKE '%@%' OR email NOT LIKE '%.%' THEN 'bad email' END AS error FROM us) WHERE error IS NOT NULL",
+    "assignment_states": f"WITH {ASSIGN}, {SUBS}, tx AS (SELECT asg.*, subs.text FROM asg LEFT JOIN subs USING (id)), now AS (SELECT *, CASE WHEN status = 'scored' AND score < 3 THEN 'again' ELSE status END AS state FROM tx) SELECT id, CASE state WHEN 'again' THEN 'submitted' ELSE state END AS status, CASE WHEN state = 'scored' THEN score END AS score, CASE WHEN state = 'scored' THEN {GRADE} END AS grade_label, CASE state WHEN 'scored' THEN '[\"checked\"]' WHEN 'reviewing' THEN NULL ELSE '[]' END AS flags, CASE state WHEN 'scored' THEN '{{\"subject\":\"' || subject || '\"}}' WHEN 'reviewing' THEN NULL ELSE '{{}}' END AS analysis, CASE WHEN state = 'scored' THEN least(length(text), 5000) END::INTEGER AS n_chars, CASE WHEN state = 'scored' THEN 'Score ' || score END AS feedback, CASE WHEN state = 'scored' THEN submitted_at + INTERVAL 2 DAY END AS scanned_at, CASE state WHEN 'again' THEN submitted_at + INTERVAL 3 DAY ELSE submitted_at END AS submitted_at FROM now",
+    "full_report": f"WITH {FLAGS}, {ASSIGN}, {USERS}, fb AS (SELECT id, {FEED} AS feedback FROM scored) SELECT row_number() OVER (ORDER BY scored.score DESC, id) AS \"Rank\", us.name AS \"Student Name\", roll_number AS \"Roll No\", lower(trim(email)) AS \"Email\", us.grade AS \"Grade\", subs.subject AS \"Subject\", scored.score AS \"Score\", scored.grade AS \"Grade Label\", {', '.join(SHARE.format(c) + f' AS \"{n}%\"' for c, n in (('originality', 'Originality'), ('ai_probability', 'AI_Prob'), ('copy_similarity', 'Copy_Sim'), ('hw_consistency', 'HW_Consistency'), ('ocr_confidence', 'OCR_Confidence')))}, array_to_string(fin.flags, '; ') AS \"Flags\", feedback AS \"Feedback\", strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS \"Submitted At\", strftime(submitted_at + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS \"Scanned At\" FROM scored JOIN fin USING (id) JOIN fb USING (id) JOIN subs USING (id) LEFT JOIN asg USING (id) LEFT JOIN us ON us.id = student_id",
+}

@@ -22,15 +22,26 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.col("source").alias("school"), F.coalesce(clean_text(F.col("text")), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
 
 
-def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as assignments in their lifecycle, joined to their students (customers) and schools (nations)."""
+#: Order states and the states of an assignment.
+STATES = {"O": "submitted", "P": "reviewing", "F": "scored"}
+
+
+def assignments(spark: SparkSession, sf_dir: str, status: str | None = None) -> DataFrame:
+    """Orders as assignments in their lifecycle, joined to their students (customers) and schools (nations).
+
+    With ``status`` only those in that state, by a filter on the stored column that reaches the scan.
+    """
     orders, customers, nations = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
-    status = F.when(F.col("o_orderstatus") == "O", "submitted").when(F.col("o_orderstatus") == "P", "reviewing").when(F.col("o_orderstatus") == "F", "scored")
+    if status is not None:
+        orders = orders.where(F.col("o_orderstatus").isin([k for k, v in STATES.items() if v == status]))
+    mapped = F.lit(None).cast("string")
+    for code, name in STATES.items():
+        mapped = F.when(F.col("o_orderstatus") == code, name).otherwise(mapped)
     score = F.when(F.col("o_orderstatus") == "F", F.floor(F.col("o_totalprice") % 101) / F.lit(10.0))
     joined = orders.join(customers, orders.o_custkey == customers.c_custkey).join(nations, customers.c_nationkey == nations.n_nationkey)
     return joined.select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("student_id"), F.col("c_name").alias("student_name"), F.col("c_mktsegment").alias("subject"), F.col("o_orderpriority").alias("grade"), F.col("n_name").alias("school"),
-        status.alias("status"), score.alias("score"), F.col("o_orderdate").alias("submitted_at"),
+        mapped.alias("status"), score.alias("score"), F.col("o_orderdate").alias("submitted_at"),
     )
 
 
@@ -49,10 +60,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """Uploaded PDFs of at most 20 MB with their MD5, as binary rows."""
+def pdf_files(spark: SparkSession, path: str, most: int = 20 * 1024 * 1024) -> DataFrame:
+    """Uploaded PDFs with their MD5, as binary rows; those over 20 MB are told by ``ingest_status`` and not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= 20 * 1024 * 1024).select("path", "modificationTime", "length", "content", F.md5("content").alias("md5"))
+    plain = ("path", "modificationTime", "length")
+    small = files.where(F.col("length") <= most).select(*plain, "content", F.md5("content").alias("md5"), F.lit("ok").alias("ingest_status"))
+    large = files.where(F.col("length") > most).select(*plain, F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("md5"), F.lit("too large").alias("ingest_status"))
+    return small.unionAll(large)
 
 
 def fingerprints_json(rows: DataFrame, column: str) -> DataFrame:
@@ -66,6 +80,39 @@ def latest(events: DataFrame, key: str, at: str, *tie: str) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+#: What a state event may carry; a reset clears all of it.
+STATE = "status string, score double, grade_label string, flags string, analysis string, ocr_text string, feedback string, scanned_at timestamp, submitted_at timestamp"
+TEXT_KEPT = 5000
+
+
+def _event(rows: DataFrame, status: str, at: Column, **values: Column) -> DataFrame:
+    cells = {n: values.get(n, F.lit(None)).cast(t) for n, t in (f.split() for f in STATE.split(", "))}
+    return rows.select("id", at.cast("timestamp").alias("at"), *[(F.lit(status) if n == "status" else c).alias(n) for n, c in cells.items()])
+
+
+def submitted(rows: DataFrame, at: Column) -> DataFrame:
+    """First hand-in or resubmission: results are cleared, flags and analysis empty."""
+    return _event(rows, "submitted", at, submitted_at=at, flags=F.lit("[]"), analysis=F.lit("{}"))
+
+
+def reviewing(rows: DataFrame, at: Column) -> DataFrame:
+    return _event(rows, "reviewing", at)
+
+
+def scored(rows: DataFrame, at: Column) -> DataFrame:
+    """Results of a scan (score, grade_label, feedback, text, flags, analysis as arrays or structs); 5,000 characters of the text are kept."""
+    text = F.substring("text", 1, TEXT_KEPT)
+    return _event(rows, "scored", at, score=F.col("score"), grade_label=F.col("grade_label"), flags=F.to_json("flags"), analysis=F.to_json("analysis"), ocr_text=text, feedback=F.col("feedback"), scanned_at=at)
+
+
+def current(events: DataFrame) -> DataFrame:
+    """The state of each id after its events: the newest one, with the last hand-in time; equal times go by state."""
+    stage = F.array_position(F.array(*map(F.lit, ("submitted", "reviewing", "scored"))), F.col("status"))
+    newest = latest(events.withColumn("stage", stage), "id", "at", "stage").drop("stage", "submitted_at")
+    hand_in = events.groupBy("id").agg(F.max("submitted_at").alias("submitted_at"))
+    return newest.join(hand_in, "id")
+
+
 def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows to append whose key is not taken yet (unique e-mail, unique id)."""
     return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")

@@ -1,4 +1,4 @@
-"""Structured Streaming: windowed counts, sessions, current states, and scans of newly arrived submissions."""
+"""Structured Streaming: windowed counts, sessions, and scans of newly arrived submissions."""
 
 from __future__ import annotations
 

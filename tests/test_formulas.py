@@ -173,3 +173,77 @@ def test_merge_and_recognise(spark):
         return b.decode(), 1.0 / len(b)
 
     assert {(r.path, r.text, r.ingest_status) for r in pages.recognise(images, provider).collect()} == {("x", "ok", "ok"), ("y", "", "failed: ZeroDivisionError")}
+
+
+def test_planted_violations(spark):
+    rows = spark.createDataFrame([(1, "scored", 5.0), (1, "scored", 5.0), (2, None, None), (3, "scored", 10.5), (4, "scored", None), (5, "submitted", 1.0), (6, "submitted", None)], "id long, status string, score double")
+    assert {r.rule: r.violations for r in report.quality_checks(rows).collect()} == {"repeated id": 2, "unknown state": 1, "score out of range": 1, "score and state differ": 2}
+
+
+def test_refused_users(spark):
+    rows = [("1", "A", "a@b.c", "secret", "student"), ("2", " ", "a@b.c", "secret", "student"), ("3", "A", None, "secret", "student"), ("4", "A", "ab.c", "secret", "teacher"), ("5", "A", "a@b", "secret", "teacher"), ("6", "A", "a@b.c", "12345", "teacher"), ("7", "A", "a@b.c", "secret", "admin"), ("8", "A", "a@b.c", "", "admin")]
+    got = {r.id: r.error for r in report.invalid_users(spark.createDataFrame(rows, "id string, name string, email string, password string, role string")).collect()}
+    assert got == {"2": "missing name", "3": "missing email", "4": "bad email", "5": "bad email", "6": "short password", "7": "unknown role", "8": "missing password"}
+
+
+@pytest.mark.parametrize("cvs,strokes,want", [((0.0, 0.0, 0.0, 0.0), 20, 1.0), ((1.0, 1.0, 1.0, 1.0), 20, 0.4), ((2.0, 0.5, 0.0, 0.25), 20, 0.6925), ((0.0, 0.0, 0.0, 0.0), 19, 0.7), ((9.0, 9.0, 9.0, 9.0), 1, 0.28)])
+def test_consistency(spark, cvs, strokes, want):
+    row = spark.createDataFrame([(*cvs, strokes)], "a double, b double, c double, d double, n int")
+    assert abs(row.select(pages.consistency(*map(F.col, "abcdn"))).first()[0] - want) < 1e-9
+
+
+def test_states_of_a_submission(spark):
+    from inkledger import sources as S
+
+    rows = spark.createDataFrame([(1, 7.5, "B+", "x" * 6000, ["f"], (3,)), (2, 1.0, "F", None, [], (0,)), (3, 9.0, "A+", "t", [], (0,))], "id long, score double, grade_label string, text string, flags array<string>, analysis struct<n:int>").withColumn("feedback", F.lit("fine"))
+    at = lambda d: F.to_timestamp(F.lit(f"2024-01-0{d}"))
+    events = S.submitted(rows, at(1)).unionAll(S.reviewing(rows, at(2))).unionAll(S.scored(rows.where("id <> 3"), at(2))).unionAll(S.submitted(rows.where("id = 2"), at(4)))
+    got = {r.id: r for r in S.current(events).collect()}
+    assert [got[i].status for i in (1, 2, 3)] == ["scored", "submitted", "reviewing"]
+    assert (got[1].score, len(got[1].ocr_text), got[1].flags, got[1].analysis, got[1].submitted_at.day, got[1].scanned_at.day) == (7.5, 5000, '["f"]', '{"n":3}', 1, 2)
+    assert (got[2].score, got[2].flags, got[2].analysis, got[2].scanned_at, got[2].submitted_at.day) == (None, "[]", "{}", None, 4)
+
+
+def test_history_needs_a_text(spark):
+    rows = spark.createDataFrame([(1, "s", "a", "reviewing", None, 1), (2, "s", "a", "scored", "t", 2), (3, "s", "a", "scored", "", 3), (4, "s", "a", "scored", None, 4), (5, "s", "b", "scored", "t", 5)], "id long, subject string, school string, status string, text string, submitted_at int")
+    ids = rows.where("id = 1").select("id")
+    assert {(r.id, r.origin) for r in report.peers_of_batch(rows, ids, "text").collect()} == {(1, "sibling"), (2, "history")}
+
+
+def test_one_student_is_one_hand(spark):
+    rows = spark.createDataFrame([(0, "s", "a", 1, [1.0, 0.0]), (1, "s", "a", 1, [0.0, 1.0]), (2, "s", "a", 2, [1.0, 0.2]), (3, "s", "b", 1, [1.0, 0.0]), (4, "s", "a", None, [1.0, 0.0])], "id long, subject string, school string, student int, v array<double>")
+    got = {(r.id, r.peer): (r.sim, r.clipped) for r in similarity.hand_matrix(rows, 0.3).collect()}
+    assert got[0, 1] == got[1, 0] == (1.0, 1.0) and got[0, 2] == got[2, 0] == (0.981, 0.981) and got[0, 4] == (1.0, 1.0) and (1, 2) not in got and not any(3 in k for k in got)
+
+
+def test_images(spark):
+    from inkledger.operators import images
+
+    flat = spark.createDataFrame([(1, y, [200] * 6) for y in range(5)] + [(2, 0, [0, 255, 0])] + [(3, y, [250] * 9 if y != 4 else [250] * 4 + [10] + [250] * 4) for y in range(9)], "page int, y int, grey array<int>")
+    dark = {(r.page, r.y): r.binary for r in images.binarized(flat).collect()}
+    assert all(dark[1, y] == [255] * 6 for y in range(5)) and dark[3, 4] == [255] * 4 + [0] + [255] * 4 and dark[3, 0] == [255] * 9
+    calm = {(r.page, r.y): r.grey for r in images.without_noise(flat).collect()}
+    assert all(calm[1, y] == [200] * 6 for y in range(5)) and calm[2, 0] == [128, 128, 128]
+    (m,) = images.page_metrics(images.ink_rows(images.binarized(flat.where("page = 3")))).collect()
+    assert (m.width, m.height, m.ink_ratio, m.text_lines, m.pressure) == (9, 9, 0.0123, 1, 0.961)
+    colour = spark.createDataFrame([([255, 0, 0], [0, 255, 0], [0, 0, 255])], "r array<int>, g array<int>, b array<int>")
+    assert colour.select(images.grey_of(*map(F.col, "rgb"))).first()[0] == [76, 150, 29]
+
+
+def test_strokes_and_lines(spark):
+    from inkledger.operators import images
+
+    boxes = spark.createDataFrame([(1, x, 10, 4, 8, 20, 24, False) for x in (0, 10, 20, 30, 40)] + [(1, 5, 5, 2, 2, 6, 8, True), (1, 60, 0, 1, 1, 3, 4, False)], "page int, x int, y int, w int, h int, area int, perimeter int, hole boolean")
+    sheets = spark.createDataFrame([(1, 100, 50), (2, 100, 50)], "page int, height int, width int")
+    got = {r.page: r for r in images.stroke_features(boxes, sheets).collect()}
+    assert (got[1].stroke_count, got[1].stroke_density, got[1].mean_height, got[1].height_cv, got[1].mean_aspect, got[1].mean_gap, got[1].gap_cv, got[1].gap_to_width_ratio, got[1].thinness) == (5, 0.02, 8.0, 0.0, 0.5, 6.0, 0.0, 0.75, 0.12)
+    assert {k: got[2][k] for k in images.NO_STROKES} == images.NO_STROKES
+    (shape,) = images.stroke_shape(boxes).collect()
+    assert (shape.loop_density, shape.baseline_deviation) == (0.2, 0.0)
+    ink = [0, 9, 9, 9, 9, 0, 0, 9, 9, 9, 9, 9, 9, 0]
+    rows = spark.createDataFrame([(1, y, v, 10) for y, v in enumerate(ink)] + [(2, 0, 0, 10)], "page int, y int, ink int, width int")
+    lines = {r.page: tuple(r)[1:] for r in images.line_features(rows).collect()}
+    assert lines == {1: (2, 5.0, 0.2, 0.9, 0.0), 2: (0, 0.0, 1.0, 0.0, 1.0)}
+    angles = spark.createDataFrame([(1, 1, 10.0), (1, 2, -80.0), (1, 3, 20.0), (1, 4, 40.0), (2, 1, 90.0)], "page int, rank int, angle double")
+    (a,) = images.median_angle(angles, 3).select("page", images.slant(F.col("angle")).alias("s"), images.skew(F.col("angle")).alias("k")).collect()
+    assert tuple(a) == (1, 0.5, 15.0)
