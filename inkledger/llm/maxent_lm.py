@@ -54,9 +54,9 @@ class ModelSize:
         return self.head_classes + self.tail_classes
 
 
-def ending(word: bytes, k: int) -> int:
+def ending(word: bytes) -> int:
     """A hash of the last three code points."""
-    return zlib.crc32(word.decode("utf-8", "replace")[-3:].encode()) % k
+    return zlib.crc32(word[-3:] if word.isascii() else word.decode("utf-8", "replace")[-3:].encode())
 
 
 class Codes(dict):
@@ -69,43 +69,41 @@ class Codes(dict):
         self.words: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        z, h = self.size, self.head.get(word, -1)
-        if 0 <= h < z.near // 2 - 1:
-            near = h + 1
-        else:
-            near = z.near // 2 + ending(word, z.near // 2)
-        if 0 <= h < z.far // 2 - 1:
-            far = h + 1
-        else:
-            far = z.far // 2 + ending(word, z.far // 2)
-        cls = int(self.classes[h]) if h >= 0 else z.head_classes + ending(word, z.tail_classes)
+        z, h, e = self.size, self.head.get(word, -1), ending(word)
+        near = h + 1 if 0 <= h < z.near // 2 - 1 else z.near // 2 + e % (z.near // 2)
+        far = h + 1 if 0 <= h < z.far // 2 - 1 else z.far // 2 + e % (z.far // 2)
+        cls = int(self.classes[h]) if h >= 0 else z.head_classes + e % z.tail_classes
         self[word] = i = len(self.rows)
-        self.rows.append((near, far, cls, h, self.places.get(word, -1), 1 + ending(word, z.groups - 1)))
+        self.rows.append((near, far, cls, h, self.places.get(word, -1), 1 + e % (z.groups - 1)))
         self.words.append(word)
         return i
 
     def trim(self) -> None:
-        """Between texts: start afresh when the table is full."""
+        """Between slices: start afresh when the table is full."""
         if len(self.rows) > self.keep:
             self.clear()
             self.rows.clear()
             self.words.clear()
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def histories(near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the two preceding words within one text; 0 stands for the text's start."""
-    one, two = np.zeros_like(near), np.zeros_like(far)
-    one[1:], two[2:] = near[:-1], far[:-2]
-    return one, two
-
-
-def preceding(group: np.ndarray) -> np.ndarray:
-    """The group of each token's preceding word; 0 stands for the text's start."""
-    out = np.zeros_like(group)
-    out[1:] = group[:-1]
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Coded tokens of all texts in a row, each text's end token included, and the texts' sizes."""
+        words: list[bytes] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            own = tokens(t)
+            words += own
+            words.append(END)
+            sizes[i] = len(own) + 1
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)), sizes
+
+
+def preceding(x: np.ndarray, sizes: np.ndarray, back: int = 1) -> np.ndarray:
+    """What each token's first (or second) preceding token has within its own text; 0 stands for the text's start."""
+    out = np.zeros_like(x)
+    out[back:] = x[:-back]
+    starts = np.cumsum(sizes) - sizes
+    for k in range(back):
+        out[starts[sizes > k] + k] = 0
     return out
 
 
@@ -118,21 +116,17 @@ def count_words(train: DataFrame, text: str, size: ModelSize) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             n = len(codes.rows)
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in codes.words]), pa.array(_columns(codes, np.arange(n))[2] - size.head_classes, pa.int32()), *(pa.array(held[:n, g].copy()) for g in range(size.groups))], ["word", "tail", *names])
+            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in codes.words]), pa.array(_table(codes)[:n, 2] - size.head_classes, pa.int32()), *(pa.array(held[:n, g].copy()) for g in range(size.groups))], ["word", "tail", *names])
             held[:n] = 0
             return out
 
         for batch in slices(batches, "text"):
-            found, before = [], []
-            for t in batch.column("text").to_pylist():
-                ids = codes.of([*tokens(t), END])
-                found.append(ids)
-                before.append(preceding(_columns(codes, ids)[5]))
+            ids, sizes = codes.of(batch.column("text").to_pylist())
             n = len(codes.rows)
             if n > len(held):
                 held = np.concatenate([held, np.zeros((2 * n - len(held), size.groups), np.int64)])
-            if found:
-                held[:n] += np.bincount(np.concatenate(found) * size.groups + np.concatenate(before), minlength=n * size.groups).reshape(n, size.groups)
+            before = preceding(_table(codes)[:, 5][ids], sizes)
+            held[:n] += np.bincount(ids * size.groups + before, minlength=n * size.groups).reshape(n, size.groups)
             if n > codes.keep:
                 yield flush()
                 codes.trim()
@@ -159,17 +153,13 @@ def count_cells(train: DataFrame, text: str, size: ModelSize, shared) -> DataFra
         head, classes = shared.value
         codes, held = Codes(size, head, classes), np.zeros(base + size.near * size.head, np.int32)
         for batch in slices(batches, "text"):
-            found = []
-            for t in batch.column("text").to_pylist():
-                codes.trim()
-                ids = codes.of([*tokens(t), END])
-                near, far, cls, h, _, _ = _columns(codes, ids)
-                one, two = histories(near, far)
-                found.append((one * size.far + two) * size.classes + cls)
-                known = h >= 0
-                found.append(base + one[known] * size.head + h[known])
-            if found:
-                at, n = np.unique(np.concatenate(found), return_counts=True)
+            codes.trim()
+            ids, sizes = codes.of(batch.column("text").to_pylist())
+            near, far, cls, h = (_table(codes)[:, k][ids] for k in range(4))
+            one = preceding(near, sizes)
+            known = h >= 0
+            for found in ((one * size.far + preceding(far, sizes, 2)) * size.classes + cls, base + one[known] * size.head + h[known]):
+                at, n = np.unique(found, return_counts=True)
                 held[at] += n.astype(np.int32)
         at = np.flatnonzero(held)
         for i in range(0, len(at), 200_000):
@@ -179,17 +169,17 @@ def count_cells(train: DataFrame, text: str, size: ModelSize, shared) -> DataFra
     return train.select(F.col(text).alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _columns(codes: Codes, ids: np.ndarray) -> np.ndarray:
-    """Attribute columns of coded words; the growing list is copied to an array only where it has grown."""
+def _table(codes: Codes) -> np.ndarray:
+    """Attributes of coded words; the growing list is copied to an array only where it has grown."""
     have = getattr(codes, "table", None)
     if have is None or codes.filled > len(codes.rows):
-        codes.table, codes.filled = np.zeros((1 << 16, 6), np.int64), 0
+        codes.table, codes.filled = np.zeros((1 << 16, 6), np.int64, order="F"), 0
     if codes.filled < (n := len(codes.rows)):
         if n > len(codes.table):
-            codes.table = np.concatenate([codes.table[: codes.filled], np.zeros((2 * n - codes.filled, 6), np.int64)])
+            codes.table = np.asfortranarray(np.concatenate([codes.table[: codes.filled], np.zeros((2 * n - codes.filled, 6), np.int64)]))
         codes.table[codes.filled : n] = codes.rows[codes.filled :]
         codes.filled = n
-    return codes.table[ids].T
+    return codes.table
 
 
 def pack(cells: DataFrame, size: ModelSize) -> DataFrame:
@@ -419,27 +409,28 @@ def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, classes, places, logs, tail_log, unseen, by_class, by_word = given.value
         codes = Codes(z, head, classes, places)
-        rare = pa.struct([("word", pa.string()), ("group", pa.int64()), ("times", pa.int64()), ("unseen", pa.float64())])
         for batch in slices(batches, "text"):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
-            for t in batch.column("text").to_pylist():
-                codes.trim()
-                ids = codes.of([*tokens(t), END])
-                near, far, cls, h, place, group = _columns(codes, ids)
-                one, two = histories(near, far)
-                before = preceding(group)
-                s = float(by_class[one, two, cls].sum(dtype=float))
-                in_head, sure = h >= 0, place >= 0
-                s += float(by_word[one[in_head], h[in_head]].sum(dtype=float))
-                tail = sure & ~in_head
-                s += float(tail_log[place[tail], before[tail]].sum(dtype=float))
-                pairs, times = np.unique(ids[~sure] * z.groups + before[~sure], return_counts=True)
-                rest, at = pairs // z.groups, pairs % z.groups
-                lost = unseen[_columns(codes, rest)[2] - z.head_classes, at] if len(rest) else []
-                for k, v in (("n_tokens", len(ids)), ("n_known", int(sure.sum())), ("base_score", float(logs[place[sure]].sum()) - len(ids) * base_log), ("score", s), ("rare", [{"word": codes.words[i].decode(), "group": g, "times": n, "unseen": u} for i, g, n, u in zip(rest.tolist(), at.tolist(), times.tolist(), lost, strict=True)])):
-                    out[k].append(v)
-            cols = [pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["base_score"], pa.float64()), pa.array(out["score"], pa.float64()), pa.array(out["rare"], pa.list_(rare))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in plain), *cols], [*(f.name for f in plain), *out])
+            codes.trim()
+            ids, sizes = codes.of(batch.column("text").to_pylist())
+            near, far, cls, h, place, group = (_table(codes)[:, k][ids] for k in range(6))
+            text_of = np.repeat(np.arange(len(sizes)), sizes)
+            one, before = preceding(near, sizes), preceding(group, sizes)
+            log_p = by_class[one, preceding(far, sizes, 2), cls].astype(float)
+            in_head, sure = h >= 0, place >= 0
+            log_p[in_head] += by_word[one[in_head], h[in_head]]
+            tail = sure & ~in_head
+            log_p[tail] += tail_log[place[tail], before[tail]]
+            base = np.bincount(text_of[sure], logs[place[sure]], len(sizes)) - sizes * base_log
+            # What the lookup lacks: (text, word, group) with its number of times, for the join.
+            lost = ~sure
+            keys, times = np.unique((text_of[lost] * len(codes.rows) + ids[lost]) * z.groups + before[lost], return_counts=True)
+            who, at = keys // z.groups, keys % z.groups
+            who, word = who // len(codes.rows), who % len(codes.rows)
+            kept_share = unseen[_table(codes)[:, 2][word] - z.head_classes, at]
+            rare = pa.StructArray.from_arrays([pa.array([codes.words[i] for i in word.tolist()], pa.binary()).cast(pa.string()), pa.array(at), pa.array(times), pa.array(kept_share, pa.float64())], ["word", "group", "times", "unseen"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(sizes) + 1)), pa.int32()), rare)
+            cols = [pa.array(sizes), pa.array(np.bincount(text_of[sure], minlength=len(sizes))), pa.array(base), pa.array(np.bincount(text_of, log_p, len(sizes))), lists]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in plain), *cols], [*(f.name for f in plain), "n_tokens", "n_known", "base_score", "score", "rare"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain)
     scored = kept.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:string,group:long,times:long,unseen:double>>")
