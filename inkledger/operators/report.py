@@ -75,6 +75,14 @@ def public_users(users: DataFrame) -> DataFrame:
     return users.select("id", "name", F.lower(F.trim("email")).alias("email"), "role", "school", "grade", "subject", "roll_number")
 
 
+def assignment_view(rows: DataFrame) -> DataFrame:
+    """The seventeen fields of a submission; flags and analysis are read from JSON, empty where they are missing or bad."""
+    plain = ("id", "student_id", "student_name", "student_email", "student_grade", "student_school", "subject", "title", "notes", "status", "score", "grade_label")
+    flags = F.coalesce(F.from_json("flags", "array<string>"), F.array().cast("array<string>"))
+    analysis = F.coalesce(F.from_json("analysis", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return rows.select(*plain, flags.alias("flags"), analysis.alias("analysis"), "feedback", "submitted_at", "scanned_at")
+
+
 ROLES = ["student", "teacher"]
 
 

@@ -124,11 +124,20 @@ def tf_cosine(subs: DataFrame, pairs: DataFrame) -> DataFrame:
     return dots.join(x, "id_a").join(y, "id_b").select("id_a", "id_b", X.half_up(F.col("dot") / F.sqrt(F.col("sa").cast("double") * F.col("sb")), 4).alias("tf_cos"))
 
 
+def gram_overlap(subs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Jaccard similarity of n-gram sets for given pairs, 4 digits: only texts of a pair are cut into n-grams."""
+    ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    sets = durable(subs.join(ids, "id", "left_semi").select("id", X.copy_words(F.col("low")).alias("w")).select("id", hashed_grams(F.col("w"), n).alias("g")))
+    a, b = (sets.select(F.col("id").alias(f"id_{k}"), F.col("g").alias(f"g_{k}")) for k in "ab")
+    rows = pairs.select("id_a", "id_b").join(a, "id_a").join(b, "id_b").select("id_a", "id_b", F.size(F.array_intersect("g_a", "g_b")).alias("c"), (F.size("g_a") + F.size("g_b")).alias("n"))
+    return rows.select("id_a", "id_b", F.when(F.col("n") > F.col("c"), X.half_up(F.col("c") / (F.col("n") - F.col("c")), 4)).otherwise(F.lit(0.0)).alias(f"ng{n}"))
+
+
 def gated_similarity(subs: DataFrame, least: float = 0.10) -> DataFrame:
-    """0.6 min(cosine, 1.5 three-gram) + 0.4 three-gram, for pairs with three-gram similarity from ``least`` on."""
+    """0.6 min(cosine, 1.5 three-gram) + 0.4 three-gram, and the two-gram similarity, for pairs with three-gram similarity from ``least`` on."""
     three = durable(ngram_pairs(subs, 3, least).select("id_a", "id_b", F.col("sim").alias("ng3")))
-    rows = three.join(tf_cosine(subs, three), ["id_a", "id_b"])
-    return rows.select("id_a", "id_b", "tf_cos", "ng3", X.half_up(F.least("tf_cos", F.col("ng3") * 1.5) * 0.6 + F.col("ng3") * 0.4, 4).alias("similarity"))
+    rows = three.join(tf_cosine(subs, three), ["id_a", "id_b"]).join(gram_overlap(subs, three, 2), ["id_a", "id_b"])
+    return rows.select("id_a", "id_b", "tf_cos", "ng3", "ng2", X.half_up(F.least("tf_cos", F.col("ng3") * 1.5) * 0.6 + F.col("ng3") * 0.4, 4).alias("similarity"))
 
 
 def vector_pairs(vectors: DataFrame, least: float, tile: int = tiles.TILE) -> DataFrame:

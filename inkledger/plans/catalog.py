@@ -420,6 +420,20 @@ def assignment_states(spark, d):
     return now.select("id", "status", "score", "grade_label", "flags", "analysis", F.length("ocr_text").alias("n_chars"), "feedback", "scanned_at", "submitted_at")
 
 
+@query
+def assignment_view(spark, d):
+    """Stored JSON of scored assignments; the others hold none or what is no JSON."""
+    done = F.col("status") == "scored"
+    u = report.public_users(users(spark, d)).select(F.col("id").alias("student_id"), F.col("email").alias("student_email"))
+    rows = S.assignments(spark, d).join(u, "student_id").withColumnsRenamed({"grade": "student_grade", "school": "student_school"})
+    rows = rows.withColumns({
+        "title": F.concat("subject", F.lit(" "), "id"), "notes": F.lit(None).cast("string"), "grade_label": scoring.grade_label(F.col("score")), "feedback": F.concat(F.lit("Score "), F.col("score")), "scanned_at": F.when(done, F.col("submitted_at") + F.expr("INTERVAL 2 DAYS")),
+        "flags": F.when(done, F.lit('["checked"]')).when(F.col("status") == "reviewing", "not json"), "analysis": F.when(done, F.to_json(F.struct("subject"))).when(F.col("status") == "reviewing", "{"),
+    })
+    shown = report.assignment_view(rows)
+    return shown.withColumns({"flags": F.array_join("flags", "; "), "analysis": F.array_join(F.transform(F.map_entries("analysis"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")})
+
+
 @query
 def full_report(spark, d):
     """Submissions with the student and the date of the order of the same number."""

@@ -196,7 +196,7 @@ gated AS (SELECT id_a, id_b, tf_cos, ng3, {r('least(tf_cos, ng3 * 1.5::DOUBLE) *
 
 
 SQL |= {
-    "gated_similarity": f"WITH {SUBS}, {gated(0.10, True)} SELECT * FROM gated",
+    "gated_similarity": f"WITH {SUBS}, {gated(0.10, True)}, {pairs('n2', grams(2), 0.0, words=CWORDS)} SELECT gated.*, coalesce(n2.sim, 0.0) AS ng2 FROM gated LEFT JOIN n2 USING (id_a, id_b)",
     "topk_matches": f"""WITH {SUBS}, {gated(0.0, False)}, {HANDS}, e AS (SELECT id_a, id_b, coalesce(similarity, 0.0) AS text_sim, coalesce(hw_sim, 0.0) AS hw_sim FROM gated FULL JOIN hw USING (id_a, id_b)), b AS (SELECT id_a AS id, id_b AS peer, text_sim, hw_sim FROM e UNION ALL SELECT id_b, id_a, text_sim, hw_sim FROM e),
   c AS (SELECT *, {r('text_sim * 0.65::DOUBLE + hw_sim * (1 - 0.65::DOUBLE)', 3)} AS combined FROM b) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY combined DESC, peer)::INTEGER AS rank FROM c WHERE combined > 0.25::DOUBLE OR hw_sim > 0.88::DOUBLE) WHERE rank <= 5""",
     "exact_dup_md5": "SELECT md5(text) AS md5, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
@@ -317,5 +317,6 @@ SQL |= {
     "public_users": f"WITH {USERS} SELECT id, name, lower(trim(email)) AS email, role, school, grade, subject, roll_number FROM us",
     "invalid_users": f"WITH {USERS} SELECT * FROM (SELECT id, CASE WHEN trim(name) = '' THEN 'missing name' WHEN trim(email) = '' THEN 'missing email' WHEN trim(password) = '' THEN 'missing password' WHEN trim(role) = '' THEN 'missing role' WHEN role NOT IN ('student', 'teacher') THEN 'unknown role' WHEN length(password) < 6 THEN 'short password' WHEN email NOT LIKE '%@%' OR email NOT LIKE '%.%' THEN 'bad email' END AS error FROM us) WHERE error IS NOT NULL",
     "assignment_states": f"WITH {ASSIGN}, {SUBS}, tx AS (SELECT asg.*, subs.text FROM asg LEFT JOIN subs USING (id)), now AS (SELECT *, CASE WHEN status = 'scored' AND score < 3 THEN 'again' ELSE status END AS state FROM tx) SELECT id, CASE state WHEN 'again' THEN 'submitted' ELSE state END AS status, CASE WHEN state = 'scored' THEN score END AS score, CASE WHEN state = 'scored' THEN {GRADE} END AS grade_label, CASE state WHEN 'scored' THEN '[\"checked\"]' WHEN 'reviewing' THEN NULL ELSE '[]' END AS flags, CASE state WHEN 'scored' THEN '{{\"subject\":\"' || subject || '\"}}' WHEN 'reviewing' THEN NULL ELSE '{{}}' END AS analysis, CASE WHEN state = 'scored' THEN least(length(text), 5000) END::INTEGER AS n_chars, CASE WHEN state = 'scored' THEN 'Score ' || score END AS feedback, CASE WHEN state = 'scored' THEN submitted_at + INTERVAL 2 DAY END AS scanned_at, CASE state WHEN 'again' THEN submitted_at + INTERVAL 3 DAY ELSE submitted_at END AS submitted_at FROM now",
+    "assignment_view": f"WITH {ASSIGN}, {USERS} SELECT asg.id, student_id, student_name, lower(trim(email)) AS student_email, asg.grade AS student_grade, asg.school AS student_school, asg.subject, asg.subject || ' ' || asg.id AS title, NULL::VARCHAR AS notes, status, score, CASE WHEN score IS NOT NULL THEN {GRADE} END AS grade_label, CASE status WHEN 'scored' THEN 'checked' ELSE '' END AS flags, CASE status WHEN 'scored' THEN 'subject=' || asg.subject ELSE '' END AS analysis, CASE WHEN score IS NOT NULL THEN 'Score ' || score END AS feedback, submitted_at, CASE WHEN status = 'scored' THEN submitted_at + INTERVAL 2 DAY END AS scanned_at FROM asg JOIN us ON us.id = student_id",
     "full_report": f"WITH {FLAGS}, {ASSIGN}, {USERS}, fb AS (SELECT id, {FEED} AS feedback FROM scored) SELECT row_number() OVER (ORDER BY scored.score DESC, id) AS \"Rank\", us.name AS \"Student Name\", roll_number AS \"Roll No\", lower(trim(email)) AS \"Email\", us.grade AS \"Grade\", subs.subject AS \"Subject\", scored.score AS \"Score\", scored.grade AS \"Grade Label\", {', '.join(SHARE.format(c) + f' AS \"{n}%\"' for c, n in (('originality', 'Originality'), ('ai_probability', 'AI_Prob'), ('copy_similarity', 'Copy_Sim'), ('hw_consistency', 'HW_Consistency'), ('ocr_confidence', 'OCR_Confidence')))}, array_to_string(fin.flags, '; ') AS \"Flags\", feedback AS \"Feedback\", strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS \"Submitted At\", strftime(submitted_at + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS \"Scanned At\" FROM scored JOIN fin USING (id) JOIN fb USING (id) JOIN subs USING (id) LEFT JOIN asg USING (id) LEFT JOIN us ON us.id = student_id",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,6 +119,23 @@ def new_rows(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
+def insert(incoming: DataFrame, path: str, key: str) -> None:
+    """Append the rows of a Parquet table whose key is new to it; the folder may not exist yet."""
+    spark = incoming.sparkSession
+    try:
+        fresh = new_rows(incoming, spark.read.schema(incoming.schema).parquet(path), key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        fresh = incoming.dropDuplicates([key])
+    durable(fresh).write.mode("append").parquet(path)  # written once more, since a table can't be read and appended to at once
+
+
+def write_fingerprints(rows: DataFrame, path: str, key: str = "id", vector: str = "fingerprint") -> None:
+    """One JSON line for each submission that has a vector."""
+    rows.where(F.col(vector).isNotNull()).select(key, vector).write.mode("overwrite").json(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A ranked report as CSV with a header; the ranks order the rows of its files."""
     report.sortWithinPartitions("rank").write.mode("overwrite").option("header", True).csv(path)

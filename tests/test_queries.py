@@ -91,6 +91,11 @@ def test_files_and_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "[0.5, 1]"), (2, "bad")], "id long, v string")
     assert [r.v for r in sources.fingerprints_json(rows, "v").orderBy("id").collect()] == [[0.5, 1.0], None]
     assert [r.id for r in sources.new_rows(rows, rows.where("id = 1"), "id").collect()] == [2]
+    for more in (rows, rows.unionAll(rows.selectExpr("id + 1", "v"))):
+        sources.insert(more, str(tmp_path / "table"), "id")
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [1, 2, 3]
+    sources.write_fingerprints(sources.fingerprints_json(rows, "v"), str(tmp_path / "fp"), vector="v")
+    assert [tuple(r) for r in spark.read.schema("id long, v array<double>").json(str(tmp_path / "fp")).collect()] == [(1, [0.5, 1.0])]
     sources.write_report(rows.withColumnRenamed("id", "rank"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
