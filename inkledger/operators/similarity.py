@@ -193,18 +193,31 @@ def whole_evidence(pairs: DataFrame, subs: DataFrame, vectors: DataFrame) -> Dat
     return rows.select("id_a", "id_b", text.alias("text_sim"), "hw_sim")
 
 
-def evidence(subs: DataFrame, vectors: DataFrame, text: float, hand: float) -> DataFrame:
+def other_copies(classes: DataFrame, students: DataFrame) -> DataFrame:
+    """(rep, other): of each class (id, rep) the first submission by another student than that of its first; ``students`` has id and student."""
+    rows = classes.join(students.select("id", "student"), "id", "left")
+    first = rows.where("id = rep").select("rep", F.col("student").alias("own"))
+    return rows.join(first, "rep").where(F.col("own").isNotNull() & ~F.col("student").eqNullSafe(F.col("own"))).groupBy("rep").agg(F.min("id").alias("other"))
+
+
+def evidence(subs: DataFrame, vectors: DataFrame, text: float, hand: float, students: DataFrame | None = None) -> DataFrame:
     """Pairs from text similarity ``text`` or vector similarity ``hand`` on, with both similarities whole.
 
     Where texts have copies, a submission meets the first submission of its own text and of each similar text, so the
-    pairs of a class grow with its members and not with their square.
+    pairs of a class grow with its members and not with their square. With ``students`` (id, student) it also meets the
+    first one by another student than that, so whoever it may not be compared with, the best of the others is listed.
     """
     similar = durable(copy_pairs(subs, text).select("id_a", "id_b"))
-    member = durable(equal_texts(subs).where("id <> rep"))
-    a, b = (member.select(F.col("id").alias("other"), F.col("rep").alias(f"id_{x}")) for x in "ab")
+    classes = durable(equal_texts(subs.where(F.size(X.blank_words(F.col("low"))) > 0)))
+    member = classes.where("id <> rep")
     own = similar.join(member.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b")), ["id_a", "id_b"], "left_anti")
-    more = own.join(a, "id_a").select("other", "id_b").unionAll(own.join(b, "id_b").select("other", "id_a")).toDF("x", "y")
-    found = similar.unionAll(more.select(F.least("x", "y"), F.greatest("x", "y"))).unionByName(vector_pairs(vectors, hand).select("id_a", "id_b"))
+    near = own.select(F.col("id_a").alias("rep"), F.col("id_b").alias("peer")).unionAll(own.select(F.col("id_b").alias("rep"), F.col("id_a").alias("peer")))
+    more = near.join(member, "rep").select("id", "peer")
+    if students is not None:
+        others = durable(other_copies(classes, students))
+        there = near.join(others.withColumnRenamed("rep", "peer"), "peer").join(classes, "rep").select("id", "other")
+        more = more.unionAll(there).unionAll(classes.join(others, "rep").where("id <> other").select("id", "other"))
+    found = similar.unionAll(more.select(F.least("id", "peer"), F.greatest("id", "peer"))).unionByName(vector_pairs(vectors, hand).select("id_a", "id_b"))
     return whole_evidence(found, subs, vectors)
 
 

@@ -49,9 +49,9 @@ def hands(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(vectors, "id")
 
 
-def evidence(spark: SparkSession, d: str) -> DataFrame:
+def evidence(spark: SparkSession, d: str, students: DataFrame | None = None) -> DataFrame:
     """Pairs that a rule can flag, written once for all that reads them."""
-    return S.durable(similarity.evidence(subs(spark, d), hands(spark, d), *RULED))
+    return S.durable(similarity.evidence(subs(spark, d), hands(spark, d), *RULED, students))
 
 
 def maxima(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +293,8 @@ def peers(spark, d):
 
 @query
 def peer_flags(spark, d):
-    return flags.peer_flags(peers(spark, d), evidence(spark, d), L.PEER)
+    rows = peers(spark, d)
+    return flags.peer_flags(rows, evidence(spark, d, rows), L.PEER)
 
 
 @query
