@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language_id, maxent_lm, media, mtree, packing, piece_codec, simhash, toxicity, warc
+from . import chat, collocations, language_id, maxent_lm, media, mtree, packing, piece_codec, quality, simhash, source_audit, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +59,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_warc, op2_pieces, op3_language_model, op4_chat, op5_language, op6_nearest, op7_simhash, op8_packing, op9_toxicity, op10_media)}
+    return {f.__name__: f for f in (op1_warc, op2_pieces, op3_language_model, op4_chat, op5_language, op6_nearest, op7_simhash, op8_packing, op9_toxicity, op10_media, op11_quality, op12_source_divergence, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators have no SQL: digests of library encodings, trained models, components, greedy packing."""
-    return {"op4_chat": chat.ORACLE, "op6_nearest": mtree.ORACLE}
+    return {"op4_chat": chat.ORACLE, "op6_nearest": mtree.ORACLE, "op12_source_divergence": source_audit.ORACLE, "op13_collocations": collocations.ORACLE}
