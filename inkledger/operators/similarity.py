@@ -193,6 +193,12 @@ def whole_evidence(pairs: DataFrame, subs: DataFrame, vectors: DataFrame) -> Dat
     return rows.select("id_a", "id_b", text.alias("text_sim"), "hw_sim")
 
 
+def with_hands(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Adds ``hw_sim`` of (id, peer), 4 digits; 0 without two vectors."""
+    a, b = vectors.select("id", F.col("v").alias("v_a")), vectors.select(F.col("id").alias("peer"), F.col("v").alias("v_b"))
+    return rows.join(a, "id", "left").join(b, "peer", "left").withColumn("hw_sim", X.half_up(V.cosine(F.col("v_a"), F.col("v_b")), 4)).drop("v_a", "v_b")
+
+
 def other_copies(classes: DataFrame, students: DataFrame) -> DataFrame:
     """(rep, other): of each class (id, rep) the first submission by another student than that of its first; ``students`` has id and student."""
     rows = classes.join(students.select("id", "student"), "id", "left")

@@ -113,13 +113,15 @@ SCORED = f"""scored AS (SELECT id, ai_probability, style_score, copy_similarity,
       FROM (SELECT id, ai_probability::DOUBLE AS ai_probability, style_score::DOUBLE AS style_score, word_count, combined_copy_score AS copy_similarity, 0.6::DOUBLE AS hw_consistency, 0.0::DOUBLE AS ocr_confidence FROM aip JOIN style USING (id) JOIN batch USING (id)))))"""
 ALL = ", ".join([AIS, TS, HANDS, EVID, BATCH, SCORED])
 PCT = "floor({0} * 100 + 0.5)::BIGINT"
-#: Where texts have copies, a submission meets the first submission of its own text and of each similar text.
+#: The rules over all pairs of a block. Of one submission the flags from the members of one class of equal texts are one row.
 RULES = f"""reps AS (SELECT id, min(id) OVER (PARTITION BY subject, school, low) AS rep FROM subs),
-met AS (SELECT ev.* FROM ev JOIN reps a ON id_a = a.id JOIN reps b ON id_b = b.id WHERE hw_sim >= 0.75::DOUBLE OR b.rep = id_a OR a.rep <> b.rep AND (a.rep = id_a OR b.rep = id_b)),
-rules AS (SELECT *, CASE WHEN text_sim >= 0.55::DOUBLE THEN 'A' WHEN hw_sim >= 0.75::DOUBLE AND text_sim < 0.40::DOUBLE THEN 'B' WHEN text_sim >= 0.40::DOUBLE THEN 'C' END AS rule FROM met),
+rules AS (SELECT *, CASE WHEN text_sim >= 0.55::DOUBLE THEN 'A' WHEN hw_sim >= 0.75::DOUBLE AND text_sim < 0.40::DOUBLE THEN 'B' WHEN text_sim >= 0.40::DOUBLE THEN 'C' END AS rule FROM ev),
 pf0 AS (SELECT e.*, a.score AS sa, b.score AS sb, a.ai_probability AS aa, b.ai_probability AS ab FROM rules e JOIN scored a ON id_a = a.id JOIN scored b ON id_b = b.id WHERE rule IS NOT NULL),
-pf1 AS (SELECT id_a, id_b, rule, text_sim, hw_sim, id_a AS id, id_b AS peer FROM pf0 WHERE rule = 'C' OR (rule = 'A' AND sa <= sb) OR (rule = 'B' AND aa >= ab) UNION ALL SELECT id_a, id_b, rule, text_sim, hw_sim, id_b, id_a FROM pf0 WHERE rule = 'C' OR (rule = 'A' AND sa > sb) OR (rule = 'B' AND aa < ab)),
-pf AS (SELECT *, CASE rule WHEN 'A' THEN 'Copied from ' || peer || ' (' || {PCT.format('text_sim')} || '% text similarity)' WHEN 'B' THEN 'Handwriting matches ' || peer || '''s submission — possible ghostwriter (' || {PCT.format('hw_sim')} || '% HW similarity)' ELSE 'Significant similarity with ' || peer || ' (' || {PCT.format('text_sim')} || '%)' END AS flag FROM pf1)"""
+pf1 AS (SELECT rule, text_sim, hw_sim, id_a AS id, id_b AS peer, sb AS score FROM pf0 WHERE rule = 'C' OR (rule = 'A' AND sa <= sb) OR (rule = 'B' AND aa >= ab) UNION ALL SELECT rule, text_sim, hw_sim, id_b, id_a, sa FROM pf0 WHERE rule = 'C' OR (rule = 'A' AND sa > sb) OR (rule = 'B' AND aa < ab)),
+pf2 AS (SELECT pf1.*, row_number() OVER w AS n, count(*) OVER (PARTITION BY pf1.id, rule, CASE WHEN rule = 'B' THEN peer ELSE rep END) - 1 AS more FROM pf1 JOIN reps ON reps.id = peer
+  WINDOW w AS (PARTITION BY pf1.id, rule, CASE WHEN rule = 'B' THEN peer ELSE rep END ORDER BY CASE WHEN rule = 'A' THEN -score END, CASE WHEN rule = 'A' THEN -peer ELSE peer END)),
+pf3 AS (SELECT *, least(id, peer) AS id_a, greatest(id, peer) AS id_b FROM pf2 WHERE n = 1),
+pf AS (SELECT *, CASE rule WHEN 'A' THEN 'Copied from ' || peer || ' (' || {PCT.format('text_sim')} || '% text similarity)' WHEN 'B' THEN 'Handwriting matches ' || peer || '''s submission — possible ghostwriter (' || {PCT.format('hw_sim')} || '% HW similarity)' ELSE 'Significant similarity with ' || peer || ' (' || {PCT.format('text_sim')} || '%)' END || CASE WHEN more > 0 THEN ' and ' || more || ' more' ELSE '' END AS flag FROM pf3)"""
 BASE = """base AS (SELECT id, list_filter([CASE WHEN ai_probability >= 0.40::DOUBLE THEN 'AI-generated content detected' WHEN ai_probability >= 0.28::DOUBLE THEN 'Possible AI assistance detected' END,
   CASE WHEN style_score < 0.25::DOUBLE THEN 'Highly inconsistent writing style detected' END, CASE WHEN ocr_confidence > 0 AND ocr_confidence < 0.30::DOUBLE THEN 'Low legibility – assignment hard to read' END], lambda f: f IS NOT NULL) AS flags FROM scored)"""
 FINAL = "fin AS (SELECT id, list_concat(flags, coalesce(more, [])) AS flags FROM base LEFT JOIN (SELECT id, list(flag ORDER BY id_a, id_b, flag) AS more FROM pf GROUP BY id) USING (id))"
@@ -210,7 +212,7 @@ SQL |= {
     "copy_batch": f"WITH {EVS}, {BATCH} SELECT * FROM batch",
     "best_peer": f"WITH {EVS}, {BEST.format('evd')} SELECT * FROM best",
     "base_flags": f"WITH {FLAGS} SELECT id, array_to_string(flags, '; ') AS flags FROM base",
-    "copy_flags": f"WITH {FLAGS} SELECT id, peer, rule, text_sim, hw_sim, flag FROM pf",
+    "copy_flags": f"WITH {FLAGS} SELECT id, peer, rule, text_sim, hw_sim, more, flag FROM pf",
     "final_flags": f"WITH {FLAGS} SELECT id, array_to_string(flags, '; ') AS flags FROM fin",
     "flag_summary": f"WITH {FLAGS} SELECT id, len(flags) > 0 AS flagged, array_to_string(flags, '; ') AS reasons, len(flags)::INTEGER AS flag_count FROM fin",
     "peer_flags": peer(0.55, 0.40, 0.75, True, False),
@@ -316,7 +318,7 @@ SQL |= {
     "first_submission": f"WITH {ASSIGN} SELECT student_name, id, subject FROM (SELECT *, row_number() OVER (PARTITION BY student_name ORDER BY submitted_at, id) AS n FROM asg) WHERE n = 1",
     "public_users": f"WITH {USERS} SELECT id, name, lower(trim(email)) AS email, role, school, grade, subject, roll_number FROM us",
     "invalid_users": f"WITH {USERS} SELECT * FROM (SELECT id, CASE WHEN trim(name) = '' THEN 'missing name' WHEN trim(email) = '' THEN 'missing email' WHEN trim(password) = '' THEN 'missing password' WHEN trim(role) = '' THEN 'missing role' WHEN role NOT IN ('student', 'teacher') THEN 'unknown role' WHEN length(password) < 6 THEN 'short password' WHEN email NOT LIKE '%@%' OR email NOT LIKE '%.%' THEN 'bad email' END AS error FROM us) WHERE error IS NOT NULL",
-    "assignment_states": f"WITH {ASSIGN}, {SUBS}, tx AS (SELECT asg.*, subs.text FROM asg LEFT JOIN subs USING (id)), now AS (SELECT *, CASE WHEN status = 'scored' AND score < 3 THEN 'again' ELSE status END AS state FROM tx) SELECT id, CASE state WHEN 'again' THEN 'submitted' ELSE state END AS status, CASE WHEN state = 'scored' THEN score END AS score, CASE WHEN state = 'scored' THEN {GRADE} END AS grade_label, CASE state WHEN 'scored' THEN '[\"checked\"]' WHEN 'reviewing' THEN NULL ELSE '[]' END AS flags, CASE state WHEN 'scored' THEN '{{\"subject\":\"' || subject || '\"}}' WHEN 'reviewing' THEN NULL ELSE '{{}}' END AS analysis, CASE WHEN state = 'scored' THEN least(length(text), 5000) END::INTEGER AS n_chars, CASE WHEN state = 'scored' THEN 'Score ' || score END AS feedback, CASE WHEN state = 'scored' THEN submitted_at + INTERVAL 2 DAY END AS scanned_at, CASE state WHEN 'again' THEN submitted_at + INTERVAL 3 DAY ELSE submitted_at END AS submitted_at FROM now",
+    "assignment_states": f"WITH {ASSIGN}, {SUBS}, tx AS (SELECT asg.*, subs.text FROM asg LEFT JOIN subs USING (id)), now AS (SELECT *, CASE WHEN status = 'scored' AND score < 3 THEN 'again' ELSE status END AS state FROM tx) SELECT id, CASE state WHEN 'again' THEN 'submitted' ELSE state END AS status, CASE WHEN state = 'scored' THEN score END AS score, CASE WHEN state = 'scored' THEN {GRADE} END AS grade_label, CASE state WHEN 'scored' THEN '[\"checked\"]' WHEN 'reviewing' THEN NULL ELSE '[]' END AS flags, CASE state WHEN 'scored' THEN '{{\"subject\":\"' || subject || '\"}}' WHEN 'reviewing' THEN NULL ELSE '{{}}' END AS analysis, CASE WHEN state = 'scored' THEN least(coalesce(length(text), 0), 5000) END::INTEGER AS n_chars, CASE WHEN state = 'scored' THEN 'Score ' || score END AS feedback, CASE WHEN state = 'scored' THEN submitted_at + INTERVAL 2 DAY END AS scanned_at, CASE state WHEN 'again' THEN submitted_at + INTERVAL 3 DAY ELSE submitted_at END AS submitted_at FROM now",
     "assignment_view": f"WITH {ASSIGN}, {USERS} SELECT asg.id, student_id, student_name, lower(trim(email)) AS student_email, asg.grade AS student_grade, asg.school AS student_school, asg.subject, asg.subject || ' ' || asg.id AS title, NULL::VARCHAR AS notes, status, score, CASE WHEN score IS NOT NULL THEN {GRADE} END AS grade_label, CASE status WHEN 'scored' THEN 'checked' ELSE '' END AS flags, CASE status WHEN 'scored' THEN 'subject=' || asg.subject ELSE '' END AS analysis, CASE WHEN score IS NOT NULL THEN 'Score ' || score END AS feedback, submitted_at, CASE WHEN status = 'scored' THEN submitted_at + INTERVAL 2 DAY END AS scanned_at FROM asg JOIN us ON us.id = student_id",
     "full_report": f"WITH {FLAGS}, {ASSIGN}, {USERS}, fb AS (SELECT id, {FEED} AS feedback FROM scored) SELECT row_number() OVER (ORDER BY scored.score DESC, id) AS \"Rank\", us.name AS \"Student Name\", roll_number AS \"Roll No\", lower(trim(email)) AS \"Email\", us.grade AS \"Grade\", subs.subject AS \"Subject\", scored.score AS \"Score\", scored.grade AS \"Grade Label\", {', '.join(SHARE.format(c) + f' AS \"{n}%\"' for c, n in (('originality', 'Originality'), ('ai_probability', 'AI_Prob'), ('copy_similarity', 'Copy_Sim'), ('hw_consistency', 'HW_Consistency'), ('ocr_confidence', 'OCR_Confidence')))}, array_to_string(fin.flags, '; ') AS \"Flags\", feedback AS \"Feedback\", strftime(submitted_at, '%Y-%m-%d %H:%M:%S') AS \"Submitted At\", strftime(submitted_at + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS \"Scanned At\" FROM scored JOIN fin USING (id) JOIN fb USING (id) JOIN subs USING (id) LEFT JOIN asg USING (id) LEFT JOIN us ON us.id = student_id",
 }

@@ -101,8 +101,8 @@ def reviewing(rows: DataFrame, at: Column) -> DataFrame:
 
 
 def scored(rows: DataFrame, at: Column) -> DataFrame:
-    """Results of a scan (score, grade_label, feedback, text, flags, analysis as arrays or structs); 5,000 characters of the text are kept."""
-    text = F.substring("text", 1, TEXT_KEPT)
+    """Results of a scan (score, grade_label, feedback, text, flags, analysis as arrays or structs); 5,000 characters of the text are kept, none of a missing one."""
+    text = F.coalesce(F.substring("text", 1, TEXT_KEPT), F.lit(""))
     return _event(rows, "scored", at, score=F.col("score"), grade_label=F.col("grade_label"), flags=F.to_json("flags"), analysis=F.to_json("analysis"), ocr_text=text, feedback=F.col("feedback"), scanned_at=at)
 
 

@@ -26,6 +26,22 @@ def ordered(frame):
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 
+def differing(got, want):
+    """Columns of two ordered frames that differ in some row; nulls equal nulls and nothing else."""
+    return [c for c in got.columns if not ((got[c] == want[c]).fillna(False).astype(bool) | (got[c].isna() & want[c].isna())).all()]
+
+
+def test_a_null_differs_from_a_value():
+    import pandas as pd
+
+    for kind in ("Int32", "Int64", "float64", "object", "boolean"):
+        one = pd.DataFrame({"x": pd.array([1, None], dtype=kind) if kind != "boolean" else pd.array([True, None], dtype=kind)})
+        for other in (one.iloc[::-1].reset_index(drop=True), one.fillna(1)):
+            assert differing(one, other) == differing(other, one) == ["x"]
+        assert differing(one, one.copy()) == []
+    assert differing(pd.DataFrame({"x": [0.0, 1.0]}), pd.DataFrame({"x": pd.array([None, 1], dtype="Int32")})) == ["x"]
+
+
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(SQL)
 
@@ -34,8 +50,7 @@ def test_every_query_has_sql():
 def test_query(spark, sf, duck, name):
     got, want = ordered(catalog.queries()[name](spark, sf).toPandas()), ordered(duck.sql(SQL[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
-    for c in got.columns:
-        assert ((got[c] == want[c]) | (got[c].isna() & want[c].isna())).all(), c
+    assert differing(got, want) == []
 
 
 def test_pushdown(spark, sf):
