@@ -21,14 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, slices
+from .common import by_language, cut_words, durable
 
 LEAST, TOP, COVERED = 10, 2000, 50  # occurrences of a candidate, phrases of a language, per cent of them inside a longer one
 BITS = 27  # bitmaps of 16 MB, whatever the input
-TOKENS = 1 << 22  # words that a task sorts at once
+CHUNK = 12 << 20  # bytes of text that a task sorts at once
 
-#: A-Z lowered, piece separators as line feeds.
-PIECE_BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A-Z lowered, piece separators as line feeds, a tab as a blank.
+PIECE_BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def code_of(lang: str, word: bytes, seed: int) -> int:
@@ -36,45 +36,8 @@ def code_of(lang: str, word: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b"\n" + word, seed)
 
 
-class Words:
-    """Local numbers of (language, word) pairs, with their codes."""
-
-    def __init__(self, seed: int, code: Callable[[str, bytes, int], int]):
-        self.seed, self.code, self.langs = seed, code, {}
-        self.names: list[tuple[str, bytes]] = []
-
-    def number(self, lang: str) -> Callable[[bytes], int]:
-        if lang not in self.langs:
-            names = self.names
-
-            class Known(dict):
-                def __missing__(self, word: bytes) -> int:
-                    self[word] = n = len(names)
-                    names.append((lang, word))
-                    return n
-
-            self.langs[lang] = Known()
-        return self.langs[lang].__getitem__
-
-    def codes(self) -> np.ndarray:
-        return np.array([self.code(lang, w, self.seed) for lang, w in self.names], np.uint64)
-
-
-def word_streams(batches: Iterator[pa.RecordBatch], seed: int, code: Callable[[str, bytes, int], int]) -> Iterator[tuple[Words, np.ndarray]]:
-    """Numbered words of about ``TOKENS`` words of text at once, each piece followed by -1."""
-    words, held = Words(seed, code), []
-    for batch in slices(batches, "text"):
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            number = words.number(lang)
-            for piece in text.encode().translate(PIECE_BYTES).split(b"\n"):
-                if found := piece.split():
-                    held += map(number, found)
-                    held.append(-1)
-        if len(held) > TOKENS:
-            yield words, np.array(held, np.int64)
-            words, held = Words(seed, code), []
-    if held:
-        yield words, np.array(held, np.int64)
+def codes_of(lang: str, words: pa.Array, seed: int, code: Callable[[str, bytes, int], int]) -> np.ndarray:
+    return np.array([code(lang, w, seed) for w in words.to_pylist()], np.uint64)
 
 
 def signed(codes: np.ndarray) -> pa.Array:
@@ -91,11 +54,10 @@ def count_words(docs: DataFrame, seed: int, code: Callable = code_of) -> DataFra
     """(code, lang, word, n) of every word, rare ones too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, ids in word_streams(batches, seed, code):
-            n = np.bincount(ids[ids >= 0], minlength=len(words.names))
-            rows = [signed(words.codes()), pa.array([lang for lang, _ in words.names]), pa.array([w.decode() for _, w in words.names]), pa.array(n)]
-            out = pa.RecordBatch.from_arrays(rows, ["code", "lang", "word", "n"])
-            yield from (out.slice(s, 100_000) for s in range(0, out.num_rows, 100_000))
+        for lang, rows in by_language(batches, CHUNK):
+            words, ids, _, _ = cut_words(rows.column("text"), PIECE_BYTES)
+            cells = [signed(codes_of(lang, words, seed, code)), pa.array([lang] * len(words), pa.string()), words.cast(pa.string()), pa.array(np.bincount(ids, minlength=len(words)))]
+            yield from pa.table(cells, ["code", "lang", "word", "n"]).to_batches(100_000)
 
     parts = docs.mapInArrow(run, "code long, lang string, word string, n long")
     return parts.groupBy("code", "lang", "word").agg(F.sum("n").alias("n"))
@@ -149,13 +111,14 @@ def task_ngrams(docs: DataFrame, n: int, seed: int, words: np.ndarray, pairs: np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, follow = shared.value
-        for known, ids in word_streams(batches, seed, code):
-            codes = known.codes()
-            ok = np.r_[holds(frequent, codes), False]  # the last one is the end of a piece
+        for lang, rows in by_language(batches, CHUNK):
+            known, ids, _, piece = cut_words(rows.column("text"), PIECE_BYTES)
+            codes = codes_of(lang, known, seed, code)
+            ok = holds(frequent, codes)
             x = np.where(ok[ids], (np.cumsum(ok) - 1)[ids], -1)
-            codes = codes[ok[:-1]]
+            codes = codes[ok]
             m = np.int64(len(codes))
-            at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0))
+            at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0) & (piece[1:] == piece[:-1]))
             keys = x[at] * m + x[at + 1]
             if n == 3:
                 found, number = np.unique(keys, return_inverse=True)
@@ -171,8 +134,7 @@ def task_ngrams(docs: DataFrame, n: int, seed: int, words: np.ndarray, pairs: np
             parts = [keys // m, keys % m]
             if n == 3:
                 parts = [found[parts[0]] // m, found[parts[0]] % m, parts[1]]
-            out = pa.RecordBatch.from_arrays([*(signed(codes[p]) for p in parts), pa.array(times)], [*names, "n"])
-            yield from (out.slice(s, 100_000) for s in range(0, out.num_rows, 100_000))
+            yield from pa.table([*(signed(codes[p]) for p in parts), pa.array(times)], [*names, "n"]).to_batches(100_000)
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
 

@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, slices
+from .common import by_language, cut_words, durable
 
 LEAST_DOCS, TOP_TERMS = 3, 200
 SALTS = 32  # parts that the pairs and the terms of one language or source are dealt to
 FEW = 200_000  # up to so many (language, source) groups their sizes are broadcast, beyond they are joined
-TOKENS = 1 << 22  # occurrences that a task sorts at once
+CHUNK = 12 << 20  # bytes of text that a task sorts at once
 PAIRS = 1 << 21  # pairs of sources that a task handles at once
 
 #: Letters of ASCII lowered, all bytes beyond ASCII kept, everything else a blank.
@@ -35,15 +35,10 @@ PARTIAL = "lang string, term string, source string, docs long, n long"
 
 
 class Numbers(dict):
-    """Numbers in order of arrival; ``keys`` are those that several of them number together."""
-
-    def __init__(self, keys: list | None = None):
-        super().__init__()
-        self.keys_ = [] if keys is None else keys
+    """Numbers in order of arrival."""
 
     def __missing__(self, key):
-        self[key] = n = len(self.keys_)
-        self.keys_.append(key)
+        self[key] = n = len(self)
         return n
 
 
@@ -58,42 +53,21 @@ def starts_of(*columns: np.ndarray) -> np.ndarray:
 def document_runs(docs: DataFrame) -> DataFrame:
     """(lang, term, source, docs, n) of each task's texts; ``docs`` has lang, source and text without nulls."""
 
-    def runs(held: list[tuple[str, str, np.ndarray]], words: list[str]) -> pa.RecordBatch:
-        held.sort(key=lambda d: d[:2])
-        groups = Numbers()
-        of_doc = np.array([groups[d[:2]] for d in held])
-        names = groups.keys_
-        sizes = [len(d[2]) for d in held]
-        key = np.concatenate([d[2] for d in held]) * np.int64(len(held)) + np.repeat(np.arange(len(held)), sizes)
-        key.sort()
-        first = starts_of(key)
-        times = np.diff(np.r_[first, len(key)])
-        term, group = key[first] // len(held), of_doc[key[first] % len(held)]  # one row for each term of a document
-        cut = starts_of(term, group)
-        term, group = term[cut], group[cut]
-        text = pa.array(words).take(pa.array(term))
-        lang, source = (pa.array([g[k] for g in names]).take(pa.array(group)) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([lang, text, source, pa.array(np.diff(np.r_[cut, len(first)])), pa.array(np.add.reduceat(times, cut))], ["lang", "term", "source", "docs", "n"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, by_lang, held, size = [], {}, [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if size:
-                out = runs(held, [t.decode() for t in words])
-                yield from (out.slice(s, 100_000) for s in range(0, out.num_rows, 100_000))
-
-        for batch in slices(batches, "text"):
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                found = text.encode().translate(TERM_BYTES).split()
-                if found:
-                    numbers = by_lang.setdefault(lang, Numbers(words))
-                    held.append((lang, source, np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))))
-                    size += len(found)
-            if size > TOKENS:
-                yield from flush()
-                words, by_lang, held, size = [], {}, [], 0
-        yield from flush()
+        for lang, rows in by_language(batches, CHUNK):
+            rows = rows.sort_by("source")
+            words, ids, doc, _ = cut_words(rows.column("text"), TERM_BYTES)
+            source = rows.column("source").combine_chunks().dictionary_encode()
+            source = pa.concat_arrays(source.chunks) if isinstance(source, pa.ChunkedArray) else source
+            key = ids.astype(np.int64) * rows.num_rows + doc
+            key.sort()
+            first = starts_of(key)  # one run for each term of a document
+            times = np.diff(np.r_[first, len(key)])
+            term, group = key[first] // rows.num_rows, source.indices.to_numpy()[key[first] % rows.num_rows]
+            cut = starts_of(term, group)
+            if len(cut):
+                cells = [pa.array([lang] * len(cut), pa.string()), words.cast(pa.string()).take(pa.array(term[cut])), source.dictionary.take(pa.array(group[cut])), pa.array(np.diff(np.r_[cut, len(first)])), pa.array(np.add.reduceat(times, cut))]
+                yield from pa.table(cells, ["lang", "term", "source", "docs", "n"]).to_batches(100_000)
 
     return docs.mapInArrow(run, PARTIAL)
 
@@ -202,7 +176,7 @@ def pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, sums = Numbers(), {}
 
     def flush() -> pa.RecordBatch:
-        names = codes.keys_
+        names = list(codes)
         pairs = [(names[k >> 31], names[k & 0x7FFFFFFF][1]) for k in sums]
         arrays = [[g[0] for g, _ in pairs], [g[1] for g, _ in pairs], [t for _, t in pairs]]
         return pa.RecordBatch.from_arrays([*(pa.array(a, pa.string()) for a in arrays), pa.array(list(sums.values()), pa.int64())], ["lang", "source", "item", "value"])
