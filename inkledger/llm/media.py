@@ -156,13 +156,19 @@ def _zip(b: bytes, at: int, seen: dict) -> int:
     return seen["zip"][at] - at if seen["zip"].get(at, 0) <= len(b) and at in seen["zip"] else 0
 
 
-def _ogg(b: bytes, at: int) -> int:
+def _ogg(b: bytes, at: int, seen: dict) -> int:
+    """Pages of one stream up to its last one; pages of a walk that came to nothing are not walked again."""
+    failed, walked = seen.setdefault("ogg", set()), []
     p, serial = at, b[at + 14 : at + 18]
-    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b) and b[p + 14 : p + 18] == serial:
+    while b[p : p + 5] == b"OggS\0" and p + 27 <= len(b) and b[p + 14 : p + 18] == serial and p not in failed:
+        walked.append(p)
         n = b[p + 26]
         last, p = b[p + 5] & 4, p + 27 + n + sum(b[p + 27 : p + 27 + n])
+        if last and p <= len(b):
+            return p - at
         if last:
-            return p - at if p <= len(b) else 0
+            break
+    failed.update(walked)
     return 0
 
 
@@ -200,7 +206,7 @@ def media_in(value: bytes) -> list[tuple[int, int, str]]:
     for at, kinds in sorted(hits, key=lambda h: h[0]):
         if at >= free:
             for kind, check in kinds:
-                if n := check(value, at, seen) if check in (_pdf, _zip, _gzip) else check(value, at):
+                if n := check(value, at, seen) if check in (_pdf, _zip, _gzip, _ogg) else check(value, at):
                     out.append((at, n, kind))
                     free = at + n
                     break

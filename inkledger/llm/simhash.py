@@ -299,7 +299,6 @@ def link_nodes(nodes: DataFrame, z: Settings) -> DataFrame:
     """Edges (a, b) between representatives of distinct fingerprints within the radius: enough to connect them all."""
     names = z.names()
     keys = z.keys()
-    nodes = nodes.where(F.col("rep").isNotNull())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -409,23 +408,40 @@ def checked_links(edges: DataFrame, texts: DataFrame, z: Settings) -> DataFrame:
     return rows.select("a", "b", common.alias("c"), (F.size("set_a") + F.size("set_b")).alias("n")).where(F.col("c") >= F.lit(z.least) * (F.col("n") - F.col("c")) - 1e-9).select("a", "b")
 
 
+def node_texts(docs: DataFrame, nodes: DataFrame, z: Settings, key: str, text: str) -> DataFrame:
+    """(key, text): texts of the numbered nodes (least, node, fingerprint), under their numbers.
+
+    A node is found by its smallest key; those that only rows without a key have are found by the fingerprints of such
+    rows, whose texts are written once under marks of their own.
+    """
+    keyed = docs.select(F.col(key).alias("least"), F.col(text).alias("text")).join(nodes.select("least", "node"), "least").select(F.col("node").alias("key"), "text")
+    lost = durable(docs.where(F.col(key).isNull()).select(F.col(text).alias("text")).withColumn("mark", F.monotonically_increasing_id()))
+    marks = fingerprints(lost, z, "mark", "text").join(nodes.where("least IS NULL"), z.same()).groupBy("node").agg(F.min("key").alias("mark"))
+    return keyed.unionByName(lost.join(marks, "mark").select(F.col("node").alias("key"), "text"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """(key, fingerprint words, component_id) for every row; the component is the smallest key reachable over links.
 
-    Null, empty and blank texts have fingerprint zero and link like any other. A row with a null key belongs to the
-    component of its fingerprint and never names one; if no row of a component has a key, component_id is null.
-    Repeated rows repeat in the result. Where sets decide (``Settings.least``), texts of equal sets are one node, and rows
-    of one key are one document, compared by one of their texts.
+    Keys are of any type that has an order. Null, empty and blank texts have fingerprint zero and link like any other. A
+    row with a null key links its neighbours like any other and never names a component; if no row of a component has a
+    key, component_id is null. Repeated rows repeat in the result. Distinct fingerprints are numbered in order of their
+    smallest key, those of rows without keys last, and two that have one smallest key are linked. Where sets decide
+    (``Settings.least``), texts of equal sets are one node, and rows of one key are one document, compared by one of
+    their texts.
     """
     z = settings
     names, same = z.names(), z.same()
     rows = durable(fingerprints(docs, z, key, text))
-    nodes = durable(rows.groupBy(*same).agg(F.min("key").alias("rep")))
-    edges = link_nodes(nodes, z)
+    nodes = rows.groupBy(*same).agg(F.min("key").alias("least"))
+    nodes = durable(durable(nodes).orderBy(F.asc_nulls_last("least")).withColumn("node", F.monotonically_increasing_id()))
+    edges = link_nodes(nodes.select(*same, F.col("node").alias("rep")), z)
     if z.least is not None:
-        edges = checked_links(edges, docs.select(F.col(key).alias("key"), F.col(text).alias("text")), z)
-    found = components(edges)
-    named = nodes.join(found, nodes.rep == found.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
+        edges = checked_links(edges, node_texts(docs, nodes, z, key, text), z)
+    first = nodes.where("least IS NOT NULL").groupBy("least").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    found = components(edges.unionAll(nodes.join(first, "least").select(F.col("node").alias("a"), "b")))
+    heads = nodes.select(F.col("node").alias("component"), F.col("least").alias("component_id"))
+    named = nodes.join(found.join(heads, "component").select("node", "component_id"), "node", "left").select(*same, F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(named, same).select(F.col("key").alias(key), *names, "component_id")
 
 

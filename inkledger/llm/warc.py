@@ -25,7 +25,7 @@ RECORD = "record_id string, record_type string, refers_to string, target_uri str
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:derivatives")
 EPOCH = "1970-01-01T00:00:00Z"
 OPENS = re.compile(r"<!--|<(script|style|template|noscript)(?=[\s/>])", re.I)
-CLOSES = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*>", re.I) for k in ("script", "style", "template", "noscript")}
+CLOSES = {k: re.compile(rf"</{k}(?=[\s/>])", re.I) for k in ("script", "style", "template", "noscript")}
 BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|section|article|nav|header|footer|main|blockquote|pre|title|head|body|html|hr|dd|dt|dl|form|figure|aside)\b[^>]*>", re.I)
 TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
 TITLE, TITLE_END = re.compile(r"<title\b[^>]*>", re.I), re.compile(r"</title", re.I)
@@ -33,6 +33,7 @@ ANCHOR, HREF = re.compile(r"<a\b[^>]*>", re.I), re.compile(r"\bhref\s*=\s*[\"']?
 HTML, LANG = re.compile(r"<html\b[^>]*>", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 LINES = re.compile(r" ?\n[ \n]*")
+CHUNK_SIZE = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;|$)")
 
 
 def digest(value: bytes) -> str:
@@ -57,7 +58,8 @@ def visible(page: str) -> str:
             end = end + 3 if end >= 0 else -1
         else:
             closing = CLOSES[m[1].lower()].search(page, m.end())
-            end = closing.end() if closing else -1
+            end = page.find(">", closing.end()) + 1 if closing else 0
+            end = end or -1
         if end < 0:
             return " ".join(out)
         at = end
@@ -96,13 +98,16 @@ def title_of(page: str) -> str:
 
 
 def unchunked(body: bytes) -> bytes:
-    """The payload of a chunked body; what is no chunk ends it, and a body without any chunk stays as it is."""
+    """The payload of a chunked body; what is no chunk ends it, and a body without any chunk stays as it is.
+
+    The line of a chunk's size may be of any length; its extensions are not read.
+    """
     out, at = [], 0
-    while (end := body.find(b"\r\n", at, at + 256)) >= 0:
-        size = body[at:end].split(b";")[0].strip()
-        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = CHUNK_SIZE.match(body, at, end)
+        if not size:
             break
-        n = int(size, 16)
+        n = int(size[1], 16)
         if not n:
             return b"".join(out)
         out.append(body[end + 2 : end + 2 + n])
@@ -110,19 +115,28 @@ def unchunked(body: bytes) -> bytes:
     return b"".join(out) if out else body
 
 
-def decoded(body: bytes, headers: dict[str, str]) -> bytes:
-    """The payload without its transfer and content encodings; what cannot be opened stays as far as it was."""
+def opened(body: bytes, headers: dict[str, str]) -> tuple[bytes, str]:
+    """The payload without its transfer and content encodings, and the coding that could not be opened, if any.
+
+    A body that begins like a page despite its coding is taken as sent plain.
+    """
     if "chunked" in headers.get("transfer-encoding", "").lower():
         body = unchunked(body)
     for coding in reversed([c.strip().lower() for c in headers.get("content-encoding", "").split(",")]):
+        if coding in ("", "identity"):
+            continue
+        plain = None
         if coding in ("gzip", "x-gzip", "deflate"):
-            opened = inflated(body, 47) if coding != "deflate" or body[:1] == b"\x78" else inflated(body, -15)
-            if opened is None:
-                break
-            body = opened
-        elif coding not in ("", "identity"):
-            break
-    return body
+            plain = inflated(body, 47) if coding != "deflate" or body[:1] == b"\x78" else inflated(body, -15)
+        if plain is None:
+            return body, "" if body.lstrip()[:1] == b"<" else coding
+        body = plain
+    return body, ""
+
+
+def decoded(body: bytes, headers: dict[str, str]) -> bytes:
+    """The payload without its encodings; what cannot be opened stays as far as it was."""
+    return opened(body, headers)[0]
 
 
 def inflated(body: bytes, bits: int) -> bytes | None:
@@ -185,9 +199,9 @@ def derive(records: DataFrame, key: str) -> DataFrame:
 
     Both refer to the response's identifier and keep its address and date. The metadata record lists the source headers,
     source digests, title, language, number of links and the identifier of the conversion record; digests are of the
-    source as it was sent, its text is read after chunked, gzip and deflate codings are undone; the conversion record
-    holds the plain text, with digests of its own and the source payload's digest among its headers. A response that is
-    not HTML gives empty text. Records of other types give nothing; null blocks count as empty, and a missing identifier
+    source as it was sent, its text is read after chunked, gzip and deflate codings are undone, and a body under another
+    coding gives empty text and a field ``source-coding-left``; the conversion record holds the plain text, with digests of
+    its own and the source payload's digest among its headers. A response that is not HTML gives empty text. Records of other types give nothing; null blocks count as empty, and a missing identifier
     is made anew from the block.
     """
     kind = records.schema[key].dataType.simpleString()
@@ -202,18 +216,19 @@ def derive(records: DataFrame, key: str) -> DataFrame:
                 block_digest, payload_digest = r["block_digest"] or digest(block), r["payload_digest"] or digest(body)
                 kind_of = headers.get("content-type", "text/html")
                 charset = re.search(r"charset=\"?([\w-]+)", kind_of, re.I)
-                payload = decoded(body, headers)
+                payload, left = opened(body, headers)
                 try:
                     page = payload.decode(charset[1] if charset else "utf-8", "replace")
                 except LookupError:
                     page = payload.decode("utf-8", "replace")
-                is_html = "html" in kind_of.lower()
+                is_html = "html" in kind_of.lower() and not left
                 text = plain_text(page).encode() if is_html else b""
                 title, lang, links = (title_of(page), language_of(page), outlinks(page)) if is_html else ("", "", 0)
                 own, meta = urn("conversion", source, digest(text)), urn("metadata", source)
                 date, uri = r["record_date"] or EPOCH, r["target_uri"]
                 lines = [("source-record-id", source), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-status", status)]
                 lines += [(f"source-header-{n}", v) for n, v in sorted(headers.items())]
+                lines += [("source-coding-left", left)] if left else []
                 lines += [("title", title), ("language", lang), ("outlinks", str(links)), ("conversion-record-id", own)]
                 fields = "".join(f"{n}: {v}\r\n" for n, v in lines).encode()
                 rows.append((r[key], meta, "metadata", source, uri, date, "application/warc-fields", fields, digest(fields), payload_digest, {"WARC-Concurrent-To": own}))

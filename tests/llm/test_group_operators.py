@@ -84,6 +84,33 @@ def test_linked_documents(spark, sf):
     assert simhash.linked_documents(docs.limit(0)).count() == 0
 
 
+def test_a_row_without_an_id_links_its_neighbours(spark):
+    """A chain whose middle has no key, ids as numbers and as texts, with the fingerprint's links and with those of sets."""
+    rng = np.random.default_rng(1)
+    far = lambda a, b: int(np.bitwise_count(np.uint64(slow_fingerprint(a) ^ slow_fingerprint(b))))
+
+    def edited(text):
+        words = text.split()
+        words[int(rng.integers(len(words)))] = f"e{rng.integers(10**6)}"
+        return " ".join(words)
+
+    while True:
+        chain = [" ".join(f"w{k}" for k in rng.integers(0, 999, 60))]
+        for _ in range(2):
+            step = next((t for t in (edited(chain[-1]) for _ in range(300)) if 2 < far(chain[-1], t) <= 4), None)
+            chain += [step] if step else []
+        if len(chain) == 3 and far(chain[0], chain[2]) > 4:
+            break
+    for ids, kind in (((1, None, 2), "long"), (("b", None, "c"), "string"), ((None, None, None), "long")):
+        docs = spark.createDataFrame([*zip(ids, chain, strict=True), (ids[2], "x y z")], f"doc_id {kind}, text string")
+        got = simhash.near_duplicates(docs).collect()
+        assert len(got) == 4 and sum(r.component_id == ids[0] for r in got) == 4
+    sets = [" ".join(f"w{k}" for k in range(a, a + 200)) for a in (0, 12, 24)]
+    docs = spark.createDataFrame([*zip((5, None, 9), sets, strict=True), (None, "alone"), (7, "other words here")], "doc_id long, text string")
+    got = simhash.near_duplicates(docs, settings=simhash.NEAR_COPIES).collect()
+    assert sorted(str(r.component_id) for r in got) == ["5", "5", "5", "7", "None"]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5, 5), (1, 0)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -231,6 +231,20 @@ def test_sniffing_is_linear_on_false_starts():
     assert [(a, n) for a, n, _ in media.media_in(b"ab" + box.getvalue() + pdf + pdf)] == [(2, len(box.getvalue())), (2 + len(box.getvalue()), len(pdf)), (2 + len(box.getvalue()) + len(pdf), len(pdf))]
 
 
+def test_cut_streams_are_walked_once():
+    import time
+
+    page = b"OggS\0\0" + bytes(8) + b"abcd" + bytes(8) + b"\1\5" + b"12345"
+    last = b"OggS\0\4" + page[6:]
+    cut = page * (2_000_000 // len(page))
+    began = time.time()
+    assert media.media_in(cut) == [] and media.media_in(b"OggS\0\0" + cut) == []
+    assert media.media_in((b"OggS\0" + bytes(22)) * 74_000) == []
+    assert time.time() - began < 3
+    assert media.media_in(b"xy" + page * 3 + last + page) == [(2, 4 * len(page), "audio/ogg")]
+    assert media.media_in(page + last[:-1]) == [] and media.media_in(page.replace(b"abcd", b"efgh") + page + last) == [(len(page), 2 * len(page), "audio/ogg")]
+
+
 def test_media_feature_against_plain_sums(spark):
     texts = ["", "abc", "Zürich " * 90, "x" * 192]
     got = {r.doc_id: r.feature for r in media.text_media(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
@@ -261,6 +275,30 @@ def test_long_pages_are_read_once():
     assert time.time() - began < 14
 
 
+def test_end_tags_without_end_are_looked_up_once():
+    import time
+
+    for kind in ("script", "style", "template", "noscript"):
+        began = time.time()
+        page = f"a<{kind}>" + f"</{kind} " * (2_000_000 // (len(kind) + 3))
+        assert warc.plain_text(page) == "a" and warc.plain_text(f"<{kind}>x</{kind}>b" + page) == "ba"
+        assert time.time() - began < 1
+    assert warc.plain_text("a<script>x</scripts></script y=1>b<style></STYLE\n>c") == "a b c"
+
+
+def test_chunks_with_long_lines_and_codings_that_are_left(spark):
+    long = b"3;" + b"x" * 5000 + b"\r\nabc\r\n 2 ;y\r\nde\r\n0\r\n\r\n"
+    assert warc.unchunked(long) == b"abcde" and warc.unchunked(b"3\r\nabc\r\nzz\r\nmore") == b"abc"
+    page = b"<title>T</title><p>text"
+    head = b"HTTP/1.1 200 OK\r\nContent-Encoding: %s\r\n\r\n"
+    blocks = [head % b"br" + b"\x0b\x02\x80html", head % b"gzip, br" + b"\x1b", head % b"gzip" + b"\x1f\x8bbad", head % b"br" + page, head % b"gzip" + page, head % b"identity" + page]
+    rows = spark.createDataFrame([(i, None, "response", None, "u", None, None, bytearray(b), None, None, None) for i, b in enumerate(blocks)], f"k long, {warc.RECORD}")
+    out = {(r.k, r.record_type): bytes(r.block).decode() for r in warc.derive(rows, "k").collect()}
+    for i, left in enumerate(("br", "br", "gzip", None, None, None)):
+        assert out[i, "conversion"] == ("" if left else "T\ntext")
+        assert ("source-coding-left: " + (left or "") in out[i, "metadata"]) == bool(left)
+
+
 def test_http_codings(spark):
     import gzip
 
