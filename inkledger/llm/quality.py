@@ -3,8 +3,8 @@
 A blank-separated token has a vector for itself and for each of its character n-grams, all in hashed rows of one table;
 the vector of a document is the mean over all its tokens' features. Vectors and output weights are learned from a bounded
 sample of labelled rows (``Settings.sample_rows``) by stochastic gradient descent in numpy: in each round every task runs
-over its part of the sample from common weights, and the tasks' weights are averaged. Scoring needs the sum of a token's
-vectors once for each distinct token.
+over its part of the sample from common weights, and the tasks' weights are averaged. To score, the output weights are
+applied to the table first: the mean of these products is the product of the mean.
 """
 
 from __future__ import annotations
@@ -14,69 +14,69 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import durable, fold, slices
+from .common import cut_words, durable, fold, slices
 
 
 @dataclass(frozen=True)
 class Settings:
     """Sizes fixed before any data is seen."""
 
-    sample_rows: int = 12_000  # labelled rows that are learned from
+    sample_rows: int = 4_000  # labelled rows that are learned from
     rows: int = 1 << 16  # hashed vectors
-    dims: int = 16
-    shortest: int = 1  # characters of an n-gram; a token is marked by < and >
+    dims: int = 8
+    shortest: int = 2  # characters of an n-gram; a mark stands before and behind a token
     longest: int = 4
-    rounds: int = 6
+    rounds: int = 5
     tasks: int = 4
     batch: int = 16  # documents of an update
+    batch_bytes: int = 4 << 20  # or fewer, if they are long
     rate: float = 0.2
-    piece: int = 1 << 20  # characters that an update reads of one text at once
     seed: int = 5
-    keep: int = 200_000  # distinct tokens that a worker remembers
 
 
-def features(token: str, z: Settings) -> list[int]:
-    """Rows of a token: its own, and those of the n-grams of ``<token>``; only the first 64 characters have n-grams."""
-    marked = f"<{token[:64]}>"
-    grams = {marked[i : i + n] for n in range(z.shortest, z.longest + 1) for i in range(len(marked) - n + 1)}
-    return [xxhash.xxh32_intdigest(token.encode(), 1) % z.rows, *(xxhash.xxh32_intdigest(g.encode()) % z.rows for g in sorted(grams - {"<", ">"}))]
+#: ASCII blanks part tokens.
+BLANKS = bytes(32 if b in b" \t\n\x0b\x0c\r" else b for b in range(256))
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Tokens(dict):
-    """Token to a number; ``flat`` and ``cuts`` list the features of all numbers."""
+def hashed(sums: np.ndarray, kind: int, rows: int) -> np.ndarray:
+    """Table rows of polynomial sums; ``kind`` tells n-grams of different lengths apart."""
+    h = (sums + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.int64) % rows
 
-    def __init__(self, z: Settings):
-        super().__init__()
-        self.z, self.flat, self.cuts = z, [], [0]
 
-    def __missing__(self, token: str) -> int:
-        self[token] = n = len(self.cuts) - 1
-        self.flat += features(token, self.z)
-        self.cuts.append(len(self.flat))
-        return n
+def features(words: list[str], z: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows, how many belong to each word): the row of each word and those of its n-grams, all words at once."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    chars = np.frombuffer("".join(f"\x01{w}\x02" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = np.cumsum(size) - size
+    place = np.arange(len(chars)) - np.repeat(start, size)
+    power = np.ones(max(int(size.max(initial=1)), z.longest) + 1, np.uint64)
+    np.multiply.accumulate(np.full(len(power) - 1, STEP), out=power[1:])
+    whole = np.add.reduceat(chars * power[place], start) if len(words) else np.zeros(0, np.uint64)
+    found, owner = [hashed(whole, 0, z.rows)], [np.arange(len(words))]
+    word = np.repeat(np.arange(len(words)), size)
+    for n in range(z.shortest, z.longest + 1):
+        at = np.flatnonzero(place + n <= np.repeat(size, size))
+        sums = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            sums += chars[at + k] * power[k]
+        found.append(hashed(sums, n, z.rows))
+        owner.append(word[at])
+    order = np.argsort(np.concatenate(owner), kind="stable")
+    return np.concatenate(found)[order], np.bincount(np.concatenate(owner), minlength=len(words))
 
-    def trim(self) -> None:
-        if len(self.cuts) > self.z.keep:
-            self.clear()
-            self.flat.clear()
-            self.cuts[:] = [0]
 
-
-def pieces(text: str | None, size: int) -> Iterator[list[str]]:
-    """The tokens of a whole text, about ``size`` characters at once; a token is never cut."""
-    start = 0
-    while text and start < len(text):
-        end = start + size
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        yield text[start:end].split()
-        start = end
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct tokens of some texts, the number of each token in turn, and its text."""
+    words, ids, row, _ = cut_words(pa.chunked_array([pc.fill_null(texts, "")]), BLANKS)
+    return words.cast(pa.string()).to_pylist(), ids.astype(np.int64), row
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -94,6 +94,10 @@ class Weights:
         rng = np.random.default_rng(z.seed)
         return Weights(rng.uniform(-1 / z.dims, 1 / z.dims, (z.rows, z.dims)).astype(np.float32), np.zeros((z.dims + 1, classes), np.float32))
 
+    def products(self) -> np.ndarray:
+        """The table's rows times the output weights, without the bias."""
+        return self.vectors.astype(np.float64) @ self.output[:-1].astype(np.float64)
+
 
 class Trainer:
     """Updates of one task in one round; steps of each row shrink with the gradients that it has had."""
@@ -102,24 +106,15 @@ class Trainer:
         self.z, self.rate = z, rate
         self.vectors, self.output = w.vectors.copy(), w.output.copy()
         self.seen, self.out_seen = np.full(z.rows, 1e-8, np.float32), np.full(w.output.shape, 1e-8, np.float32)
-        self.tokens = Tokens(z)
 
     def gradients(self, texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """(features met, their summed gradients, gradient of the output, loss) of a batch."""
-        doc, number, times = [], [], []
-        for i, t in enumerate(texts):
-            for found in pieces(t, self.z.piece):
-                ids, n = np.unique(np.fromiter(map(self.tokens.__getitem__, found), np.int64, len(found)), return_counts=True)
-                doc.append(np.full(len(ids), i))
-                number.append(ids)
-                times.append(n)
-        flat, cuts = np.array(self.tokens.flat, np.int64), np.array(self.tokens.cuts, np.int64)
-        doc, number, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, number, times))
-        kinds, at = np.unique(number, return_inverse=True)
-        size = cuts[kinds + 1] - cuts[kinds]
-        own = flat[np.repeat(cuts[kinds], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-        token = np.add.reduceat(self.vectors[own], np.cumsum(size) - size) if len(own) else np.zeros((0, self.z.dims), np.float32)
-        total = np.maximum(np.bincount(doc, times * size[at], len(texts)), 1)
+        words, ids, doc = tokens_of(pa.array(texts, pa.string()))
+        own, size = features(words, self.z)
+        token = np.add.reduceat(self.vectors[own], np.cumsum(size) - size) if len(own) else np.zeros((0, self.z.dims), self.vectors.dtype)
+        total = np.maximum(np.bincount(doc, size[ids], len(texts)), 1)
+        key, times = np.unique(doc * max(1, len(words)) + ids, return_counts=True)
+        doc, at = key // max(1, len(words)), key % max(1, len(words))
         weight = times / total[doc]
         mean = np.zeros((len(texts), self.z.dims))
         np.add.at(mean, doc, token[at] * weight[:, None])
@@ -128,12 +123,12 @@ class Trainer:
         error = p.copy()
         error[np.arange(len(texts)), labels] -= 1
         back = error @ self.output[:-1].T  # of each document's mean
-        of_token = np.zeros((len(kinds), self.z.dims))
+        of_token = np.zeros((len(words), self.z.dims), self.vectors.dtype)
         np.add.at(of_token, at, back[doc] * weight[:, None])
-        rows, place = np.unique(own, return_inverse=True)
-        grad = np.zeros((len(rows), self.z.dims))
-        np.add.at(grad, place, np.repeat(of_token, size, axis=0))
-        return rows, grad, hidden.T @ error, float(-np.log(p[np.arange(len(texts)), labels] + 1e-30).sum())
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]]) if len(own) else order
+        grad = np.add.reduceat(np.repeat(of_token, size, axis=0)[order], first) if len(own) else np.zeros((0, self.z.dims))
+        return own[order][first], grad, hidden.T @ error, float(-np.log(p[np.arange(len(texts)), labels] + 1e-30).sum())
 
     def update(self, texts: list[str | None], labels: np.ndarray) -> float:
         rows, grad, out, loss = self.gradients(texts, labels)
@@ -141,7 +136,6 @@ class Trainer:
         self.vectors[rows] -= (self.rate * grad / np.sqrt(self.seen[rows])[:, None]).astype(np.float32)
         self.out_seen += out**2
         self.output -= (self.rate * out / np.sqrt(self.out_seen)).astype(np.float32)
-        self.tokens.trim()
         return loss
 
 
@@ -157,7 +151,7 @@ def _round(sample: DataFrame, w: Weights, z: Settings, rate: float) -> Weights:
                 texts.append(text)
                 labels.append(label)
                 size += len(text or "")
-                if len(texts) == z.batch or size > 4 * z.piece:
+                if len(texts) == z.batch or size > z.batch_bytes:
                     own.update(texts, np.array(labels))
                     n, texts, labels, size = n + len(texts), [], [], 0
         if texts:
@@ -196,48 +190,28 @@ class Model:
         keep = [f for f in docs.schema.fields if f.name != "score"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = Reader(shared.value, z)
-            for batch in slices(batches, text):
-                scores = [reader.probabilities(t)[at] for t in batch.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(scores, pa.float64())], [*(f.name for f in keep), "score"])
-                reader.trim()
+            table = shared.value.products()
+            for batch in slices(batches, text, z.batch_bytes):
+                score = probabilities(batch.column(text), table, shared.value, z)[:, at]
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(score, pa.float64())], [*(f.name for f in keep), "score"])
 
         return docs.mapInArrow(run, StructType([*keep, StructField("score", DoubleType())]))
 
 
-class Reader:
-    """Probabilities of texts; the sum of a token's vectors is kept with the number of its features."""
-
-    def __init__(self, w: Weights, z: Settings):
-        self.w, self.z, self.tokens, self.filled = w, z, Tokens(z), 0
-        self.sums = np.zeros((1 << 14, z.dims + 1), np.float32)
-
-    def trim(self) -> None:
-        self.tokens.trim()
-        if len(self.tokens.cuts) == 1:
-            self.filled = 0
-
-    def table(self) -> np.ndarray:
-        n = len(self.tokens.cuts) - 1
-        if self.filled < n:
-            if n > len(self.sums):
-                self.sums = np.concatenate([self.sums, np.zeros((2 * n - len(self.sums), self.z.dims + 1), np.float32)])
-            cuts = np.array(self.tokens.cuts[self.filled :])
-            own = np.array(self.tokens.flat[cuts[0] :])
-            self.sums[self.filled : n, :-1] = np.add.reduceat(self.w.vectors[own], cuts[:-1] - cuts[0])
-            self.sums[self.filled : n, -1] = np.diff(cuts)
-            self.filled = n
-        return self.sums
-
-    def mean(self, text: str | None) -> np.ndarray:
-        total = np.zeros(self.z.dims + 1)
-        for found in pieces(text, self.z.piece):
-            ids = np.fromiter(map(self.tokens.__getitem__, found), np.int64, len(found))
-            total += self.table()[ids].sum(0, dtype=np.float64)
-        return total[:-1] / max(total[-1], 1.0)
-
-    def probabilities(self, text: str | None) -> np.ndarray:
-        return softmax(np.append(self.mean(text), 1.0) @ self.w.output.astype(np.float64))
+def probabilities(texts: pa.Array, table: np.ndarray, w: Weights, z: Settings) -> np.ndarray:
+    """Texts by classes; ``table`` has the products of ``w``. Sums run within a text, whatever stands beside it."""
+    words, ids, row = tokens_of(texts)
+    sums = np.zeros((len(words), table.shape[1] + 1))
+    for s in range(0, len(words), 1 << 16):
+        own, size = features(words[s : s + (1 << 16)], z)
+        sums[s : s + len(size), :-1] = np.add.reduceat(table[own], np.cumsum(size) - size)
+        sums[s : s + len(size), -1] = size
+    total = np.zeros((len(texts), sums.shape[1]))
+    if len(ids):
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        for k in range(sums.shape[1]):
+            total[row[first], k] = np.add.reduceat(sums[ids, k], first)
+    return softmax(total[:, :-1] / np.maximum(total[:, -1:], 1.0) + w.output[-1].astype(np.float64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", settings: Settings = Settings()) -> Model:

@@ -233,10 +233,20 @@ def learned(spark):
     return quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), settings=SMALL)
 
 
+def plain_features(token, z):
+    """Polynomial sums of the whole marked token and of its n-grams, mixed into rows of the table."""
+    chars, wrap, rows = [1, *map(ord, token), 2], 2**64, []
+    for kind, parts in ((0, [chars]), *((n, [chars[i : i + n] for i in range(len(chars) - n + 1)]) for n in range(z.shortest, z.longest + 1))):
+        for part in parts:
+            h = (sum(c * pow(0x9E3779B97F4A7C15, k, wrap) for k, c in enumerate(part)) + kind) * 0xBF58476D1CE4E5B9 % wrap
+            rows.append(((h ^ (h >> 29)) * 0x94D049BB133111EB % wrap >> 32) % z.rows)
+    return rows
+
+
 def plain_score(text, w, z):
     total, n = [0.0] * z.dims, 0
-    for token in (text or "").split():
-        for row in quality.features(token, z):
+    for token in re.findall("[^ \t-\r]+", text or ""):
+        for row in plain_features(token, z):
             total = [a + float(b) for a, b in zip(total, w.vectors[row], strict=True)]
             n += 1
     hidden = [x / max(n, 1) for x in total] + [1.0]
@@ -260,12 +270,13 @@ def test_quality_scores_against_plain_sums(spark, learned):
     assert abs(learned.score(docs, label=0).where("doc_id = 1").first().score + learned.score(docs).where("doc_id = 1").first().score - 1) < 1e-9
 
 
-def test_quality_reads_long_texts_in_pieces():
-    z = quality.Settings(piece=10)
-    text = "one two  three\nfour " * 9 + "a" * 50 + " end"
-    assert [t for p in quality.pieces(text, 10) for t in p] == text.split() and [*quality.pieces(None, 10)] == [*quality.pieces("", 10)] == []
-    w = quality.Weights.fresh(2, z)
-    assert np.allclose(quality.Reader(w, z).mean(text), quality.Reader(w, quality.Settings()).mean(text))
+def test_quality_features():
+    z = quality.Settings(rows=997)
+    words = ["a", "über", "日本語😀", "\x01\x02", "x" * 500, "don't"]
+    rows, size = quality.features(words, z)
+    cuts = np.r_[0, np.cumsum(size)]
+    assert [sorted(rows[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False)] == [sorted(plain_features(w, z)) for w in words]
+    assert [len(x) for x in quality.features([], z)] == [0, 0]
 
 
 def test_quality_gradients_against_differences():
