@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 from .common import by_language, cut_words, durable
 
 LEAST, TOP, COVERED = 10, 2000, 50  # occurrences of a candidate, phrases of a language, per cent of them inside a longer one
+SALTS = 8  # parts of a language that are ranked for themselves
 BITS = 27  # bitmaps of 16 MB, whatever the input
 CHUNK = 12 << 20  # bytes of text that a task sorts at once
 
@@ -213,9 +214,15 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
 
 
 def top_phrases(docs: DataFrame, top: int = TOP, **options) -> DataFrame:
-    """The corpus query: the first ``top`` phrases of each language by score, count and phrase."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    rows = phrases(docs, **options).withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    """The corpus query: the first ``top`` phrases of each language by score, count and phrase.
+
+    Parts of a language are ranked first, so what meets in one task is ``SALTS`` times ``top`` phrases at most.
+    """
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    rows = phrases(docs, **options).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    rows = rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
     return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
