@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import sources as S
 from .. import streaming
 from ..functions import lexicons as L
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import flags, images, pages, report, scoring, similarity, style
+from ..operators import contours, flags, images, pages, report, scans, scoring, similarity, style
 from .oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,12 +270,17 @@ def base_flags(spark, d):
 @query
 def copy_flags(spark, d):
     """Flags of all pairs; those that a submission gets from equal texts are one row, with their number."""
-    return flags.copy_flags(subs(spark, d), hands(spark, d), scored(spark, d)).select("id", "peer", "rule", "text_sim", "hw_sim", "more", "flag")
+    return told(spark, d, scored(spark, d)).select("id", "peer", "rule", "text_sim", "hw_sim", "more", "flag")
+
+
+def told(spark, d, s):
+    """The flags of pairs, written once."""
+    return S.durable(flags.copy_flags(subs(spark, d), hands(spark, d), s))
 
 
 def all_flags(spark, d):
     s = scored(spark, d)
-    return flags.final_flags(flags.base_flags(s), flags.copy_flags(subs(spark, d), hands(spark, d), s))
+    return flags.final_flags(flags.base_flags(s), told(spark, d, s))
 
 
 @query
@@ -440,7 +446,7 @@ def assignment_view(spark, d):
 def full_report(spark, d):
     """Submissions with the student and the date of the order of the same number."""
     s = scored(spark, d)
-    flagged = flags.final_flags(flags.base_flags(s), flags.copy_flags(subs(spark, d), hands(spark, d), s))
+    flagged = flags.final_flags(flags.base_flags(s), told(spark, d, s))
     a = S.assignments(spark, d).select("id", "student_id", "submitted_at")
     u = report.public_users(users(spark, d)).select(F.col("id").alias("student_id"), F.col("name").alias("student_name"), "roll_number", "email", F.col("grade").alias("grade"))
     told = scoring.feedback(s).withColumnRenamed("grade", "grade_label").drop("ingest_status").join(flagged, "id").join(subs(spark, d).select("id", "subject"), "id").join(a, "id", "left").join(u, "student_id", "left")
@@ -520,7 +526,7 @@ def pixels(spark, d):
 
 
 def as_text(df, column):
-    return df.select("page", "y", F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column))
+    return df.select("page", F.col("y").cast("int").alias("y"), F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column))
 
 
 @query
@@ -542,7 +548,69 @@ def page_binary(spark, d):
 
 @query
 def page_metrics(spark, d):
-    return images.page_metrics(images.ink_rows(images.binarized(pixels(spark, d))))
+    return scans.page_metrics(images.binarized(pixels(spark, d)))
+
+
+def scanned(spark, d):
+    """Eight texts of the benchmark under each other on a page."""
+    rows = pixels(spark, d).withColumnRenamed("page", "item")
+    tall = rows.groupBy("item").agg(F.count("*").alias("n")).withColumn("page", F.floor(F.col("item") / 8))
+    above = Window.partitionBy("page").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    tall = tall.select("item", "page", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    return rows.join(tall, "item").select("page", (F.col("y") + F.col("above")).alias("y"), "grey")
+
+
+@query
+def page_contours(spark, d):
+    found = contours.contours(contours.ink(images.binarized(scanned(spark, d))))
+    return found.select("page", "x", "y", "w", "h", "area", X.half_up(F.col("perimeter"), 3).alias("perimeter"), "hole", "inner")
+
+
+@query
+def page_edges(spark, d):
+    return as_text(scans.edges(scanned(spark, d)), "edge")
+
+
+@query
+def page_lines(spark, d):
+    return scans.lines(scans.edge_runs(scanned(spark, d)), 8, 20)
+
+
+def tilts(rows):
+    """Pages are turned by 4 to 12 degrees to either side, every seventh stays."""
+    return rows.select("page").distinct().select("page", ((F.col("page") % 7 - 3) * 4.0).alias("angle")).where("angle <> 0")
+
+
+@query
+def page_turned(spark, d):
+    rows = scanned(spark, d)
+    return as_text(scans.turned(rows, tilts(rows)), "grey")
+
+
+@query
+def page_denoised(spark, d):
+    """Without SQL, where the direct sums take too long: tested against them on small pages."""
+    return as_text(scans.denoised(scanned(spark, d)), "grey")
+
+
+@query
+def page_contrast(spark, d):
+    """The tables of local contrast; levels as they come out of each tile."""
+    rows = scans.contrast_tables(scans.tile_levels(scanned(spark, d)))
+    levels = F.transform(F.array_sort(F.collect_list(F.struct("level", "out"))), lambda s: s["out"].cast("string"))
+    return rows.groupBy("page", "tile").agg(F.array_join(levels, ",").alias("levels"))
+
+
+@query
+def scan_hands(spark, d):
+    """From scanned rows to the values of each page's hand. Without SQL: tested against plain loops."""
+    rows = scans.hand_pages(scans.preprocessed(scanned(spark, d)))
+    plain = ("page", "stroke_count", "line_count", "area_mean", "mean_height", "height_cv", "loop_density", "baseline_deviation", "slant", "pressure")
+    return rows.select(*plain, F.array_join(F.transform("fingerprint", lambda x: F.floor(x * 10000 + 0.5).cast("string")), ",").alias("fingerprint"))
+
+
+#: Queries that only pytest checks, against plain loops.
+WITHOUT_SQL = {"page_denoised", "scan_hands"}
 
 
 def strokes(spark, d):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..functions import lexicons as L
+from ..operators import scans
+from ..operators.contours import SIDES
 from ..operators.images import IDENTITY, MANNER, REACH, WEIGHTS
 from ..operators.scoring import FEEDBACK_SCORE
 
@@ -290,11 +292,56 @@ HAND = f"""{STROKES}, {SFEAT}, {SHAPE}, {ANGLE}, {LINEF}, tn AS (SELECT page, {r
 hp AS (SELECT *, [{', '.join(f'{c} * 1.5::DOUBLE' for c in IDENTITY)}, {', '.join(f'{c}::DOUBLE' for c in MANNER)}, least(area_mean / 500.0::DOUBLE, 1.0::DOUBLE), least(area_std / 500.0::DOUBLE, 1.0::DOUBLE), least(stroke_count / 200.0::DOUBLE, 1.0::DOUBLE)] AS v FROM (SELECT *, {SLANT} AS slant FROM sf JOIN lf USING (page) JOIN sh USING (page) JOIN tn USING (page) JOIN an USING (page))),
 fp AS (SELECT page, unnest(range(18)) AS pos, unnest(v) / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS x FROM hp)"""
 EVEN = "greatest(0.4::DOUBLE, 1.0::DOUBLE - least({0}, 1.0::DOUBLE) * 0.6::DOUBLE)"
+#: Eight texts on a page, under the names of PIX: then BINARY and the others read them.
+SCAN = f"""{PIX.replace("px AS (", "px0 AS (").replace("tall AS (", "tall0 AS (").replace("FROM px", "FROM px0")}, off AS (SELECT item, item // 8 AS page, coalesce(sum(n) OVER (PARTITION BY item // 8 ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS above FROM (SELECT page AS item, max(y) + 1 AS n FROM px0 GROUP BY page)),
+px AS (SELECT off.page, px0.y + above AS y, x, g FROM px0 JOIN off ON item = px0.page), tall AS (SELECT page, max(y) AS last FROM px GROUP BY page)"""
+
+
+def labels(name: str, ink: str) -> str:
+    """cells (with an empty frame) and lab: their labels, over eight neighbours for ink and four for ground; recursive."""
+    return f"""{name}c AS (SELECT page, y, x, coalesce({ink}, false) AS ink, (y + 1) * 50 + x + 1 AS id FROM (SELECT page, unnest(range(-1, last + 2)) AS y FROM tall) JOIN (SELECT unnest(range(-1, 49)) AS x) ON true LEFT JOIN bin USING (page, y, x) LEFT JOIN pol USING (page)),
+{name}l AS (SELECT p.page, p.id AS a, q.id AS b FROM {name}c p JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON dx <> 0 OR dy <> 0 JOIN {name}c q ON q.page = p.page AND q.x = p.x + dx AND q.y = p.y + dy AND q.ink = p.ink WHERE p.ink OR dx = 0 OR dy = 0),
+{name} (page, id, label) USING KEY (page, id) AS (SELECT page, id, id FROM {name}c UNION SELECT l.page, l.b, min(n.label) FROM {name} n JOIN {name}l l ON l.page = n.page AND l.a = n.id JOIN recurring.{name} o ON o.page = l.page AND o.id = l.b WHERE n.label < o.label GROUP BY l.page, l.b)"""
+
+
+POL = "pol AS (SELECT page, avg(b) > 127 AS white FROM bin GROUP BY page)"
+CORNERS = [(0, 0), (1, 0), (0, 1), (1, 1)]
+CONTOURS = f"""lbl AS (SELECT c.*, label FROM labc c JOIN lab USING (page, id)),
+quad AS (SELECT a.page, a.x, a.y, a.ink::INTEGER + 2 * b.ink::INTEGER + 4 * c.ink::INTEGER + 8 * d.ink::INTEGER AS pattern, [a.label, b.label, c.label, d.label] AS ls FROM lbl a JOIN lbl b ON b.page = a.page AND b.id = a.id + 1 JOIN lbl c ON c.page = a.page AND c.id = a.id + 50 JOIN lbl d ON d.page = a.page AND d.id = a.id + 51 WHERE a.x < 48),
+side (pattern, px, py, qx, qy, i, g) AS (VALUES {', '.join(f'({k}, {p[0]}, {p[1]}, {q[0]}, {q[1]}, {CORNERS.index(i) + 1}, {CORNERS.index(g) + 1})' for k, v in SIDES.items() for p, q, i, g in v)}),
+sums AS (SELECT page, ls[i] AS ink, ls[g] AS ground, count(*) FILTER (WHERE (px = qx) <> (py = qy)) AS straight, count(*) FILTER (WHERE px <> qx AND py <> qy) AS slanting, abs(sum((x + px) * (y + qy) - (x + qx) * (y + py))) / 2.0::DOUBLE AS area FROM quad JOIN side USING (pattern) GROUP BY ALL),
+box AS (SELECT page, label, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM lbl GROUP BY page, label),
+around AS (SELECT s.page, s.label AS ink, g.label AS ground FROM lbl s JOIN lbl g ON g.page = s.page AND g.id = s.id - 1 WHERE s.ink AND s.id = s.label),
+found AS (SELECT s.*, s.ground <> a.ground AS inner_ FROM sums s JOIN around a ON a.page = s.page AND a.ink = s.ink)"""
+EDGES = """pad AS (SELECT p.page, p.y, p.x, dx, dy, q.g FROM px p JOIN tall USING (page) JOIN (SELECT unnest([-1, 0, 1]) AS dx) ON true JOIN (SELECT unnest([-1, 0, 1]) AS dy) ON true JOIN px q ON q.page = p.page AND q.x = least(greatest(p.x + dx, 0), 47) AND q.y = least(greatest(p.y + dy, 0), last)),
+grad AS (SELECT page, y, x, sum(g * dx * (2 - abs(dy)))::BIGINT AS gx, sum(g * dy * (2 - abs(dx)))::BIGINT AS gy FROM pad GROUP BY ALL), mag AS (SELECT *, abs(gx) + abs(gy) AS m FROM grad),
+way AS (SELECT *, CASE WHEN abs(gy) * 32768 < abs(gx) * 13573 THEN [1, 0] WHEN abs(gy) * 32768 > abs(gx) * (13573 + 65536) THEN [0, 1] WHEN (gx < 0) <> (gy < 0) THEN [-1, 1] ELSE [1, 1] END AS w FROM mag),
+ridge AS (SELECT a.page, a.y, a.x, a.m > 150 AS strong FROM way a LEFT JOIN mag b ON b.page = a.page AND b.x = a.x - w[1] AND b.y = a.y - w[2] LEFT JOIN mag c ON c.page = a.page AND c.x = a.x + w[1] AND c.y = a.y + w[2]
+  WHERE a.m > 50 AND a.m > coalesce(b.m, 0) AND CASE WHEN w[1] <> 0 AND w[2] <> 0 THEN a.m > coalesce(c.m, 0) ELSE a.m >= coalesce(c.m, 0) END),
+edge (page, y, x) AS (SELECT page, y, x FROM ridge WHERE strong UNION SELECT r.page, r.y, r.x FROM edge e JOIN ridge r ON r.page = e.page AND abs(r.x - e.x) <= 1 AND abs(r.y - e.y) <= 1)"""
+NORMALS = f"nrm AS (SELECT unnest(range(180)) AS theta, unnest({[float(x) for x in scans.COS]}::REAL[]) AS c, unnest({[float(x) for x in scans.SIN]}::REAL[]) AS s)"
+LINES = f"""{NORMALS}, vote AS (SELECT page, theta, round_even(x::REAL * c + y::REAL * s, 0)::BIGINT AS rho, count(*) AS votes FROM edge, nrm GROUP BY ALL),
+peak AS (SELECT v.* FROM vote v {' '.join(f'LEFT JOIN vote {n} ON {n}.page = v.page AND {n}.theta = v.theta + {t} AND {n}.rho = v.rho + {r}' for n, t, r in (('a', 0, -1), ('b', 0, 1), ('c', -1, 0), ('d', 1, 0)))} WHERE v.votes > 8 AND v.votes > coalesce(a.votes, 0) AND v.votes >= coalesce(b.votes, 0) AND v.votes > coalesce(c.votes, 0) AND v.votes >= coalesce(d.votes, 0))"""
+TURNED = """tilt AS (SELECT page, last + 1 AS h, (last + 1) // 2 AS cy, 24 AS cx, cos(radians((page % 7 - 3) * 4.0::DOUBLE)) AS c, sin(radians((page % 7 - 3) * 4.0::DOUBLE)) AS s FROM tall WHERE page % 7 <> 3),
+src AS (SELECT page, y, x, h, (round_even(c * x * 1024, 0)::BIGINT + round_even((-s * y + (cx - c * cx + s * cy)) * 1024, 0)::BIGINT + 16) >> 5 AS u, (round_even(s * x * 1024, 0)::BIGINT + round_even((c * y + (cy - s * cx - c * cy)) * 1024, 0)::BIGINT + 16) >> 5 AS v FROM px JOIN tilt USING (page)),
+turn AS (SELECT s.page, s.y, s.x, (sum(q.g * CASE dx WHEN 0 THEN 32 - (u & 31) ELSE u & 31 END * CASE dy WHEN 0 THEN 32 - (v & 31) ELSE v & 31 END)::BIGINT + 512) >> 10 AS g FROM src s JOIN (SELECT unnest([0, 1]) AS dx) ON true JOIN (SELECT unnest([0, 1]) AS dy) ON true JOIN px q ON q.page = s.page AND q.x = least(greatest((u >> 5) + dx, 0), 47) AND q.y = least(greatest((v >> 5) + dy, 0), h - 1) GROUP BY ALL)"""
+CONTRAST = """fill AS (SELECT page, th, 6 AS tw, unnest(range(th * 8)) AS y, last FROM (SELECT page, last, (last + 8) // 8 AS th FROM tall)),
+lev AS (SELECT f.page, f.y // th * 8 + x // tw AS tile, g AS level, count(*) AS n, any_value(th * tw) AS area FROM fill f JOIN px ON px.page = f.page AND px.y = least(f.y % (2 * last), 2 * last - f.y % (2 * last)) GROUP BY ALL),
+every AS (SELECT page, tile, area, level, coalesce(n, 0) AS n, greatest(floor(3.0::DOUBLE * area / 256), 1)::BIGINT AS most FROM (SELECT DISTINCT page, tile, area FROM lev) JOIN (SELECT unnest(range(256)) AS level) ON true LEFT JOIN lev USING (page, tile, area, level)),
+cut AS (SELECT *, (sum(greatest(n - most, 0)) OVER (PARTITION BY page, tile))::BIGINT AS over_ FROM every),
+even AS (SELECT *, greatest(256 // greatest(over_ % 256, 1), 1) AS step FROM cut),
+new AS (SELECT page, tile, area, level, least(n, most) + over_ // 256 + CASE WHEN level % step = 0 AND level // step < over_ % 256 THEN 1 ELSE 0 END AS n FROM even),
+tab AS (SELECT page, tile, level, least(round_even(sum(n) OVER (PARTITION BY page, tile ORDER BY level) * 255.0::DOUBLE / area, 0), 255)::BIGINT AS out FROM new)"""
 SQL |= {
     "page_grey": f"WITH {PIX} {lists('(g * 4899 + g * 3 % 256 * 9617 + g * 7 % 256 * 1868 + 8192) // 16384', 'grey', 'px')}",
     "page_noise": f"WITH {PIX}, {NOISE} {lists('g', 'grey', 'wide')}",
     "page_binary": f"WITH {PIX}, {BINARY} {lists('b', 'binary', 'bin')}",
-    "page_metrics": f"WITH {PIX}, {BINARY}, pol AS (SELECT page, avg(b) > 127 AS white FROM bin GROUP BY page), inked AS (SELECT bin.*, CASE WHEN white THEN b = 0 ELSE b = 255 END AS ink FROM bin JOIN pol USING (page)), rw AS (SELECT page, y, count(*) FILTER (WHERE b = 0) AS black FROM bin GROUP BY ALL) SELECT page, 48 AS width, count(DISTINCT y) AS height, {r('count(*) FILTER (WHERE b = 0)::DOUBLE / count(*)', 4)} AS ink_ratio, (SELECT count(*) FROM rw WHERE rw.page = inked.page AND black * 255 > 48 * 0.02::DOUBLE) AS text_lines, CASE WHEN count(*) FILTER (WHERE ink) > 0 THEN {r('greatest(least(1.0::DOUBLE - sum(g) FILTER (WHERE ink)::DOUBLE / count(*) FILTER (WHERE ink) / 255.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE)', 3)} ELSE 0.5 END AS pressure FROM inked GROUP BY page",
+    "page_metrics": f"WITH RECURSIVE {PIX}, {BINARY}, {POL}, {labels('lab', 'b = 0')}, outer_ AS (SELECT s.page, count(*) AS char_count FROM labc s JOIN lab l ON l.page = s.page AND l.id = s.id JOIN lab g ON g.page = s.page AND g.id = s.id - 1 WHERE s.ink AND l.label = s.id AND g.label = 0 GROUP BY s.page), inked AS (SELECT bin.*, CASE WHEN white THEN b = 0 ELSE b = 255 END AS ink FROM bin JOIN pol USING (page)), rw AS (SELECT page, y, count(*) FILTER (WHERE b = 0) AS black FROM bin GROUP BY ALL) SELECT page, 48 AS width, count(DISTINCT y) AS height, {r('count(*) FILTER (WHERE b = 0)::DOUBLE / count(*)', 4)} AS ink_ratio, (SELECT count(*) FROM rw WHERE rw.page = inked.page AND black * 255 > 48 * 0.02::DOUBLE) AS text_lines, CASE WHEN count(*) FILTER (WHERE ink) > 0 THEN {r('greatest(least(1.0::DOUBLE - sum(g) FILTER (WHERE ink)::DOUBLE / count(*) FILTER (WHERE ink) / 255.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE)', 3)} ELSE 0.5 END AS pressure, coalesce(max(char_count), 0) AS char_count FROM inked LEFT JOIN outer_ USING (page) GROUP BY page",
+    "page_contours": f"WITH RECURSIVE {SCAN}, {BINARY}, {POL}, {labels('lab', 'CASE WHEN white THEN b = 0 ELSE b = 255 END')}, {CONTOURS} SELECT found.page, CASE WHEN inner_ THEN x0 - 1 ELSE x0 END AS x, CASE WHEN inner_ THEN y0 - 1 ELSE y0 END AS y, x1 - x0 + CASE WHEN inner_ THEN 3 ELSE 1 END AS w, y1 - y0 + CASE WHEN inner_ THEN 3 ELSE 1 END AS h, area, {r('straight + slanting * sqrt(2.0::DOUBLE)', 3)} AS perimeter, inner_ OR ground <> 0 AS hole, inner_ AS inner FROM found JOIN box ON box.page = found.page AND box.label = CASE WHEN inner_ THEN ground ELSE ink END",
+    "page_edges": f"WITH RECURSIVE {SCAN}, {EDGES}, ed AS (SELECT px.page, px.y, px.x, CASE WHEN edge.x IS NULL THEN 0 ELSE 255 END AS e FROM px LEFT JOIN edge ON edge.page = px.page AND edge.y = px.y AND edge.x = px.x) {lists('e', 'edge', 'ed')}",
+    "page_lines": f"WITH RECURSIVE {SCAN}, {EDGES}, {LINES} SELECT * FROM (SELECT page, row_number() OVER (PARTITION BY page ORDER BY votes DESC, theta, rho)::INTEGER AS rank, (theta - 90)::DOUBLE AS angle, rho, votes FROM peak) WHERE rank <= 20",
+    "page_turned": f"WITH {SCAN}, {TURNED} {lists('g', 'grey', 'turn')}",
+    "page_contrast": f"WITH {SCAN}, {CONTRAST} SELECT page, tile, string_agg(out::VARCHAR, ',' ORDER BY level) AS levels FROM tab GROUP BY ALL",
     "stroke_features": f"WITH {STROKES}, {SFEAT} SELECT * FROM sf",
     "stroke_shape": f"WITH {STROKES}, {SHAPE} SELECT * FROM sh",
     "slant_angles": f"WITH {STROKES}, {ANGLE} SELECT page, {SLANT} AS slant, CASE WHEN abs(angle) >= 0.5 THEN angle ELSE 0.0 END AS skew FROM an",
