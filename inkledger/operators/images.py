@@ -58,8 +58,13 @@ def _with_corner(rows: DataFrame, pick: Callable[..., Column]) -> DataFrame:
 
 
 def binarized(rows: DataFrame, less: int = 4) -> DataFrame:
-    """Adds ``binary``: 255 where a pixel is over the weighted mean of its 15 x 15 window less ``less``, else 0; borders repeat."""
+    """Adds ``binary``: 255 where a pixel is over the weighted mean of its 15 x 15 window less ``less``, else 0; borders repeat.
+
+    A row that is shorter than others of its page goes on with its last pixel; null and empty rows are left out.
+    """
     w, g = _page(), F.col("grey")
+    rows = rows.where(F.size("grey") > 0).withColumn("_w", F.max(F.size("grey")).over(Window.partitionBy("page")))
+    rows = rows.withColumn("grey", F.concat("grey", F.array_repeat(F.element_at("grey", -1), F.col("_w") - F.size("grey")))).drop("_w")
     last = F.size(g) - 1
     across = F.transform(g, lambda _, i: sum((F.element_at(g, F.least(F.greatest(i + k, F.lit(0)), last).cast("int") + 1) * WEIGHTS[k + REACH] for k in range(-REACH, REACH + 1)), F.lit(0)))
     rows = rows.select("page", "y", "grey", across.alias("h"))
@@ -172,6 +177,16 @@ def hand_of_pages(pages: DataFrame, key: str) -> DataFrame:
     return means.withColumn("consistency", even).withColumn("fingerprint", F.transform("mean", lambda x: x / (V.norm(F.col("mean")) + 1e-8))).drop("mean")
 
 
+#: What a submission without pages gets.
+NO_PAGES = {"consistency": 0.5, "pressure": 0.5, "stroke_density": 0.0, "stroke_count": 0.0, "line_count": 0.0, "height_cv": 1.0, "width_cv": 1.0, "gap_cv": 1.0, "line_height_cv": 1.0, "compactness": 0.0, "slant": 0.0, "loop_density": 0.0}
+
+
+def hand_of_all(ids: DataFrame, hands: DataFrame, key: str) -> DataFrame:
+    """``hand_of_pages`` for all of ``ids`` (key): one without pages has the fixed values, and eighteen zeros for a fingerprint."""
+    rows = ids.select(key).distinct().join(hands, key, "left").fillna({k: v for k, v in NO_PAGES.items() if k in hands.columns})
+    return rows.withColumn("fingerprint", F.coalesce("fingerprint", F.array_repeat(F.lit(0.0), 18)))
+
+
 def identity_features(strokes: DataFrame, pages: DataFrame) -> DataFrame:
     """The five features of the alternative detector, of strokes over area 10, and their number; ``pages`` has page, height, width, ink."""
     big = F.col("area") > 10

@@ -60,6 +60,11 @@ def owned(rows: DataFrame, key: int, student: int) -> DataFrame:
     return rows.where((F.col("id") == key) & (F.col("student_id") == student))
 
 
+def owned_by(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of all (id, student) that ask for a submission the rows that are their own."""
+    return rows.join(asked.select("id", F.col("student").alias("student_id")), ["id", "student_id"], "left_semi")
+
+
 def of_student(rows: DataFrame, student: int) -> DataFrame:
     """A student's submissions, newest first."""
     return rows.where(F.col("student_id") == student).orderBy(F.desc("submitted_at"), "id")
@@ -78,7 +83,7 @@ def public_users(users: DataFrame) -> DataFrame:
 def assignment_view(rows: DataFrame) -> DataFrame:
     """The seventeen fields of a submission; flags and analysis are read from JSON, empty where they are missing or bad."""
     plain = ("id", "student_id", "student_name", "student_email", "student_grade", "student_school", "subject", "title", "notes", "status", "score", "grade_label")
-    flags = F.coalesce(F.from_json("flags", "array<string>"), F.array().cast("array<string>"))
+    flags = flags_of("flags")
     analysis = F.coalesce(F.from_json("analysis", "map<string,string>"), F.create_map().cast("map<string,string>"))
     return rows.select(*plain, flags.alias("flags"), analysis.alias("analysis"), "feedback", "submitted_at", "scanned_at")
 
@@ -108,8 +113,14 @@ def full_report(rows: DataFrame) -> DataFrame:
     return ranked(rows).select(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(out, REPORT_COLUMNS, strict=True)])
 
 
-def dashboard_stats(rows: DataFrame, flagged: Column) -> DataFrame:
-    """One row of counts and the average score, in one pass."""
+def flags_of(stored: Column | str) -> Column:
+    """Flags from JSON text, none where it is missing or bad."""
+    return F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
+
+
+def dashboard_stats(rows: DataFrame, flagged: Column | None = None) -> DataFrame:
+    """One row of counts and the average score, in one pass; a scored row counts as flagged if its ``flags`` are not empty."""
+    flagged = F.size(flags_of("flags")) > 0 if flagged is None else flagged
     return rows.agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "submitted").alias("pending"), F.count_if(F.col("status") == "reviewing").alias("reviewing"), F.count_if(F.col("status") == "scored").alias("scored"),
         F.count_if((F.col("status") == "scored") & flagged).alias("flagged"), half_up(F.sum(F.round(F.col("score") * 10).cast("long")) / F.count("score") / 10.0, 2).alias("avg_score"),
@@ -158,5 +169,5 @@ def student_stats(rows: DataFrame, latest: int = 5) -> DataFrame:
 def quality_checks(rows: DataFrame) -> DataFrame:
     """Violations of the table rules: repeated ids, unknown states, scores out of range or without a scored state."""
     repeated = rows.groupBy("id").count().where("count > 1").select(F.lit("repeated id").alias("rule"), F.col("count").alias("n"))
-    bad = rows.select(F.explode(F.array_compact(F.array(F.when(F.col("status").isNull(), "unknown state"), F.when(~F.col("score").between(0, 10), "score out of range"), F.when((F.col("status") == "scored") != F.col("score").isNotNull(), "score and state differ")))).alias("rule")).select("rule", F.lit(1).cast("long").alias("n"))
+    bad = rows.select(F.explode(F.array_compact(F.array(F.when(~F.coalesce(F.col("status").isin("submitted", "reviewing", "scored"), F.lit(False)), "unknown state"), F.when(~F.col("score").between(0, 10), "score out of range"), F.when((F.col("status") == "scored") != F.col("score").isNotNull(), "score and state differ")))).alias("rule")).select("rule", F.lit(1).cast("long").alias("n"))
     return repeated.unionAll(bad).groupBy("rule").agg(F.sum("n").alias("violations"))

@@ -156,7 +156,7 @@ def vector_pairs(vectors: DataFrame, least: float, tile: int = tiles.TILE) -> Da
             one, other = a.column("id").to_numpy()[at][x], last.column("id").to_numpy()[to][y]
             yield pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other)})
 
-    near = tiles.by_tiles(unit.select("id", *BLOCK), unit, BLOCK, run, "a long, b long", tile)
+    near = tiles.by_tiles(unit.select("id", *BLOCK), unit, BLOCK, run, "a long, b long", tile, ("a", "b"))
     p, q = (unit.select(F.col("id").alias(x), F.col("v").alias(f"v_{x}")) for x in "ab")
     sim = X.half_up(V.cosine(F.col("v_a"), F.col("v_b")), 4)
     return near.join(p, "a").join(q, "b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), sim.alias("hw_sim")).where(F.col("hw_sim") >= least)
@@ -277,7 +277,7 @@ def best_matches(subs: DataFrame, vectors: DataFrame, most: int = 5, tile: int =
         if found:
             yield pa.table(top({k: np.concatenate([z[k] for z in found]) for k in found[0]}))
 
-    parts = tiles.by_tiles(rows, vectors, BLOCK, run, "id long, peer long, text_sim double, hw_sim double, combined double", tile)
+    parts = tiles.by_tiles(rows, vectors, BLOCK, run, "id long, peer long, text_sim double, hw_sim double, combined double", tile, ("id", "peer"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("combined"), "peer"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= most)
 
@@ -319,7 +319,7 @@ def peer_maxima(subs: DataFrame, vectors: DataFrame, tile: int = tiles.TILE) ->
             if n:
                 yield pa.table({"id": ids[k], "n": np.full(len(ids[k]), n), **own})
 
-    parts = tiles.by_tiles(rows, vectors, BLOCK, run, "id long, n long, t double, h double, c double, peer long, hand double", tile)
+    parts = tiles.by_tiles(rows, vectors, BLOCK, run, "id long, n long, t double, h double, c double, peer long, hand double", tile, ("id", "peer"))
     text_peer = F.when(F.col("t") > 0, F.struct((-F.col("t")).alias("t"), "peer", "hand"))
     return parts.groupBy("id").agg(F.sum("n").alias("n"), F.max("t").alias("t"), F.max("h").alias("h"), F.max("c").alias("c"), F.min(text_peer).alias("best"))
 

@@ -8,21 +8,52 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegralType
+
+from ..sources import durable
 
 TILE, PIECE = 8192, 1024  # rows of a tile (the unit of a task), of the matrices within it
+ITEMS = 4_000_000  # items of a tile's rows on average; a block of long texts gets more tiles
 DENSE = 4096  # items met by more pairs of a piece go through a matrix product, others are listed
 
 
-def by_tiles(rows: DataFrame, vectors: DataFrame, block: tuple[str, ...], run: Callable[[pa.Table, pa.Table | None], Iterator[pa.Table]], schema: str, tile: int = TILE) -> DataFrame:
+def numbers_of(rows: DataFrame) -> DataFrame:
+    """(id, number): numbers of the ids in their order, written once, so they stay the same."""
+    ids = durable(rows.select("id").where("id IS NOT NULL").distinct())
+    return durable(ids.orderBy("id").select("id", F.monotonically_increasing_id().alias("number")))
+
+
+def to_numbers(rows: DataFrame, names: DataFrame) -> DataFrame:
+    return rows.join(names, "id").withColumn("id", F.col("number")).drop("number")
+
+
+def from_numbers(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """Numbers back to ids; one that stands for nothing is null."""
+    out = rows
+    for c in columns:
+        out = out.join(names.select(F.col("id").alias("_id"), F.col("number").alias(c)), c, "left").withColumn(c, F.col("_id")).drop("_id")
+    return out.select(*rows.columns)
+
+
+def by_tiles(
+    rows: DataFrame, vectors: DataFrame, block: tuple[str, ...], run: Callable[[pa.Table, pa.Table | None], Iterator[pa.Table]], schema: str, tile: int = TILE, ids: tuple[str, ...] = ("id_a", "id_b"), items: int | None = None
+) -> DataFrame:
     """``run(a, b)`` for each pair of tiles of a block, ``run(a, None)`` for a tile with itself; rows come in order of ``id``.
 
     ``vectors`` (id, block columns, v) travel as rows of their own and are column ``v`` of the tables. Null blocks are
-    blocks as well. A block of m rows has about m / ``tile`` tiles, and each row goes to as many tasks; only the sizes of
-    the blocks are broadcast.
+    blocks as well; rows without an id take no part. Ids of other types than numbers are numbered in their order for the
+    tiles; ``ids`` names the columns of the result that hold ids. A block has so many tiles that one has about ``tile``
+    rows and ``items`` items in its arrays, and each row goes to as many tasks; only the sizes of the blocks are broadcast.
     """
-    sizes = rows.groupBy(*block).agg(F.ceil(F.count("*") / F.lit(float(tile))).cast("int").alias("_k")).select(*[F.col(c).alias(f"_{c}") for c in block], "_k")
+    rows, vectors, names = rows.where("id IS NOT NULL"), vectors.where("id IS NOT NULL"), None
+    if not isinstance(rows.schema["id"].dataType, IntegralType):
+        names = numbers_of(rows)
+        rows, vectors = to_numbers(rows, names), to_numbers(vectors, names)
+    wide = [F.coalesce(F.size(f.name), F.lit(0)) for f in rows.schema.fields if isinstance(f.dataType, ArrayType)]
+    held = F.sum(sum(wide, F.lit(0)).cast("long")) / F.lit(float(items or ITEMS))
+    sizes = rows.groupBy(*block).agg(F.ceil(F.greatest(F.count("*") / F.lit(float(tile)), held)).cast("int").alias("_k")).select(*[F.col(c).alias(f"_{c}") for c in block], "_k")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in block]
-    every = rows.withColumn("_text", F.lit(True)).unionByName(vectors.select("id", *block, "v", F.lit(False).alias("_text")), allowMissingColumns=True)
+    every = rows.withColumn("id", F.col("id").cast("long")).withColumn("_text", F.lit(True)).unionByName(vectors.select(F.col("id").cast("long").alias("id"), *block, "v", F.lit(False).alias("_text")), allowMissingColumns=True)
     dealt = every.join(F.broadcast(sizes), same).withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     dealt = dealt.withColumns({"_p": F.least("_t", "_o"), "_q": F.greatest("_t", "_o")}).drop("_k", "_o", *[f"_{c}" for c in block])
 
@@ -41,7 +72,8 @@ def by_tiles(rows: DataFrame, vectors: DataFrame, block: tuple[str, ...], run: C
         for out in run(pick(p), None if p == q else pick(q)):
             yield from out.to_batches(max_chunksize=100_000)
 
-    return dealt.groupBy(*block, "_p", "_q").applyInArrow(one, schema)
+    out = dealt.groupBy(*block, "_p", "_q").applyInArrow(one, schema)
+    return out if names is None else from_numbers(out, names, *ids)
 
 
 def flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:

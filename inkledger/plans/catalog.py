@@ -384,8 +384,8 @@ def peers_of_batch(spark, d):
 def owned_assignment(spark, d):
     """A student sees a submission of their own, not another's."""
     rows = S.assignments(spark, d)
-    mine = rows.where("id = 7").first()["student_id"]
-    return report.owned(rows, 7, mine).unionAll(report.owned(rows, 7, mine + 1)).select("id", "student_id", "status")
+    asked = rows.where("id = 7").select("id", F.explode(F.array("student_id", F.col("student_id") + 1)).alias("student"))
+    return report.owned_by(rows, asked).select("id", "student_id", "status")
 
 
 @query
@@ -455,7 +455,9 @@ def full_report(spark, d):
 
 @query
 def dashboard_stats(spark, d):
-    return report.dashboard_stats(report.filtered(S.assignments(spark, d), TEACHER), F.coalesce(F.col("score") < 5, F.lit(False)))
+    """Stored flags: scores under 5 have one, other scored rows none, and every seventh row holds no JSON."""
+    kept = F.when(F.col("id") % 7 == 0, "not json").when(F.col("score") < 5, F.to_json(F.array(F.lit("low")))).when(F.col("score").isNotNull(), "[]")
+    return report.dashboard_stats(report.filtered(S.assignments(spark, d), TEACHER).withColumn("flags", kept))
 
 
 @query
@@ -669,8 +671,9 @@ def hand_fingerprint(spark, d):
 
 @query
 def hand_analysis(spark, d):
-    """Ten pages in a row are a submission."""
+    """Ten pages in a row are a submission; there is one without pages for each nation."""
     rows = images.hand_of_pages(hand_pages(spark, d).withColumn("id", F.floor(F.col("page") / 10)), "id")
+    rows = images.hand_of_all(rows.select("id").unionAll(S.table(spark, d, "nation").select(-1 - F.col("n_nationkey"))), rows, "id")
     return rows.select("id", "consistency", "pressure", "stroke_density", F.col("stroke_count").cast("int").alias("stroke_count"), F.col("line_count").cast("int").alias("line_count"), "height_cv", "gap_cv", "compactness", "slant", "loop_density", F.array_join(F.transform("fingerprint", lambda x: F.floor(x * 10000 + 0.5).cast("string")), ",").alias("fingerprint"))
 
 

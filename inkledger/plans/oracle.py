@@ -228,7 +228,7 @@ SQL |= {
     "tenant_filter": f"WITH {ASSIGN} SELECT school, status, count(*) AS n FROM asg WHERE {MINE} GROUP BY ALL",
     "batch_semi": f"WITH {ASSIGN} SELECT id, subject, status FROM asg WHERE id IN ({IDS})",
     "history_peers": f"WITH {ASSIGN}, sc AS (SELECT DISTINCT subject, school FROM asg WHERE id IN ({IDS})) SELECT id, subject, school, submitted_at FROM (SELECT asg.*, row_number() OVER (PARTITION BY subject, school ORDER BY submitted_at DESC, id) AS n FROM asg JOIN sc USING (subject, school) WHERE status = 'scored' AND id NOT IN ({IDS})) WHERE n <= 30",
-    "dashboard_stats": f"WITH {ASSIGN} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'submitted') AS pending, count(*) FILTER (WHERE status = 'reviewing') AS reviewing, count(*) FILTER (WHERE status = 'scored') AS scored, count(*) FILTER (WHERE status = 'scored' AND score < 5) AS flagged, {r('sum(round(score * 10)::BIGINT)::DOUBLE / count(score) / 10.0::DOUBLE', 2)} AS avg_score FROM asg WHERE {MINE}",
+    "dashboard_stats": f"WITH {ASSIGN} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'submitted') AS pending, count(*) FILTER (WHERE status = 'reviewing') AS reviewing, count(*) FILTER (WHERE status = 'scored') AS scored, count(*) FILTER (WHERE status = 'scored' AND score < 5 AND id % 7 <> 0) AS flagged, {r('sum(round(score * 10)::BIGINT)::DOUBLE / count(score) / 10.0::DOUBLE', 2)} AS avg_score FROM asg WHERE {MINE}",
     "score_histogram": f"WITH {ASSIGN}, b AS (SELECT unnest(range(5)) AS n, unnest(['0-2', '3-4', '5-6', '7-8', '9-10']) AS bin) SELECT bin, count(score) AS count FROM b LEFT JOIN asg ON score IS NOT NULL AND n = CASE WHEN score <= 2 THEN 0 WHEN score <= 4 THEN 1 WHEN score <= 6 THEN 2 WHEN score <= 8 THEN 3 ELSE 4 END GROUP BY bin",
     "ranked_report": f"WITH {ASSIGN} SELECT row_number() OVER (ORDER BY score DESC, id) AS rank, id, student_name, grade, subject, score, submitted_at FROM asg WHERE status = 'scored' AND subject = 'BUILDING'",
     "student_stats": f"WITH {ASSIGN}, n AS (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY submitted_at DESC, id) AS n FROM asg) SELECT student_id, count(*) AS total, count(*) FILTER (WHERE status <> 'scored') AS pending, count(*) FILTER (WHERE status = 'scored') AS scored, {r('sum(round(score * 10)::BIGINT)::DOUBLE / nullif(count(score), 0) / 10.0::DOUBLE', 1)} AS avg_score, string_agg(id::VARCHAR, ',' ORDER BY n) FILTER (WHERE n <= 5) AS latest FROM n GROUP BY student_id",
@@ -347,7 +347,7 @@ SQL |= {
     "slant_angles": f"WITH {STROKES}, {ANGLE} SELECT page, {SLANT} AS slant, CASE WHEN abs(angle) >= 0.5 THEN angle ELSE 0.0 END AS skew FROM an",
     "line_features": f"WITH {LINEF} SELECT * FROM lf",
     "hand_fingerprint": f"WITH {HAND} SELECT page, pos::INTEGER AS pos, {r('x', 4)} AS x FROM fp",
-    "hand_analysis": f"WITH {HAND}, mf AS (SELECT page // 10 AS id, pos, avg(x) AS m FROM fp GROUP BY ALL), nf AS (SELECT id, string_agg(floor(m / n * 10000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY pos) AS fingerprint FROM mf JOIN (SELECT id, sqrt(sum(m * m)) + 1e-8 AS n FROM mf GROUP BY id) USING (id) GROUP BY id), me AS (SELECT page // 10 AS id, {', '.join(r(f'avg({c})', 4) + f' AS {c}' for c in ('height_cv', 'width_cv', 'gap_cv', 'line_height_cv', 'stroke_count', 'line_count', 'stroke_density', 'compactness'))}, {', '.join(r(f'avg({c})', 3) + f' AS {c}' for c in ('pressure', 'slant', 'loop_density'))} FROM hp GROUP BY 1) SELECT id, {r(f'least(greatest(({EVEN.format("height_cv")} * 0.35::DOUBLE + {EVEN.format("width_cv")} * 0.25::DOUBLE + {EVEN.format("gap_cv")} * 0.25::DOUBLE + {EVEN.format("line_height_cv")} * 0.15::DOUBLE) * CASE WHEN stroke_count < 20 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 0.1::DOUBLE), 1.0::DOUBLE)', 3)} AS consistency, pressure, stroke_density, trunc(stroke_count)::INTEGER AS stroke_count, trunc(line_count)::INTEGER AS line_count, height_cv, gap_cv, compactness, slant, loop_density, fingerprint FROM me JOIN nf USING (id)",
+    "hand_analysis": f"WITH {HAND}, mf AS (SELECT page // 10 AS id, pos, avg(x) AS m FROM fp GROUP BY ALL), nf AS (SELECT id, string_agg(floor(m / n * 10000 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY pos) AS fingerprint FROM mf JOIN (SELECT id, sqrt(sum(m * m)) + 1e-8 AS n FROM mf GROUP BY id) USING (id) GROUP BY id), me AS (SELECT page // 10 AS id, {', '.join(r(f'avg({c})', 4) + f' AS {c}' for c in ('height_cv', 'width_cv', 'gap_cv', 'line_height_cv', 'stroke_count', 'line_count', 'stroke_density', 'compactness'))}, {', '.join(r(f'avg({c})', 3) + f' AS {c}' for c in ('pressure', 'slant', 'loop_density'))} FROM hp GROUP BY 1) SELECT id, {r(f'least(greatest(({EVEN.format("height_cv")} * 0.35::DOUBLE + {EVEN.format("width_cv")} * 0.25::DOUBLE + {EVEN.format("gap_cv")} * 0.25::DOUBLE + {EVEN.format("line_height_cv")} * 0.15::DOUBLE) * CASE WHEN stroke_count < 20 THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END, 0.1::DOUBLE), 1.0::DOUBLE)', 3)} AS consistency, pressure, stroke_density, trunc(stroke_count)::INTEGER AS stroke_count, trunc(line_count)::INTEGER AS line_count, height_cv, gap_cv, compactness, slant, loop_density, fingerprint FROM me JOIN nf USING (id) UNION ALL SELECT -1 - n_nationkey, 0.5, 0.5, 0.0, 0, 0, 1.0, 1.0, 0.0, 0.0, 0.0, array_to_string(list_transform(range(18), lambda i: '0'), ',') FROM nation",
     "identity_fingerprint": f"WITH {STROKES}, su AS (SELECT page, count(*) FILTER (WHERE area > 10) AS n, count(*) FILTER (WHERE hole) AS loops, avg(area) FILTER (WHERE area > 10) AS ma, avg(w::DOUBLE / h) FILTER (WHERE area > 10) AS asp, avg({ROUND}) FILTER (WHERE area > 10 AND perimeter > 0) AS co FROM st GROUP BY page), fe AS (SELECT s_suppkey // 10 AS id, CASE WHEN n > 0 THEN loops::DOUBLE / n ELSE 0.0 END AS l, CASE WHEN n > 0 THEN ma ELSE 0.0 END AS a, CASE WHEN n > 0 THEN 90000 / 12000000::DOUBLE ELSE 0.0 END AS i, CASE WHEN n > 0 THEN coalesce(asp, 1.0) ELSE 1.0 END AS s, CASE WHEN n > 0 THEN coalesce(co, 0.0) ELSE 0.0 END AS c FROM supplier LEFT JOIN su ON page = s_suppkey), m AS (SELECT id, avg(l) AS l, avg(a) AS a, avg(i) AS i, avg(s) AS s, avg(c) AS c FROM fe GROUP BY id) SELECT id, {r('least(ln(1 + l) / ln(16.0::DOUBLE), 1.0::DOUBLE)', 4)} AS f0, {r('least(ln(1 + a) / ln(6001.0::DOUBLE), 1.0::DOUBLE)', 4)} AS f1, {r('least(i * 3.0::DOUBLE, 1.0::DOUBLE)', 4)} AS f2, {r('least(s / 2.0::DOUBLE, 1.0::DOUBLE)', 4)} AS f3, {r('least(c * 3.0::DOUBLE, 1.0::DOUBLE)', 4)} AS f4, {r('greatest(0.4::DOUBLE, 1.0::DOUBLE - least(l / 20.0::DOUBLE, 1.0::DOUBLE) * 0.2::DOUBLE)', 3)} AS consistency FROM m",
 }
 

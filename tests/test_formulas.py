@@ -247,3 +247,31 @@ def test_strokes_and_lines(spark):
     angles = spark.createDataFrame([(1, 1, 10.0), (1, 2, -80.0), (1, 3, 20.0), (1, 4, 40.0), (2, 1, 90.0)], "page int, rank int, angle double")
     (a,) = images.median_angle(angles, 3).select("page", images.slant(F.col("angle")).alias("s"), images.skew(F.col("angle")).alias("k")).collect()
     assert tuple(a) == (1, 0.5, 15.0)
+
+
+def test_rows_of_unequal_width_and_submissions_without_pages(spark):
+    from inkledger.operators import images
+
+    rows = spark.createDataFrame([(1, 0, [200, 90, 200]), (1, 1, [200, 90]), (1, 2, []), (1, 3, None), (1, 4, [200])], "page int, y int, grey array<int>")
+    full = spark.createDataFrame([(1, 0, [200, 90, 200]), (1, 1, [200, 90, 90]), (1, 4, [200, 200, 200])], "page int, y int, grey array<int>")
+    assert sorted(map(tuple, images.binarized(rows).collect())) == sorted(map(tuple, images.binarized(full).collect()))
+    hands = spark.createDataFrame([(1, 0.9, 0.3, [0.5] * 18)], "id int, consistency double, pressure double, fingerprint array<double>")
+    got = {r.id: r for r in images.hand_of_all(spark.createDataFrame([(1,), (2,), (2,)], "id int"), hands, "id").collect()}
+    assert got[1].consistency == 0.9 and got[2].consistency == got[2].pressure == 0.5 and got[2].fingerprint == [0.0] * 18 and len(got) == 2
+
+
+def test_stored_flags_and_states(spark):
+    rows = spark.createDataFrame([("scored", 1.0, '["x"]'), ("scored", 2.0, "[]"), ("scored", 2.0, None), ("scored", 2.0, "bad"), ("reviewing", None, '["x"]')], "status string, score double, flags string")
+    assert report.dashboard_stats(rows).first().asDict() == {"total": 5, "pending": 0, "reviewing": 1, "scored": 4, "flagged": 1, "avg_score": 1.75}
+    odd = spark.createDataFrame([(1, "lost", None), (2, None, None), (3, "scored", 4.0)], "id long, status string, score double")
+    assert {r.rule: r.violations for r in report.quality_checks(odd).collect()} == {"unknown state": 2}
+    ask = spark.createDataFrame([(1, 5), (1, 6), (9, 5)], "id long, student long")
+    mine = spark.createDataFrame([(1, 5, "a"), (2, 5, "b")], "id long, student_id long, status string")
+    assert [tuple(r) for r in report.owned_by(mine, ask).collect()] == [(1, 5, "a")]
+
+
+def test_rows_as_json(spark):
+    from inkledger import sources
+
+    rows = spark.createDataFrame([(1, None, ["a", "ü"])], "id long, x string, flags array<string>")
+    assert rows.select(sources.as_json(rows).alias("j")).first().j == '{"id":1,"flags":["a","ü"]}' and rows.select(sources.as_json(rows, "id").alias("j")).first().j == '{"id":1}'
