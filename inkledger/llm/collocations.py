@@ -182,11 +182,11 @@ def score_of(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(a) * wide(a) * F.lit(1_000_000).cast("decimal(7,0)"), wide(left) * wide(right))
 
 
-def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, covered: int = COVERED, code: Callable = code_of) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of all candidates that no longer candidate covers.
+def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, covered: int = COVERED, code: Callable = code_of) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, a, l, r, score) of all candidates that no longer candidate covers, and (lang, n), all words of a language.
 
     A null language is ``und``, null and empty texts have no words, an empty table gives no rows, repeated rows count
-    again. ``n`` counts all words of the language. Other columns are not read.
+    again. Other columns are not read.
     """
     docs = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     words, seed = dictionary(docs, code)
@@ -210,7 +210,7 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     a = F.col("a")
     cuts = [F.struct(score_of(a, F.col(x), F.col(y)).alias("score"), F.lit(k).alias("k"), F.col(x).alias("l"), F.col(y).alias("r")) for k, x, y in ((1, "f1", "f23"), (2, "f12", "f3"))]
     long = long.select("lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a", F.least(*cuts).alias("cut")).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    return short.unionAll(long).join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    return short.unionAll(long), totals
 
 
 def top_phrases(docs: DataFrame, top: int = TOP, **options) -> DataFrame:
@@ -219,11 +219,12 @@ def top_phrases(docs: DataFrame, top: int = TOP, **options) -> DataFrame:
     Parts of a language are ranked first, so what meets in one task is ``SALTS`` times ``top`` phrases at most.
     """
     order = (F.desc("score"), F.desc("a"), "phrase")
-    rows = phrases(docs, **options).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    found, totals = phrases(docs, **options)
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     rows = rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-    return rows.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = r"""
