@@ -308,14 +308,14 @@ class WordModel:
     def __init__(self, size: ModelSize, seen: np.ndarray):
         self.size, self.seen, self.sums = size, seen, []  # seen: training tokens by (class, group)
 
-    def weights(self, counts: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """bias + weight by group, of rows of counts (word, group)."""
+    def weights(self, counts: np.ndarray, tail: np.ndarray, updates: int | None = None) -> np.ndarray:
+        """bias + weight by group, of rows of counts (word, group), after so many updates (all that there are sums for)."""
         counts = counts.astype(float)
         c = counts.sum(1)
         bias, own = np.log(c + 0.5), np.zeros_like(counts)
         share = self.seen / np.maximum(self.seen.sum(1, keepdims=True), 1)
         bias = bias[:, None] + np.zeros(counts.shape[1])
-        for total in self.sums:
+        for total in self.sums[:updates]:
             want = np.exp(bias + own) / total[tail] * self.seen[tail]
             own += 0.7 * (counts - want - 1.0 * own) / (np.maximum(counts, want) + 1.0)
             all_want, some = want.sum(1), share[tail].sum(1) > 0
@@ -323,8 +323,8 @@ class WordModel:
         return bias + own
 
     def log10(self, counts: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """log10 P(word | its class, group), of shape (word, group)."""
-        return (self.weights(counts, tail) - np.log(self.sums[-1][tail])) / np.log(10)
+        """log10 P(word | its class, group), of shape (word, group); the last sums are of the weights before a further update."""
+        return (self.weights(counts, tail, len(self.sums) - 1) - np.log(self.sums[-1][tail])) / np.log(10)
 
     def unseen(self) -> np.ndarray:
         """log10 of what a class keeps for words never seen, by (class, group)."""
