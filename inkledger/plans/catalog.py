@@ -270,17 +270,17 @@ def base_flags(spark, d):
 @query
 def copy_flags(spark, d):
     """Flags of all pairs; those that a submission gets from equal texts are one row, with their number."""
-    return told(spark, d, scored(spark, d)).select("id", "peer", "rule", "text_sim", "hw_sim", "more", "flag")
+    return flags_of_pairs(spark, d, scored(spark, d)).select("id", "peer", "rule", "text_sim", "hw_sim", "more", "flag")
 
 
-def told(spark, d, s):
+def flags_of_pairs(spark, d, s):
     """The flags of pairs, written once."""
     return S.durable(flags.copy_flags(subs(spark, d), hands(spark, d), s))
 
 
 def all_flags(spark, d):
     s = scored(spark, d)
-    return flags.final_flags(flags.base_flags(s), told(spark, d, s))
+    return flags.final_flags(flags.base_flags(s), flags_of_pairs(spark, d, s))
 
 
 @query
@@ -446,7 +446,7 @@ def assignment_view(spark, d):
 def full_report(spark, d):
     """Submissions with the student and the date of the order of the same number."""
     s = scored(spark, d)
-    flagged = flags.final_flags(flags.base_flags(s), told(spark, d, s))
+    flagged = flags.final_flags(flags.base_flags(s), flags_of_pairs(spark, d, s))
     a = S.assignments(spark, d).select("id", "student_id", "submitted_at")
     u = report.public_users(users(spark, d)).select(F.col("id").alias("student_id"), F.col("name").alias("student_name"), "roll_number", "email", F.col("grade").alias("grade"))
     told = scoring.feedback(s).withColumnRenamed("grade", "grade_label").drop("ingest_status").join(flagged, "id").join(subs(spark, d).select("id", "subject"), "id").join(a, "id", "left").join(u, "student_id", "left")
