@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import durable, fold, slices, tokens
 
 END = b"\n"  # no word holds a line feed
+SLICE = 1 << 20  # bytes of text coded at once where every token takes some ten arrays
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,7 @@ def ending(word: bytes) -> int:
 class Codes(dict):
     """Word to (near bucket, far bucket, class, head index or -1, place in the lookup or -1, group) by a row number, filled as words come."""
 
-    def __init__(self, size: ModelSize, head: dict[bytes, int], classes: np.ndarray, places: dict[bytes, int] | None = None, keep: int = 400_000):
+    def __init__(self, size: ModelSize, head: dict[bytes, int], classes: np.ndarray, places: dict[bytes, int] | None = None, keep: int = 200_000):
         super().__init__()
         self.size, self.head, self.classes, self.places, self.keep = size, head, classes, places or {}, keep
         self.rows: list[tuple[int, ...]] = []
@@ -152,7 +153,7 @@ def count_cells(train: DataFrame, text: str, size: ModelSize, shared) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, classes = shared.value
         codes, held = Codes(size, head, classes), np.zeros(base + size.near * size.head, np.int32)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             codes.trim()
             ids, sizes = codes.of(batch.column("text").to_pylist())
             near, far, cls, h = (_table(codes)[:, k][ids] for k in range(4))
@@ -409,7 +410,7 @@ def score_texts(docs: DataFrame, train: DataFrame, key: str = "doc_id", text: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, classes, places, logs, tail_log, unseen, by_class, by_word = given.value
         codes = Codes(z, head, classes, places)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             codes.trim()
             ids, sizes = codes.of(batch.column("text").to_pylist())
             near, far, cls, h, place, group = (_table(codes)[:, k][ids] for k in range(6))

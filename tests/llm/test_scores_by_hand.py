@@ -233,3 +233,13 @@ def test_toxicity_by_hand(spark):
     far = [i for i, _ in docs if abs(got[i] - calibrated(blocks, margin[i])) > 1e-6]
     assert not far, [(got[i], calibrated(blocks, margin[i]), margin[i]) for i in far[:5]]
     assert len({round(x, 6) for x in got.values()}) > 3
+
+
+def test_coded_words_of_a_task_are_bounded():
+    """op3: a task starts its table of coded words afresh, so that its memory does not grow with the vocabulary."""
+    codes, most = maxent_lm.Codes(maxent_lm.ModelSize(), {}, np.zeros(0, np.int64)), 0
+    for k in range(45):
+        codes.trim()
+        codes.of([" ".join(f"w{k}x{i}" for i in range(10_000))])
+        most = max(most, len(codes.rows))
+    assert most <= 220_000
