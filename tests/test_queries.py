@@ -5,6 +5,7 @@ import os
 import pytest
 
 from inkledger import sources, streaming
+from inkledger.operators import tiles
 from inkledger.plans import catalog
 
 SQL = catalog.oracle_sql()
@@ -82,6 +83,16 @@ def test_flags_read_what_is_written_once(spark, sf):
     assert plan.count("FileScan") == 0 and plan.count("Exchange") < 15
 
 
+@pytest.mark.parametrize("name", ["copy_flags", "final_flags", "flag_summary", "full_report"])
+def test_scores_and_flags_share_packed_sets(spark, sf, monkeypatch, name):
+    """The word sets of all texts are packed once for scores and flags, and the shuffle of their counts is freed."""
+    packs, written, plain, keep = [], [], tiles.packed, tiles.durable
+    monkeypatch.setattr(tiles, "packed", lambda *a, **b: packs.append(a[2:]) or plain(*a, **b))
+    monkeypatch.setattr(tiles, "durable", lambda df: written.append(df.columns) or keep(df))
+    catalog.queries()[name](spark, sf)
+    assert packs == [("items",)] and ["range", "bits", "items_v", "items_c"] in written
+
+
 def report_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
